@@ -43,7 +43,7 @@ NEEDS = {
     "ip": r"[0-9]\.[0-9]",
     "card": r"[0-9][\x20-]?[0-9]",
     "phone": r"\+[0-9]",
-    "email_loose": r"(?i)[([\x20]at[)\]\x20]",
+    "email_loose": r"(?i)[(\[\x20]at[)\]\x20]",
     "phone_loose": r"[0-9]\)?[\x20./-][0-9]",
     "id_loose": r"[0-9]-[0-9]",
     "iban_loose": r"[A-Z]{2}[0-9]{2}",

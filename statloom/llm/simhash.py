@@ -92,7 +92,7 @@ def ball_keys(fps: DataFrame) -> DataFrame:
 
 def _forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Spanning links of the graph of values that differ in at most ``max_bits`` bits."""
-    left, out = np.sort(values), []
+    left, out = np.sort(values).view(np.uint64), []  # unsigned: bits of signed numbers are counted without sign
     todo = [left[0]]
     left = left[1:]
     while len(left):
@@ -101,7 +101,7 @@ def _forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
             continue
         hub = todo.pop()
         close = np.bitwise_count(left ^ hub) <= max_bits
-        out += [(int(hub), int(x)) for x in left[close]]
+        out += [(int(hub.view(np.int64)), int(x)) for x in left[close].view(np.int64)]
         todo += list(left[close])
         left = left[~close]
     return out

@@ -220,7 +220,7 @@ def _documents(data: memoryview, start: int, block: int) -> Iterator[pd.DataFram
         raw = have.astype("<u4")
         yield pd.DataFrame(
             {
-                "i": pd.array(ids[first:last], dtype="Int64").where(pd.Series(np.arange(first, last) >= missing), pd.NA) if missing > first else ids[first:last],
+                "i": pd.Series(ids[first:last], dtype="Int64").mask(np.arange(first, last) < missing) if missing > first else ids[first:last],
                 "start": start + (ends - sizes)[first:last],
                 "n_tokens": sizes[first:last],
                 "ids": [raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
