@@ -178,16 +178,17 @@ def mice(df: DataFrame, columns: list[str], case_id: str, sets: int = 5, method:
     All sets go side by side: a step of a cycle is one aggregation with the covariances of
     every set; the driver draws each set's coefficients. ``normal`` adds normal noise, ``pmm``
     takes the observed value of one of the five cases around in predicted order. Randomness
-    comes from hashes of ``case_id``, so a lost task repeats its values.
+    comes from hashes of written row numbers, so a lost task repeats its values.
     """
     from statloom.plans.shared import cut
 
     k, names = len(columns), [f"v{i}" for i in range(len(columns))]
-    d = df.select(F.col(f"`{case_id}`").alias("id"), *(number(df, c).alias(v) for c, v in zip(columns, names, strict=True)))
+    d = df.select(F.col(f"`{case_id}`").alias("case"), F.monotonically_increasing_id().alias("id"), *(number(df, c).alias(v) for c, v in zip(columns, names, strict=True)))
     means = d.agg(*(F.avg(v).alias(v) for v in names), *(F.sum(F.col(v).isNull().cast("bigint")).alias(f"k{v}") for v in names)).first()
     todo = [v for v in names if means[f"k{v}"]]
     for m in range(sets):
         d = d.withColumns({f"{v}_{m}": F.coalesce(F.col(v), F.lit(float(means[v] or 0.0))) for v in names})
+    d = cut(d, "mice")  # fixes the row numbers, as case ids may repeat
     rng = np.random.default_rng(seed)
     for c in range(cycles if k > 1 else 0):
         for v in todo:
@@ -210,25 +211,25 @@ def mice(df: DataFrame, columns: list[str], case_id: str, sets: int = 5, method:
             if method == "normal":
                 d = d.withColumns({f"{v}_{m}": F.coalesce(F.col(v), yhat + s * S.norm_inv(u(seed * 1_000_003 + c * 1009 + m * 31 + names.index(v)))) for m, (yhat, s) in new.items()})
             else:
-                for m, (yhat, _) in new.items():
-                    d = _matched(d, v, f"{v}_{m}", yhat, F.floor(5 * u(seed * 1_000_003 + c * 1009 + m * 31 + names.index(v))) - 2)
+                base = cut(d.withColumns({f"p_{m}": yhat for m, (yhat, _) in new.items()}), "mice")
+                d = base
+                for m in new:
+                    got = _donated(base, v, f"p_{m}", F.floor(5 * u(seed * 1_000_003 + c * 1009 + m * 31 + names.index(v))) - 2)
+                    d = d.join(got, "id", "left").withColumn(f"{v}_{m}", F.coalesce(F.col(v), F.col("got"))).drop("got", f"p_{m}")
             d = cut(d, "mice")
     each = F.explode(F.array(*(F.struct(F.lit(m + 1).alias("m"), *(F.col(f"{v}_{m}").alias(v) for v in names)) for m in range(sets))))
-    return d.select(F.col("id").alias(case_id), each.alias("x")).select(case_id, "x.m", *(F.col(f"x.{v}").alias(c) for c, v in zip(columns, names, strict=True)))
-
-
-def _matched(d: DataFrame, v: str, target: str, yhat: Column, offset: Column) -> DataFrame:
-    """``target`` of cases that miss ``v``: the value of the observed case ``offset`` places away in predicted order."""
-    p = d.withColumn("p", yhat).withColumn("off", offset)
-    c = p.groupBy("p").agg(F.count(v).alias("seen"))
-    r = running(c, "p", ["seen"]).select("p", "cum_seen")
-    own = p.where(F.col(v).isNotNull()).select("id", "p", F.col(v).alias("value")).join(r, "p")
-    own = own.withColumn("at", F.col("cum_seen") - F.row_number().over(Window.partitionBy("p").orderBy("id")) + 1)
-    most = own.agg(F.max("at")).first()[0] or 0
-    ask = p.where(F.col(v).isNull()).select("id", "p", "off").join(r, "p")
-    ask = ask.select("id", F.greatest(F.lit(1), F.least(F.lit(most), F.col("cum_seen") + F.col("off"))).cast("bigint").alias("at"))
-    got = ask.join(own.select("at", "value"), "at").select("id", F.col("value").alias("__got"))
-    return d.join(got, "id", "left").withColumn(target, F.coalesce(F.col(v), F.col("__got"))).drop("__got")
+    return d.select(F.col("case").alias(case_id), each.alias("x")).select(case_id, "x.m", *(F.col(f"x.{v}").alias(c) for c, v in zip(columns, names, strict=True)))
+
+
+def _donated(d: DataFrame, v: str, predicted: str, offset: Column) -> DataFrame:
+    """(id, got) of cases that miss ``v``: the value of the observed case ``offset`` places away in predicted order."""
+    p = d.select("id", F.col(predicted).alias("p"), F.col(v).alias("value"), offset.alias("off"))
+    r = running(p.groupBy("p").agg(F.count("value").alias("seen")), "p", ["seen"]).select("p", "cum_seen")
+    p = p.join(r, "p")
+    own = p.where("value is not null").withColumn("at", F.col("cum_seen") - F.row_number().over(Window.partitionBy("p").orderBy("id")) + 1)
+    most = d.agg(F.count(v)).first()[0]
+    ask = p.where("value is null").select("id", F.greatest(F.lit(1), F.least(F.lit(most), F.col("cum_seen") + F.col("off"))).cast("bigint").alias("at"))
+    return ask.join(own.select(F.col("at").cast("bigint").alias("at"), F.col("value").alias("got")), "at").select("id", "got")
 
 
 def pool(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -499,7 +499,7 @@ def _lines(t) -> DataFrame:
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
 
 
-query("search", "SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) LIKE '%an%' OR CAST(n_nationkey AS VARCHAR) LIKE '%an%'")(lambda t: C.search(t("nation").select("n_nationkey", "n_name"), "AN"))
+query("search", "SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) LIKE '%n_1%' OR CAST(n_nationkey AS VARCHAR) LIKE '%n_1%'")(lambda t: C.search(t("nation").select("n_nationkey", "n_name"), "N_1"))
 query("page", "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 100")(lambda t: C.page(t("part").select("p_partkey", "p_name"), 100, "p_partkey"))
 query("transform_zscore", _sql("SELECT l_orderkey, l_linenumber, (l_quantity-(SELECT avg(l_quantity) FROM lineitem))/(SELECT stddev_samp(l_quantity) FROM lineitem) AS z FROM lineitem", "z", _KEY))(lambda t: C.transform(_lines(t), "l_quantity", "zscore", "z").select("l_orderkey", "l_linenumber", "z"))
 query("transform_minmax", _sql("SELECT l_orderkey, l_linenumber, (l_quantity-(SELECT min(l_quantity) FROM lineitem))/(SELECT max(l_quantity)-min(l_quantity) FROM lineitem) AS z FROM lineitem", "z", _KEY))(lambda t: C.transform(_lines(t), "l_quantity", "minmax", "z").select("l_orderkey", "l_linenumber", "z"))
