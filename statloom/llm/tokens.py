@@ -2,7 +2,9 @@
 
 The pre-tokenizers of the two vocabularies never join what a space divides, so the ids of a
 text are those of its words in a row. Words seen before come from a bounded memory of the
-worker process; all others go through the library.
+worker process; all others go through the library. Of these, a run of plain letters is a
+pre-token as a whole and goes straight to the library's model, and punctuation behind it is
+a pre-token of its own, so that a word is asked for once, whatever follows it.
 """
 
 from __future__ import annotations
@@ -10,17 +12,47 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Words the memory holds before it starts anew, and the longest word it takes.
-MEMORY_WORDS, MEMORY_CHARS = 400_000, 64
+#: Words that one generation of the memory holds, and the longest word it takes.
+MEMORY_WORDS, MEMORY_CHARS = 500_000, 64
 _SPACES = re.compile(r" (?:\s|$)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 #: Separators to Python's str.split, but not white space to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Letters that normalisers leave alone but for their case.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: ASCII punctuation but the apostrophe, which may begin a pre-token of letters.
+_TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: How byte-level vocabularies write bytes: printable ones as they are, others from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Words on which the short way must agree with the library before it is taken.
+_PROBES = ("a", "Word", "élan", "Être", "word,", "naïve...", "ÄÖÜß", "zzqx", "The)%%%", "one.\nTwo")
+
+
+class _Memory(dict):
+    """Ids of words, asked of ``encode`` once. A full generation becomes the old one, whose
+    words come back when they are used again, so that frequent words are never lost."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+            if len(word) > MEMORY_CHARS:
+                return ids
+        if len(self) >= MEMORY_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -43,23 +75,38 @@ class Encoder:
             self.by = "space"
         elif steps == ["NFC", "Replace", "Lowercase"] and pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed":
             self.by = "word"
-        self._known: dict[str, bytes] = {}
-        self._first: dict[str, bytes] = {}
-
-    def _library(self, texts: Iterable[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(list(texts), add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
-
-    def _lookup(self, words: list[str], memory: dict[str, bytes], lead: str) -> list[bytes]:
-        out = list(map(memory.get, words))
-        if None not in out:
-            return out
-        new = list({w for w, x in zip(words, out, strict=True) if x is None})
-        ids = dict(zip(new, self._library(lead + w for w in new), strict=True))
-        if len(memory) > MEMORY_WORDS:
-            memory.clear()
-        memory.update((w, x) for w, x in ids.items() if len(w) <= MEMORY_CHARS)
-        return [ids[w] if x is None else x for w, x in zip(words, out, strict=True)]
+        self._lead = " " if self.by == "space" else ""
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        self._model, self._direct = self.library.model, True
+        self._known, self._tails, self._starts = _Memory(self._word), _Memory(self._library), _Memory(self._start)
+        self._direct = self.by != "whole" and all(self._plain(w) == self._library(self._lead + w) for w in _PROBES if self.by == "space" or "\n" not in w)
+
+    def _library(self, text: str) -> bytes:
+        return array(self._code, self.library.encode_batch_fast((text,), add_special_tokens=False)[0].ids).tobytes()
+
+    def _plain(self, word: str, lead: str | None = None) -> bytes | None:
+        if "\n" in word:
+            # between two words one line break is a pre-token of its own
+            parts = word.split("\n")
+            if any(not x or x[0].isspace() or x[-1].isspace() for x in parts):
+                return None
+            return self._tails["\n"].join((self._known[parts[0]], *map(self._starts.__getitem__, parts[1:])))
+        core = word.rstrip(_TAIL)
+        if not _PLAIN.fullmatch(core):
+            return None
+        if len(core) < len(word):
+            return (self._known if lead is None else self._starts)[core] + self._tails[word[len(core) :]]
+        text = (self._lead if lead is None else lead) + (core.lower() if self.by == "word" else core)
+        return array(self._code, [x.id for x in self._model.tokenize(text.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        ids = self._plain(word) if self._direct else None
+        return self._library(self._lead + word) if ids is None else ids
+
+    def _start(self, word: str) -> bytes:
+        """A word without a space before it."""
+        ids = self._plain(word, "") if self._direct else None
+        return self._library(word) if ids is None else ids
 
     def encode(self, text: str | None) -> bytes:
         """Null counts as empty; no special ids are added."""
@@ -67,10 +114,10 @@ class Encoder:
             return b""
         if self.by == "space":
             first, *rest = _BEFORE_WORD.split(text) if _SPACES.search(text) else text.split(" ")
-            return b"".join(self._lookup([first], self._first, "") + self._lookup(rest, self._known, " "))
+            return self._library(first) + b"".join(map(self._known.__getitem__, rest))
         if self.by == "word" and not _SEPARATORS.search(text):
-            return b"".join(self._lookup(text.split(), self._known, ""))
-        return self._library([text])[0]
+            return b"".join(map(self._known.__getitem__, text.split()))
+        return self._library(text)
 
 
 @lru_cache(maxsize=2)

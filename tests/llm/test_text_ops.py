@@ -324,3 +324,23 @@ def test_op8_odd(odd, none):
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(odd, path).collect()}
     assert got[1] == got[2] == got[7] == 0 and got[5] == got[6]
     assert token_counts.count_tokens(none, path).count() == 0
+
+
+def test_short_way_of_the_encoder_equals_the_library():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from statloom.llm.tokens import Encoder
+
+    rng = random.Random(3)
+    bits = ["word", "Élan", "ß", "don't", "naïve...", "a\nb", "x\n\ny", "\r\n", "\t", " ", "  ", "'s", "3", "²", "K", "İ", "Σς", "ﬁ", "é", "<|endoftext|>", "%%%", "'", " ", "\x1c", "µ", ".\n", "Zz.\nQq", "漢"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        mine, lib = Encoder(path), Tokenizer.from_file(path)
+        lib.encode_special_tokens = True
+        for _ in range(2000):
+            text = "".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 8)))
+            got = memoryview(mine.encode(text)).cast("H" if mine.dtype.itemsize == 2 else "I").tolist()
+            assert got == lib.encode(text, add_special_tokens=False).ids, repr(text)
