@@ -161,6 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = roots.join(first, "fp")
     linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     known = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    known = materialize(known, "known")  # both sides of the join below are plain shuffles, so that a hot fingerprint is split
     return own.join(known, "fp", "left").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
