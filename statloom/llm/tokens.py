@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words that one generation of the memory holds, and the longest word it takes.
-MEMORY_WORDS, MEMORY_CHARS = 500_000, 64
+MEMORY_WORDS, MEMORY_CHARS = 300_000, 64
 _SPACES = re.compile(r" (?:\s|$)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 #: Separators to Python's str.split, but not white space to the tokenizer.
