@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statloom.llm.common import connected_components, materialize
+from statloom.llm.shingles import keep_one as keep_one
 
 #: Widths of the three blocks of a fingerprint, low bits first.
 BLOCKS = (21, 21, 22)
@@ -163,16 +164,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     known = materialize(known, "known")  # both sides of the join below are plain shuffles, so that a hot fingerprint is split
     return own.join(known, "fp", "left").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
-
-    All columns stay. Rows that repeat an id are reduced to one. Rows with a null id can't be
-    told apart by id and all stay.
-    """
-    known = docs.where(F.col(id_col).isNotNull())
-    groups = near_duplicates(known.select(id_col, text_col), id_col, text_col, shingle, max_bits)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = known.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
