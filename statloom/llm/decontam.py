@@ -1,8 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders, so a question asked again with other
-values has the same template. Windows of template words are hashed and joined with those of
-the benchmark; for what meets, the values in the slots must map one to one.
+Numbers, units and names become typed placeholders, so a question asked again with other
+values has the same template. Short windows of words are hashed and joined with those of
+the benchmark, in two forms: with placeholders for names, and plain (lower-cased, names as
+written), which finds copies in another case. Hits are summed over bands of neighbouring
+offsets, so that inserted and deleted words don't split a passage. What counts is how many
+of the item's words the hits cover; values that contradict each other lower it.
 
 Everything here is DataFrame code.
 """
@@ -14,11 +17,17 @@ from pyspark.sql import functions as F
 
 from statloom.llm.common import materialize
 
-WINDOW = 8
+WINDOW = 5
 #: Fewest literal words in a window; windows made of placeholders alone say nothing.
-LITERALS = 4
-#: Least share of an item's windows that a document has to hold at one offset.
+LITERALS = 3
+#: Least share of an item's words that a document has to hold within one band of offsets.
 COVERAGE = 0.5
+#: So many words of an item count whatever its length (a quote), and fewer than LEAST never do.
+QUOTE, LEAST = 13, 8
+#: Words that each slot costs whose value contradicts the item's.
+CONFLICT = 8
+#: Shift of offsets that a band tolerates at least; bands are twice as wide and overlap.
+SHIFT = 8
 #: Up to this many benchmark windows (24 bytes each) the table is broadcast, beyond it is shuffled.
 BROADCAST_WINDOWS = 1_000_000
 #: Units that follow a number.
@@ -28,101 +37,124 @@ UNITS = (
     "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollars", "euros", "cents", "percent",
 )
 NUMBER, UNIT, NAME = "0", "1", "2"
-_SPLIT = r"[^\p{L}\p{N}]+"
+#: A number with separators and decimals, or a run of letters and digits that starts with a letter.
+_WORD = r"[0-9]+(?:[.,'\x{A0}\x{202F}][0-9]+)*|[\p{L}\p{N}&&[^0-9]][\p{L}\p{N}]*"
 
 
 def raw_words(text: Column) -> Column:
-    """Runs of letters and digits, as written."""
-    return F.array_remove(F.split(text, _SPLIT), "")
+    """Numbers and runs of letters and digits, as written; a unit attached to a number is a word of its own."""
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
 
-def template_words(text: Column) -> Column:
-    """The same runs, lower-cased, with placeholders; word for word beside ``raw_words``.
+def template_words(raw: Column, names: bool = True) -> Column:
+    """Lower-cased words with placeholders, word for word beside ``raw``.
 
-    A run of digits is a number, a unit word after one is a unit, a capitalised word inside
-    a sentence (after a lower-case letter or comma and one space) is a name.
+    A number is a number, a unit word after one is a unit and, with ``names``, any word of a
+    capital and small letters is a name.
     """
-    text = F.regexp_replace(text, r"(?<=[\p{Ll},;]\x20)\p{Lu}\p{Ll}+", NAME + "\u0000")
-    text = F.regexp_replace(text, r"[0-9]+", NUMBER)
-    text = F.regexp_replace(text, NUMBER + "\u0000", NAME)
-    text = F.regexp_replace(text, r"(?i)(?<=0\x20)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])", UNIT)
-    return F.array_remove(F.split(F.lower(text), _SPLIT), "")
+    digit = lambda w: F.substring(w, 1, 1).between("0", "9")
 
+    def each(w: Column, i: Column) -> Column:
+        before = F.get(raw, i - 1)
+        out = F.when(digit(w), NUMBER).when(digit(before) & F.lower(w).isin(*UNITS), UNIT)
+        if names:
+            out = out.when(w.rlike(r"^\p{Lu}\p{Ll}+$"), NAME)
+        return out.otherwise(F.when(w.rlike("[0-9]"), F.regexp_replace(F.lower(w), "[0-9]+", NUMBER)).otherwise(F.lower(w)))
 
-def _windows(raw: Column, words: Column, slotted: Column, width: int) -> Column:
-    """Array of (h, slots): hash of each window, and its raw words if it has a placeholder."""
+    return F.transform(raw, each)
+
+
+def _marked(w: Column) -> Column:
+    return w.isin(NUMBER, UNIT, NAME)
+
+
+def _forms(text: Column, id_col: Column, rows: DataFrame, id_as: str) -> DataFrame:
+    rows = rows.select(id_col.alias(id_as), raw_words(F.coalesce(text, F.lit(""))).alias("raw"))
+    return rows.select(id_as, "raw", template_words(F.col("raw")).alias("words"), template_words(F.col("raw"), False).alias("plain"))
+
+
+def _windows(width: int) -> Column:
+    """Array of (pos, h, slots) over ``words``, and over ``plain`` where a window has a name.
+
+    ``slots`` are the raw words of a window that has a placeholder.
+    """
     marks = F.array(*(F.lit(x) for x in (NUMBER, UNIT, NAME)))
-    at = F.sequence(F.lit(1), F.size(words) - width + 1)
-    plain = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(words, i, F.lit(width))).alias("h"), F.lit(None).cast("array<string>").alias("slots")))
-    full = F.transform(
-        at,
-        lambda i: F.struct(
-            F.xxhash64(F.slice(words, i, F.lit(width))).alias("h"),
-            F.when(F.arrays_overlap(F.slice(words, i, F.lit(width)), marks), F.slice(raw, i, F.lit(width))).alias("slots"),
-        ),
-    )
-    return F.when(F.size(words) < width, F.array().cast("array<struct<h:bigint,slots:array<string>>>")).when(slotted, full).otherwise(plain)
+    kind = "array<struct<pos:int,h:bigint,slots:array<string>>>"
+
+    def window(words: str, i: Column) -> Column:
+        w = F.slice(words, i, F.lit(width))
+        slots = F.when(F.arrays_overlap(w, marks), F.slice("raw", i, F.lit(width)))
+        return F.struct(i.alias("pos"), F.xxhash64(w).alias("h"), slots.alias("slots"))
+
+    at = F.sequence(F.lit(1), F.size("words") - width + 1)
+    named = F.filter(at, lambda i: F.array_contains(F.slice("words", i, F.lit(width)), NAME))
+    both = F.concat(F.transform(at, lambda i: window("words", i)), F.transform(named, lambda i: window("plain", i)))
+    return F.when(F.size("words") < width, F.array().cast(kind)).otherwise(both)
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """(item_id, bpos, h, n_windows, bwords, bslots) for each window of each item with enough literal words."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    items = benchmark.select(F.col(item_col).alias("item_id"), raw_words(text).alias("raw"), template_words(text).alias("words"))
-    wins = items.where(F.size("words") >= width).select(
-        "item_id",
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("words") - width + 1),
-                lambda i: F.struct(F.slice("words", i, F.lit(width)).alias("w"), F.slice("raw", i, F.lit(width)).alias("r")),
-            )
-        ).alias("bpos", "x"),
-    )
-    placeholder = lambda w: w.isin(NUMBER, UNIT, NAME)
-    wins = wins.where(F.size(F.filter("x.w", lambda w: ~placeholder(w))) >= literals)
-    wins = wins.select("item_id", "bpos", F.xxhash64("x.w").alias("h"), F.col("x.w").alias("bwords"), F.col("x.r").alias("bslots"))
-    counts = wins.groupBy("item_id").agg(F.countDistinct("bpos").alias("n_windows"))
+    """(item_id, bpos, h, n_windows, n_words, bwords, bslots) for each window, in both forms, of each item with enough literal words."""
+    items = _forms(F.col(text_col), F.col(item_col), benchmark, "item_id").where(F.size("words") >= max(width, LEAST))
+    at = F.sequence(F.lit(1), F.size("words") - width + 1)
+    of = lambda words: F.transform(at, lambda i: F.struct(i.alias("bpos"), F.slice(words, i, F.lit(width)).alias("w"), F.slice("raw", i, F.lit(width)).alias("r")))
+    wins = items.select("item_id", F.explode(F.concat(of("words"), of("plain"))).alias("x")).select("item_id", "x.*")
+    wins = wins.where(F.size(F.filter("w", lambda w: ~_marked(w))) >= literals)
+    wins = wins.select("item_id", "bpos", F.xxhash64("w").alias("h"), F.col("w").alias("bwords"), F.col("r").alias("bslots"))
+    counts = wins.groupBy("item_id").agg(F.count_distinct("bpos").alias("n_windows"), _covered("bpos", width).alias("n_words"))
     return wins.join(counts, "item_id").dropDuplicates(["item_id", "bpos", "h"])
 
 
+def _covered(bpos: str, width: int) -> Column:
+    """Aggregate: words that the windows at ``bpos`` cover."""
+    return F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(bpos), lambda p: F.sequence(p, p + width - 1)))))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    width: int = WINDOW, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS,
+    width: int = WINDOW, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS, quote: int = QUOTE,
 ) -> DataFrame:
     """(id_col, item_id, n_windows, n_hit, coverage, n_slots, same_values) for each document that holds an item.
 
-    A document holds an item if, at one offset, it has at least ``coverage`` of the item's
-    template windows and the values in the slots are consistent: one value of the item always
-    becomes the same value of the document, and two never become one. ``same_values`` tells
-    copies from questions asked again with other values.
+    A document holds an item if, within a band of offsets, its windows cover at least
+    ``coverage`` of the item's words or ``quote`` words, and no fewer than ``LEAST``. Each slot
+    of an item's value that becomes several values takes ``CONFLICT`` words off; two values may
+    become one. ``coverage`` is what remains, as a share. ``same_values`` tells copies from
+    questions asked again with other values.
 
-    Null and empty texts hold nothing; items shorter than one window can't be told from
+    Null and empty texts hold nothing; items of fewer than ``LEAST`` words can't be told from
     chance and are not searched; repeated rows count once; null ids are grouped as one
     document; extra columns are ignored.
     """
     bench = materialize(benchmark_windows(benchmark, item_col, item_text_col, width), "bench")
     n = bench.count()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select(F.col(id_col).alias("doc"), raw_words(text).alias("raw"), template_words(text).alias("words"))
-    words = words.withColumn("slotted", F.arrays_overlap("words", F.array(*(F.lit(x) for x in (NUMBER, UNIT, NAME)))))
-    seen = words.select("doc", F.posexplode(_windows(F.col("raw"), F.col("words"), F.col("slotted"), width)).alias("pos", "x"))
-    seen = seen.select("doc", "pos", F.col("x.h").alias("h"), F.col("x.slots").alias("slots"))
+    seen = _forms(F.col(text_col), F.col(id_col), docs, "doc").select("doc", F.explode(_windows(width)).alias("x")).select("doc", "x.*")
     hits = seen.join(F.broadcast(bench) if n <= broadcast_windows else bench, "h")
-    hits = hits.withColumn("offset", F.col("pos") - F.col("bpos"))
-    pairs = F.filter(
-        F.zip_with(F.col("bwords"), F.zip_with("bslots", "slots", lambda b, d: F.struct(F.lower(b).alias("b"), F.lower(d).alias("d"))), lambda k, p: F.struct(k.alias("k"), p["b"].alias("b"), p["d"].alias("d"))),
-        lambda x: x["k"].isin(NUMBER, UNIT, NAME),
-    )
-    pairs = F.when(F.col("slots").isNotNull(), pairs).otherwise(F.array().cast("array<struct<k:string,b:string,d:string>>"))
-    # one row for each window first, so that the sets below stay as small as one item's slots
-    by = hits.select("doc", "item_id", "offset", "bpos", "n_windows", pairs.alias("pairs")).groupBy("doc", "item_id", "offset").agg(
-        F.count_distinct("bpos").alias("n_hit"), F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    one_way = lambda key: F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["k"], x[key]))))
-    by = by.withColumn("coverage", F.col("n_hit") / F.col("n_windows"))
-    by = by.where(F.col("coverage") >= coverage).where((one_way("b") == F.size("pairs")) & (one_way("d") == F.size("pairs")))
+    # (item position, kind, item's value, document's value) of each slot
+    at = F.sequence(F.lit(0), F.lit(width - 1))
+    names = [F.lit(x) for x in ("at", "k", "b", "d")]
+    values = lambda i: (F.col("bpos") + i, F.get("bwords", i), F.lower(F.get("bslots", i)), F.lower(F.get("slots", i)))
+    pair = lambda i: F.named_struct(*(x for nv in zip(names, values(i), strict=True) for x in nv))
+    pairs = F.filter(F.transform(at, pair), lambda x: _marked(x["k"]))
+    pairs = F.when(F.col("slots").isNotNull(), pairs).otherwise(F.array().cast("array<struct<at:int,k:string,b:string,d:string>>"))
+    offset = F.col("pos") - F.col("bpos")
+    band = F.floor(offset / SHIFT).cast("int")
+    # each offset alone, and two overlapping bands; all hits, and those without names
+    groups = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("at")) for k, v in enumerate((offset, band, band + 1))))
+    named = F.array_contains("bwords", NAME)
+    forms = F.when(named, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    by = hits.select("doc", "item_id", "bpos", "n_windows", "n_words", pairs.alias("pairs"), F.explode(groups).alias("g"), forms.alias("forms"))
+    by = by.select("*", F.explode("forms").alias("form")).groupBy("doc", "item_id", "g", "form").agg(
+        F.count_distinct("bpos").alias("n_hit"), F.first("n_windows").alias("n_windows"), F.first("n_words").alias("n_words"), _covered("bpos", width).alias("covered"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+    )
+    by = by.where(F.col("covered") >= LEAST)
+    against = lambda x: F.exists("pairs", lambda y: (x["k"] == y["k"]) & (x["b"] == y["b"]) & (x["d"] != y["d"]))
+    lost = F.size(F.array_distinct(F.transform(F.filter("pairs", against), lambda x: x["at"])))
+    by = by.withColumn("left", F.col("covered") - CONFLICT * lost).where((F.col("left") >= LEAST) & ((F.col("left") >= coverage * F.col("n_words")) | (F.col("left") >= quote)))
     same = F.forall("pairs", lambda x: x["b"] == x["d"])
+    slots = F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["k"], x["b"], x["d"])))).cast("bigint")
     best = by.groupBy("doc", "item_id").agg(
-        F.max(F.struct("n_hit", "coverage", same.alias("same"), F.size("pairs").cast("bigint").alias("n_slots"))).alias("x"), F.first("n_windows").alias("n_windows")
+        F.max(F.struct("left", "n_hit", (F.col("left") / F.col("n_words")).alias("coverage"), same.alias("same"), slots.alias("n_slots"))).alias("x"), F.first("n_windows").alias("n_windows")
     )
     return best.select(
         F.col("doc").alias(id_col), "item_id", "n_windows", F.col("x.n_hit").alias("n_hit"), F.round("x.coverage", 4).alias("coverage"), F.col("x.n_slots").alias("n_slots"), F.col("x.same").alias("same_values"),
