@@ -38,3 +38,21 @@ def test_short_quote(spark):
     words = item.split()
     got = found(spark, [PROSE + " ".join(words[20:36]) + " " + PROSE, PROSE + " ".join(words[20:27]) + " " + PROSE], [item])
     assert set(got) == {(0, 0)}
+
+
+def test_other_values(spark):
+    texts = [
+        ITEM.upper(),
+        ITEM.lower(),
+        ITEM.replace("12", "3.5").replace("7", "1,000").replace("Alice", "Peter"),
+        re.sub("12|7", "5", ITEM),
+        RIDE.replace("Alice", "Peter").replace("5 km", "80km").replace("12", "1,200"),
+        "\n" + RIDE.replace("Alice", "Peter").upper(),
+        PROSE * 4,
+    ]
+    got = found(spark, texts, [ITEM, RIDE])
+    assert got == {(0, 0): True, (1, 0): True, (2, 0): False, (3, 0): False, (4, 1): False, (5, 1): True}
+
+
+def test_document_in_capitals_of_the_first_test(spark):
+    assert found(spark, [ITEM.upper()], [ITEM]) == {(0, 0): True}
