@@ -56,3 +56,61 @@ def test_other_values(spark):
 
 def test_document_in_capitals_of_the_first_test(spark):
     assert found(spark, [ITEM.upper()], [ITEM]) == {(0, 0): True}
+
+
+def test_short_and_odd_items_are_searched_whole(spark):
+    items = ["What is the capital of France today?", "one two three", "1 2 3 4 5 6 7 8 9 10", "", "la la la la la la la la la la la la", "?"]
+    texts = [
+        PROSE + "what is the capital of France TODAY " + PROSE,
+        PROSE + "what is the capital of Spain today " + PROSE,
+        "one two, three",
+        "one two four three",
+        "0 1 2 3 4 5 6 7 8 9 10 11",
+        "1 2 3 4 5 6 7 8 9 11",
+        "la " * 12,
+        "la " * 9,
+        "",
+    ]
+    assert set(found(spark, texts, items)) == {(0, 0), (2, 1), (4, 2), (6, 4)}
+
+
+def plain_search(text, item):
+    """Best share of an item's template windows that one band of offsets holds, searched in plain Python."""
+    mask = lambda t: [("0" if w[0].isdigit() else "2" if w[1:] and w[0].isupper() and w[1:].islower() else w.lower()) for w in re.findall(r"[0-9]+(?:[.,][0-9]+)*|[A-Z][a-z]+(?![A-Za-z])(?: [A-Z][a-z]+(?![A-Za-z]))*|[A-Za-z]+", t)]
+    a, b = mask(item), mask(text)
+    where, best = {}, 0.0
+    for i in range(len(a) - 4):
+        if sum(w not in "012" for w in a[i : i + 5]) >= 3:
+            where.setdefault(tuple(a[i : i + 5]), i)
+    for shift in range(-len(a), len(b)):
+        words = set()
+        for w, i in where.items():
+            if any(tuple(b[i + s : i + s + 5]) == w for s in range(max(-i, shift), shift + 8)):
+                words |= set(range(i, i + 5))
+        best = max(best, len(words) / max(1, len({j for i in where.values() for j in range(i, i + 5)})))
+    return best
+
+
+def reworded(rng, item):
+    """Other numbers and names, and a word more."""
+    words = re.sub(r"\d+", lambda m: str(rng.randint(2, 1_500)), item).replace("Alice", rng.choice(["Peter", "Mary Ann"])).split()
+    words.insert(rng.randrange(3, len(words) - 3), "very")
+    return " ".join(words)
+
+
+def test_recall_on_reworded_copies(spark):
+    rng = random.Random(11)
+    nouns = "farmer garden window bottle ticket market letter basket engine harbour meadow candle pocket bridge kettle ladder barrel pencil mirror saddle".split()
+    items = []
+    for _ in range(60):
+        a, b, c, d, e = (rng.choice(nouns) for _ in range(5))
+        items.append(f"The {a} of Alice holds {rng.randint(2, 99)} things near the {b} and {rng.randint(100, 999)} more in every {c}, so how many does the {d} need before it reaches the {e} again?")
+    texts = [PROSE + reworded(rng, x) + " " + PROSE for x in items]
+    clean = [" ".join(rng.choice(nouns + "the of and a in to was it".split()) for _ in range(120)) for _ in range(40)]
+    got = {k for k in found(spark, texts + clean, items)}
+    hit = sum((i, i) in got for i in range(len(items)))
+    print("recall on reworded copies", hit / len(items))
+    assert hit >= 0.9 * len(items)
+    assert not any(d >= len(texts) for d, _ in got)
+    # whatever a plain search finds by a wide margin is found
+    assert {(d, i) for d in range(12) for i in range(12) if plain_search(texts[d], items[i]) >= 0.8} <= got
