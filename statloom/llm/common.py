@@ -4,18 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: Rows that a Python worker handles at a time.
+ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Only on one machine (a local master, as in tests) a temporary folder is set where the
+    session names none; a cluster must name it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="statloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,6 +52,36 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """An Arrow batch in parts of at most ``ROWS`` rows."""
+    return (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+
+
+def per_row(rows: DataFrame, column: str, fields: str, make: Callable[[list], list]) -> DataFrame:
+    """``rows`` with ``column`` replaced by ``fields`` (DDL). ``make`` gets values of the column and
+    returns a list or array of the same length for each field. All other columns pass as they
+    are, as Arrow data: nulls beside them don't change their type."""
+    kept, made = [f for f in rows.schema if f.name != column], StructType.fromDDL(fields)
+    names, kinds = [f.name for f in [*kept, *made]], to_arrow_schema(made).types
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in parts_of(batch)):
+            new = [pa.array(x, k) for x, k in zip(make(part.column(column).to_pylist()), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *new], names)
+
+    return rows.mapInArrow(each, StructType([*kept, *made]))
+
+
+def keep_rows(rows: DataFrame, column: str, good: Callable[[list], np.ndarray]) -> DataFrame:
+    """Those of ``rows`` for whose ``column`` ``good`` returns True; they pass untouched as Arrow data."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in parts_of(batch)):
+            yield part.filter(pa.array(good(part.column(column).to_pylist()), pa.bool_()))
+
+    return rows.mapInArrow(each, rows.schema)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an undirected graph; root is the smallest node reachable.
 

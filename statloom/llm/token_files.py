@@ -14,16 +14,17 @@ bits. An index of block starts follows, then the documents' ids and lengths.
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statloom.llm.common import materialize, new_path
+from statloom.llm.common import materialize, new_path, parts_of
 from statloom.llm.tokens import encoder
 
 MAGIC = b"PFOR1\n"
@@ -31,8 +32,10 @@ BLOCK = 1024
 PERCENTILE = 90
 _HEAD = "<IHHB"
 _TAIL = "<QQQQ6s"
-#: Ids a writer gathers before it packs them.
+#: Ids that a writer gathers before it packs them, and that a reader holds.
 _GATHER = 256 * BLOCK
+#: Bytes of text that make a part, and the most tasks that read parts.
+PART_BYTES, MOST_READERS = 256 << 20, 50_000
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -89,91 +92,68 @@ def unpack_block(data: memoryview, at: int, block: int = BLOCK) -> np.ndarray:
     return values[:size] + np.uint32(low)
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", name: str = "ids") -> DataFrame:
-    """(id_col, ids): the ids of each row's whole text with the end id, as 32-bit little-endian bytes
-    (16-bit while every id fits). Null texts count as empty."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer)
-        last = np.array([end_id], enc.dtype).tobytes()
-        for pdf in batches:
-            yield pd.DataFrame({"i": pdf["i"], "ids": [enc.encode(t) + last for t in pdf["t"]]})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(each, f"i {kind}, ids binary").toDF(id_col, name)
-
-
-def _ranges(docs: DataFrame, id_col: str, parts: int) -> Column:
-    """Number of the range of ids, of about equally many rows, that a row falls into."""
-    cuts = docs.agg(F.percentile_approx(id_col, F.array(*(F.lit((i + 1) / parts) for i in range(parts - 1))), F.lit(100 * parts))).first()[0] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    if not cuts:
-        return F.lit(0)
-    # a binary search over the cuts
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(id_col) > F.lit(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    return F.coalesce(search(0, len(cuts)), F.lit(0))
-
-
-def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
     """Write the files of all rows of ``docs`` below ``path`` (default: in the shared folder) and
     return their manifest: part, path, n_docs, n_ids, n_bytes, start (ids of all parts before).
 
-    Parts are ranges of ids in ascending order, as many as the session has shuffle partitions.
-    Each attempt of a task writes a file of its own; the manifest names those of the attempts
-    that counted, so lost executors and repeated tasks do no harm. Ids are 64-bit integers;
-    nulls come first. Repeated ids stay in one part, ordered by their tokens.
+    Rows are dealt by ranges of (id, hash of the text), in ascending order, into parts of about
+    ``part_bytes`` of text, as many as the session has shuffle partitions at least; each part is
+    tokenised and written in one go, a gathering of ids at a time. Each attempt of a task
+    writes a file of its own; the manifest names those of the attempts that counted, so lost
+    executors and repeated tasks do no harm. Ids are 64-bit integers; nulls come first.
+    Repeated ids are ordered by their texts' hash, wherever a range ends.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = encode(docs, tokenizer, end_id, id_col, text_col).select(F.col(id_col).cast("bigint").alias("i"), "ids")
-    dealt = rows.withColumn("part", _ranges(docs.select(F.col(id_col).alias("i")), "i", parts).cast("int"))
-    ordered = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("i").asc_nulls_first(), F.xxhash64("ids"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    order = (F.col("i").asc_nulls_first(), F.col("h").asc_nulls_first())
+    ordered = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("i", "t")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        dtype = encoder(tokenizer).dtype
-        store, base = fs.FileSystem.from_uri(path)
-        store.create_dir(base, recursive=True)
-        part, out, wait, starts, ids, sizes = None, None, [], [], [], []
-        for pdf in batches:
-            if out is None and len(pdf):
-                part = int(pdf["part"].iloc[0])
+        enc = encoder(tokenizer)
+        dtype = enc.dtype
+        last = np.array([end_id], dtype).tobytes()
+        part, out, wait, held = TaskContext.get().partitionId(), None, [], 0
+        starts, ids, sizes, missing = array("Q"), array("q"), array("Q"), 0
+        for batch in (p for batch in batches for p in parts_of(batch)):
+            if out is None:
+                store, base = fs.FileSystem.from_uri(path)
+                store.create_dir(base, recursive=True)
                 name = f"part-{part:06d}-{TaskContext.get().taskAttemptId()}.pfor"
                 out = store.open_output_stream(f"{base}/{name}")
                 out.write(MAGIC)
-            for i, x in zip(pdf["i"], pdf["ids"], strict=True):
-                ids.append(i)
-                sizes.append(len(x) // dtype.itemsize)
-                wait.append(x)
-            if sum(map(len, wait)) >= _GATHER * dtype.itemsize:
-                run = np.frombuffer(b"".join(wait), dtype)
-                cut = len(run) // block * block
-                _put(out, pack_blocks(run[:cut], block), starts)
-                wait = [run[cut:].tobytes()]
+            missing += batch.column("i").null_count
+            ids.extend(batch.column("i").fill_null(0).to_pylist())
+            for text in batch.column("t"):
+                wait.append(enc.encode(text.as_py()) + last)
+                sizes.append(len(wait[-1]) // dtype.itemsize)
+                held += len(wait[-1])
+                if held >= _GATHER * dtype.itemsize:
+                    run = np.frombuffer(b"".join(wait), dtype)
+                    cut = len(run) // block * block
+                    _put(out, pack_blocks(run[:cut], block), starts)
+                    wait = [run[cut:].tobytes()]
+                    held = len(wait[0])
         if out is None:
             return
         _put(out, pack_blocks(np.frombuffer(b"".join(wait), dtype), block), starts)
-        at, missing = out.tell(), int(pd.isna(pd.Series(ids, dtype=object)).sum())
-        known = np.array([0 if pd.isna(i) else i for i in ids], "<i8")
-        out.write(np.array(starts, "<u8").tobytes() + known.tobytes() + np.array(sizes, "<u8").tobytes())
+        at = out.tell()
+        out.write(b"".join(np.frombuffer(x, k).astype(f"<{k[-2:]}").tobytes() for x, k in ((starts, "u8"), (ids, "i8"), (sizes, "u8"))))
         out.write(struct.pack(_TAIL, len(starts), len(ids), missing, at, MAGIC))
         n = out.tell()
         out.close()
-        yield pd.DataFrame({"part": [part], "path": [f"{path}/{name}"], "n_docs": [len(ids)], "n_ids": [sum(sizes)], "n_bytes": [n]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{path}/{name}"], "n_docs": [len(ids)], "n_ids": [sum(sizes)], "n_bytes": [n]})
 
-    files = materialize(ordered.mapInPandas(each, "part int, path string, n_docs bigint, n_ids bigint, n_bytes bigint"), "manifest")
+    files = materialize(ordered.mapInArrow(each, "part int, path string, n_docs bigint, n_ids bigint, n_bytes bigint"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file only
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def _put(out, blocks: list[bytes], starts: list[int]) -> None:
+def _put(out, blocks: list[bytes], starts: array) -> None:
     at = out.tell()
     for b in blocks:
         starts.append(at)
@@ -183,29 +163,36 @@ def _put(out, blocks: list[bytes], starts: list[int]) -> None:
 
 def read(manifest: DataFrame, id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """(id_col, start, n_tokens, ids): each document of the files that ``write`` listed; ``start``
-    counts the ids of all documents before it, ``ids`` is little-endian unsigned 32-bit."""
+    counts the ids of all documents before it, ``ids`` is little-endian unsigned 32-bit.
+
+    A file's index is read first, then runs of its blocks: a task holds one run, or one
+    document if that is longer.
+    """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        for pdf in batches:
-            for path, start in zip(pdf["path"], pdf["start"], strict=True):
+        for batch in batches:
+            for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 store, name = fs.FileSystem.from_uri(path)
                 with store.open_input_file(name) as f:
-                    yield from _documents(memoryview(f.read()), int(start), block)
+                    yield from _documents(f, start, block)
 
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = manifest.select("path", "start").repartition(n, "path")
-    return rows.mapInPandas(each, "i bigint, start bigint, n_tokens bigint, ids binary").withColumnRenamed("i", id_col)
+    files = manifest.select("path", "start")
+    n = max(1, min(files.count(), MOST_READERS))
+    return files.repartition(n, "path").mapInArrow(each, "i bigint, start bigint, n_tokens bigint, ids binary").withColumnRenamed("i", id_col)
 
 
-def _documents(data: memoryview, start: int, block: int) -> Iterator[pd.DataFrame]:
-    n_blocks, n_docs, missing, at, magic = struct.unpack_from(_TAIL, data, len(data) - struct.calcsize(_TAIL))
-    if magic != MAGIC or bytes(data[: len(MAGIC)]) != MAGIC:
+def _documents(f, start: int, block: int) -> Iterator[pa.RecordBatch]:
+    size = f.size()
+    tail = struct.calcsize(_TAIL)
+    n_blocks, n_docs, missing, at, magic = struct.unpack(_TAIL, f.read_at(tail, size - tail))
+    if magic != MAGIC or f.read_at(len(MAGIC), 0) != MAGIC:
         raise ValueError("not a token file")
-    blocks = np.frombuffer(data, "<u8", n_blocks, at)
-    ids = np.frombuffer(data, "<i8", n_docs, at + 8 * n_blocks)
-    sizes = np.frombuffer(data, "<u8", n_docs, at + 8 * (n_blocks + n_docs)).astype(np.int64)
+    index = f.read_at(size - tail - at, at)
+    blocks = np.append(np.frombuffer(index, "<u8", n_blocks), at).astype(np.int64)
+    ids = np.frombuffer(index, "<i8", n_docs, 8 * n_blocks)
+    sizes = np.frombuffer(index, "<u8", n_docs, 8 * (n_blocks + n_docs)).astype(np.int64)
     ends = np.cumsum(sizes)
     done = first = 0
     have = np.zeros(0, np.uint32)
@@ -214,16 +201,17 @@ def _documents(data: memoryview, start: int, block: int) -> Iterator[pd.DataFram
         # documents of about one gathering at a time, one at least
         last = max(first + 1, int(np.searchsorted(ends, begin + _GATHER, "right")))
         want = -(-int(ends[last - 1]) // block)
-        have = np.concatenate([have, *(unpack_block(data, int(b), block) for b in blocks[done:want])])
-        done = max(done, want)
-        cuts = [int(x) - begin for x in (ends - sizes)[first:last]] + [int(ends[last - 1]) - begin]
-        raw = have.astype("<u4")
-        yield pd.DataFrame(
+        raw = memoryview(f.read_at(int(blocks[want] - blocks[done]), int(blocks[done])))
+        have = np.concatenate([have, *(unpack_block(raw, int(b - blocks[done]), block) for b in blocks[done:want])])
+        done = want
+        cuts = np.append((ends - sizes)[first:last], ends[last - 1]) - begin
+        whole = have.astype("<u4").tobytes()
+        yield pa.RecordBatch.from_pydict(
             {
-                "i": pd.Series(ids[first:last], dtype="Int64").mask(np.arange(first, last) < missing) if missing > first else ids[first:last],
+                "i": pa.array(ids[first:last], pa.int64(), mask=np.arange(first, last) < missing),
                 "start": start + (ends - sizes)[first:last],
                 "n_tokens": sizes[first:last],
-                "ids": [raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
+                "ids": pa.array([whole[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
             }
         )
         have, begin, first = have[cuts[-1] :], int(ends[last - 1]), last

@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words that one generation of the memory holds, and the longest word it takes.
-MEMORY_WORDS, MEMORY_CHARS = 300_000, 64
+MEMORY_WORDS, MEMORY_CHARS = 250_000, 64
 _SPACES = re.compile(r" (?:\s|$)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 #: Separators to Python's str.split, but not white space to the tokenizer.
@@ -34,6 +34,14 @@ _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PR
 _PROBES = ("a", "Word", "élan", "Être", "word,", "naïve...", "ÄÖÜß", "zzqx", "The)%%%", "one.\nTwo")
 
 
+class _Letters(dict):
+    """How a byte-level vocabulary writes each character."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = out = c.encode().decode("latin-1").translate(_BYTES)
+        return out
+
+
 class _Memory(dict):
     """Ids of words, asked of ``encode`` once. A full generation becomes the old one, whose
     words come back when they are used again, so that frequent words are never lost."""
@@ -44,17 +52,43 @@ class _Memory(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
-        if ids is None:
-            ids = self.encode(word)
-            if len(word) > MEMORY_CHARS:
-                return ids
-        if len(self) >= MEMORY_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
+        return self.keep(word, self.encode(word)) if ids is None else self.keep(word, ids)
+
+    def keep(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= MEMORY_CHARS:
+            if len(self) >= MEMORY_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
 
+class _Words(_Memory):
+    """A memory of plain words; punctuation behind them is looked up by itself. What is composed is kept
+    only for words met before, so that rare ones take one place."""
+
+    def __init__(self, encode, tails: _Memory, whole):
+        super().__init__(encode)
+        self.tails, self.whole = tails, whole
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is not None:
+            return self.keep(word, ids)
+        core = word.rstrip(_TAIL)
+        if (core.isascii() and core.isalpha()) or _PLAIN.fullmatch(core):
+            if len(core) == len(word):
+                return self.keep(word, self.encode(word))
+            met = core in self
+            ids = self[core] + self.tails[word[len(core) :]]
+            return self.keep(word, ids) if met else ids
+        if "\n" in word:
+            ids = self.whole(word, True)
+            if ids is not None:
+                return ids
+        return self.keep(word, self.whole(word, False))
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 16-bit bytes (32-bit if ``dtype`` says so)."""
 
@@ -77,36 +111,34 @@ class Encoder:
             self.by = "word"
         self._lead = " " if self.by == "space" else ""
         self._code = "H" if self.dtype.itemsize == 2 else "I"
-        self._model, self._direct = self.library.model, True
-        self._known, self._tails, self._starts = _Memory(self._word), _Memory(self._library), _Memory(self._start)
-        self._direct = self.by != "whole" and all(self._plain(w) == self._library(self._lead + w) for w in _PROBES if self.by == "space" or "\n" not in w)
+        self._model, self._letters = self.library.model, _Letters()
+        self._tails = _Memory(self._library)
+        self._known = _Words(lambda w: self._plain(self._lead + w), self._tails, self._word)
+        self._starts = _Words(self._plain, self._tails, self._start)
+        if self.by != "whole" and not all(self._known[w] == self._library(self._lead + w) for w in _PROBES if self.by == "space" or "\n" not in w):
+            self._known, self._starts = _Memory(lambda w: self._library(self._lead + w)), _Memory(self._library)
 
     def _library(self, text: str) -> bytes:
         return array(self._code, self.library.encode_batch_fast((text,), add_special_tokens=False)[0].ids).tobytes()
 
-    def _plain(self, word: str, lead: str | None = None) -> bytes | None:
-        if "\n" in word:
-            # between two words one line break is a pre-token of its own
-            parts = word.split("\n")
-            if any(not x or x[0].isspace() or x[-1].isspace() for x in parts):
-                return None
-            return self._tails["\n"].join((self._known[parts[0]], *map(self._starts.__getitem__, parts[1:])))
-        core = word.rstrip(_TAIL)
-        if not _PLAIN.fullmatch(core):
+    def _plain(self, text: str) -> bytes:
+        """Ids of one pre-token of letters, with its space before it if it has one."""
+        spelt = "".join(map(self._letters.__getitem__, text.lower() if self.by == "word" else text))
+        return array(self._code, [x.id for x in self._model.tokenize(spelt)]).tobytes()
+
+    def _word(self, word: str, lines: bool) -> bytes | None:
+        """Ids of a word that isn't plain; with ``lines`` only of one that single line breaks divide
+        (between two words such a break is a pre-token of its own), else None."""
+        if not lines:
+            return self._library(self._lead + word)
+        parts = word.split("\n")
+        if any(not x or x[0].isspace() or x[-1].isspace() for x in parts):
             return None
-        if len(core) < len(word):
-            return (self._known if lead is None else self._starts)[core] + self._tails[word[len(core) :]]
-        text = (self._lead if lead is None else lead) + (core.lower() if self.by == "word" else core)
-        return array(self._code, [x.id for x in self._model.tokenize(text.encode().decode("latin-1").translate(_BYTES))]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        ids = self._plain(word) if self._direct else None
-        return self._library(self._lead + word) if ids is None else ids
-
-    def _start(self, word: str) -> bytes:
-        """A word without a space before it."""
-        ids = self._plain(word, "") if self._direct else None
-        return self._library(word) if ids is None else ids
+        return self._tails["\n"].join((self._known[parts[0]], *map(self._starts.__getitem__, parts[1:])))
+
+    def _start(self, word: str, lines: bool) -> bytes | None:
+        """Ids of a word without a space before it."""
+        return None if lines else self._library(word)
 
     def encode(self, text: str | None) -> bytes:
         """Null counts as empty; no special ids are added."""
