@@ -2,12 +2,14 @@
 
 Everything here is DataFrame code. Base generators find strictly defined spans, which always
 stay. High-recall generators propose further, overlapping spans of looser form; gradient
-boosted trees score them from format and context, and a threshold calibrated on labelled
-examples selects those that are added.
+boosted trees score them from format and context. A threshold for each kind, calibrated on
+labelled examples that the trees haven't seen, selects candidates, and of those that overlap
+the likeliest is added.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -36,6 +38,11 @@ LOOSE = {
     "phone_loose": r"(?<![0-9+.-])\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,5}){1,5}(?![0-9.-]?[0-9])",
     "id_loose": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban_loose": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    # a run of 16 or more with a digit and a letter in it
+    "secret_loose": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+",
+    "name_loose": r"(?<=\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Sra?|name|named|nombre|nom|by|from|von|par|por)[.:]?\x20)\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+){0,2}(?![\p{L}\p{N}])",
+    "address_loose": r"(?<![\p{L}\p{N}])(?:[0-9]{1,5}\x20(?:\p{Lu}\p{Ll}+\x20){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Drive|Boulevard|Court)|\p{Lu}\p{Ll}{2,20}(?:straße|strasse|weg|platz|gasse)\x20[0-9]{1,4}|[0-9]{1,4},?\x20(?:rue|avenue|place)\x20(?:d[eu]s?\x20(?:la\x20)?)?\p{Lu}\p{Ll}+|[Cc]alle\x20(?:de\x20(?:la\x20)?)?\p{Lu}\p{Ll}+,?\x20[0-9]{1,4})(?![\p{L}\p{N}])",
+    "birth_loose": r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[./-][0-9]{2}[./-][0-9]{2})(?![./-]?[0-9])",
 }
 #: What must occur in a text for the pattern to be tried at all.
 NEEDS = {
@@ -47,14 +54,24 @@ NEEDS = {
     "phone_loose": r"[0-9]\)?[\x20./-][0-9]",
     "id_loose": r"[0-9]-[0-9]",
     "iban_loose": r"[A-Z]{2}[0-9]{2}",
+    "secret_loose": r"[A-Za-z][_+/=-]*+[0-9]|[0-9][_+/=-]*+[A-Za-z]",
+    "name_loose": r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señora?|Sra?|named?|nombre|nom|by|from|von|par|por)[.:]?\x20\p{Lu}",
+    "address_loose": r"[0-9],?\x20(?:\p{Lu}|rue|avenue|place)|(?:straße|strasse|weg|platz|gasse)\x20[0-9]|[Cc]alle\x20",
+    "birth_loose": r"[0-9][./-][0-9]{1,2}[./-][0-9]",
 }
 KINDS = [*BASE, *LOOSE]
 #: Words that announce personal data, in the corpus's four languages.
-CUES = (
-    "phone", "tel", "call", "mobile", "fax", "telefon", "anruf", "téléphone", "teléfono", "llame",
-    "mail", "email", "contact", "kontakt", "write", "correo", "courriel", "contacto",
-    "ssn", "social", "passport", "id", "iban", "account", "konto", "compte", "cuenta", "bank",
-)
+CUES = {
+    "contact": ("phone", "tel", "call", "mobile", "fax", "telefon", "anruf", "téléphone", "teléfono", "llame", "mail", "email", "contact", "kontakt", "write", "correo", "courriel", "contacto"),
+    "account": ("ssn", "social", "passport", "id", "iban", "account", "konto", "compte", "cuenta", "bank"),
+    "secret": ("token", "key", "apikey", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "kennwort", "contraseña"),
+    "checksum": ("commit", "sha", "checksum", "hash", "digest", "file", "page", "etag"),
+    "birth": ("born", "birth", "dob", "birthday", "geboren", "geburtsdatum", "né", "née", "naissance", "nacido", "nacida", "nacimiento"),
+    "person": ("mr", "mrs", "ms", "dr", "prof", "herr", "frau", "mme", "monsieur", "madame", "señor", "señora", "sr", "sra", "name", "named", "nombre", "nom"),
+    "home": ("live", "lives", "address", "home", "wohnt", "adresse", "anschrift", "habite", "vive", "dirección"),
+}
+#: Capitalised words that are no names of persons.
+NO_NAMES = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "north", "south", "east", "west", "new", "united", "saint", "the", "this", "that")
 CONTEXT = 32
 _CHUNK = 256
 
@@ -155,94 +172,178 @@ def _features(value: Column, kind: Column, before: Column) -> dict[str, Column]:
         "slashes": value.contains("/").cast("double"),
         "dots": value.contains(".").cast("double"),
         "year_like": value.rlike(r"(?<![0-9])(19|20)[0-9]{2}(?![0-9])").cast("double"),
-        "cue": F.arrays_overlap(words, F.array(*(F.lit(c) for c in CUES))).cast("double"),
-        "colon": F.rtrim(before).endswith(":").cast("double"),
+        **{f"cue_{k}": F.arrays_overlap(words, F.array(*(F.lit(c) for c in cues))).cast("double") for k, cues in CUES.items()},
+        "colon": before.rlike(r"[:=][\x20\"']*$").cast("double"),
         "digit_before": before.rlike(r"[0-9][.,\x20]?$").cast("double"),
+        "hex": value.rlike(r"^[0-9a-f]+$").cast("double"),
+        "mixed": (value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]")).cast("double"),
+        "joined": F.length(F.regexp_replace(value, r"[^_/-]", "")).cast("double"),
+        "no_name": F.lower(value).rlike(rf"^(?:{'|'.join(NO_NAMES)})\b").cast("double"),
     }
 
 
-def examples(spark: SparkSession, n: int = 240) -> DataFrame:
-    """``n`` labelled candidates of each of ten forms, drawn by a rule from their number.
+def examples(spark: SparkSession, n: int = 160) -> DataFrame:
+    """(kind, value, before, label): ``n`` labelled candidates of each form, drawn by a rule from their number.
 
-    A fixed, bounded training table (10 n rows): personal data with and without cue words,
-    and what looks alike: dates, times, ratios, versions, prices, part numbers, prose.
+    A fixed, bounded training table (n rows for each of some forty forms): personal data with
+    and without cue words, and what looks alike: dates, times, ratios, versions, prices, part
+    numbers, checksums, prose. Texts that several generators propose are there under each kind.
     """
-    i = F.col("id")
-    d = lambda salt, w: F.lpad((F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(10**w))).cast("string"), w, "0")
-    pick = lambda salt, *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(xs))) + 1).cast("int"))
-    cue = pick(90, "call me on ", "Tel: ", "phone: ", "telefon ", "my mobile ", "contact ", "kontakt: ", "téléphone ")
-    plain = pick(91, "in the ", "of about ", "was ", "and then ", "the ratio ", "page ", "between ", "den ")
-    mail = pick(92, "mail ", "write to ", "contact: ", "email: ", "correo ", "")
-    money = pick(93, "iban ", "account: ", "konto ", "bank ", "cuenta ", "")
+    salts = iter(range(10_000))
+    at = lambda width: F.pmod(F.xxhash64(F.col("id"), F.lit(next(salts))), F.lit(width))
+    d = lambda w: F.lpad(at(10**w).cast("string"), w, "0")
+    pick = lambda *xs: F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in xs)), (at(len(xs)) + 1).cast("int"))
+    cat = lambda *xs: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in xs))
+    hexes = lambda w: F.lower(F.substring(F.sha2(F.concat(F.col("id"), F.lit(str(next(salts)))), 256), 1, w))
+    base62 = lambda w: F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.col("id"), F.lit(str(next(salts)))), 256))), "[+/=]", "x"), 1, w)
+    call = lambda: pick("call me on ", "Tel: ", "phone: ", "telefon ", "my mobile ", "contact ", "kontakt: ", "téléphone ")
+    plain = lambda: pick("in the ", "of about ", "was ", "and then ", "the ratio ", "between ", "den ", "que la ", "est le ", "")
+    mail = lambda: pick("mail ", "write to ", "contact: ", "email: ", "correo ", "")
+    money = lambda: pick("iban ", "account: ", "konto ", "bank ", "cuenta ", "")
+    mark = lambda: cat(pick("token", "api_key", "secret", "password", "auth key", "bearer token", "kennwort"), pick(" = \"", "=", ": ", " = ", " '"))
+    born = lambda: pick("born on ", "dob: ", "birthday ", "geboren am ", "née le ", "nacido el ", "date of birth: ")
+    title = lambda: pick("Mr ", "Mrs. ", "Dr. ", "Herr ", "Frau ", "Señor ", "Madame ", "my name is ", "name: ")
+    lives = lambda: pick("lives at ", "address: ", "wohnt in der ", "Anschrift: ", "habite ", "dirección: ", "")
+    first, last = lambda: pick("Anna", "Peter", "Maria", "Jonas", "Claire", "Pablo"), lambda: pick("Keller", "Miller", "Garcia", "Dubois", "Novak", "Young")
+    sep = lambda: pick(" ", "-", ".", "/")
+    long_date = lambda: cat(d(1), pick("1", "7"), pick(".", "/", "-"), "0", pick("1", "5", "9"), F.lit("/"), pick("19", "20"), d(2))
+    iso_date = lambda: cat(pick("19", "20"), d(2), "-", pick("01", "07", "12"), "-", pick("03", "18", "27"))
     forms = [
-        ("phone_loose", F.concat(d(1, 3), F.lit("-"), d(2, 3), F.lit("-"), d(3, 4)), cue, 1),
-        ("phone_loose", F.concat(F.lit("("), d(4, 3), F.lit(") "), d(5, 3), pick(6, " ", "-", "."), d(7, 4)), cue, 1),
-        ("phone_loose", F.concat(F.lit("0"), d(8, 3), pick(9, " ", "/", "-"), d(10, 3), F.lit(" "), d(11, 4)), cue, 1),
-        ("phone_loose", F.concat(pick(12, "19", "20"), d(13, 2), F.lit("-"), pick(14, "01", "07", "12"), F.lit("-"), pick(15, "03", "18", "27")), plain, 0),
-        ("phone_loose", F.concat(d(16, 2), pick(17, "/", ".", " "), d(18, 2)), plain, 0),
-        ("phone_loose", F.concat(d(19, 3), F.lit(" "), d(20, 3)), plain, 0),
-        ("email_loose", F.concat(pick(21, "ana", "j.doe", "kim_l"), pick(22, " (at) ", " at ", "[at]"), pick(23, "mail", "uni-x", "firm"), pick(24, " dot ", "(dot)", " [dot] "), pick(25, "com", "org", "de")), mail, 1),
-        ("email_loose", F.concat(pick(26, "look", "was", "arrived", "meet"), F.lit(" at "), pick(27, "noon", "home", "last", "the"), F.lit(". "), pick(28, "then", "it", "she", "and")), plain, 0),
-        ("id_loose", F.concat(d(29, 3), F.lit("-"), d(30, 2), F.lit("-"), d(31, 4)), pick(94, "ssn ", "social: ", "id ", "number ", ""), 1),
-        ("iban_loose", F.concat(pick(32, "DE", "FR", "ES", "GB"), d(33, 2), F.lit(" "), d(34, 4), F.lit(" "), d(35, 4), F.lit(" "), d(36, 4), F.lit(" "), d(37, 4)), money, 1),
+        ("phone_loose", cat(d(3), "-", d(3), "-", d(4)), call(), 1),
+        ("phone_loose", cat("(", d(3), ") ", d(3), sep(), d(4)), call(), 1),
+        ("phone_loose", cat("0", d(3), sep(), d(3), " ", d(4)), call(), 1),
+        ("phone_loose", cat("0", d(2), " ", d(3), " ", d(4)), plain(), 1),
+        ("phone_loose", cat("(0", d(3), ") ", d(5)), plain(), 1),
+        ("phone_loose", cat(d(2), sep(), d(2)), plain(), 0),
+        ("phone_loose", cat(d(3), " ", d(3)), plain(), 0),
+        ("phone_loose", cat(d(2), ".", d(2), ".", d(2)), pick("version ", "release ", "chapter "), 0),
+        ("phone_loose", cat(d(4), " ", d(4), " ", d(4)), plain(), 0),
+        ("phone_loose", iso_date(), plain(), 0),
+        ("phone_loose", iso_date(), born(), 0),
+        ("phone_loose", long_date(), born(), 0),
+        ("email_loose", cat(pick("ana", "j.doe", "kim_l"), pick(" (at) ", " at ", "[at]"), pick("mail", "uni-x", "firm"), pick(" dot ", "(dot)", " [dot] "), pick("com", "org", "de")), mail(), 1),
+        ("email_loose", cat(pick("look", "was", "arrived", "meet"), " at ", pick("noon", "home", "last", "the"), ". ", pick("then", "it", "she", "and")), plain(), 0),
+        ("id_loose", cat(d(3), "-", d(2), "-", d(4)), pick("ssn ", "social: ", "id ", "number ", ""), 1),
+        ("id_loose", cat(d(3), "-", d(2), "-", d(4)), pick("page ", "file ", "etag "), 0),
+        ("phone_loose", cat(d(3), "-", d(2), "-", d(4)), pick("ssn ", "social: ", "id "), 0),
+        ("iban_loose", cat(pick("DE", "FR", "ES", "GB"), d(2), " ", d(4), " ", d(4), " ", d(4), " ", d(4)), money(), 1),
+        ("iban_loose", cat(pick("AB", "XK", "PT"), d(2), pick("ABCD", "PART"), d(4)), pick("part ", "file ", "page "), 0),
+        ("secret_loose", hexes(40), mark(), 1),
+        ("secret_loose", hexes(32), mark(), 1),
+        ("secret_loose", base62(32), mark(), 1),
+        ("secret_loose", cat(pick("sk-", "ghp_", "pk_live_"), base62(36)), mark(), 1),
+        ("secret_loose", cat(pick("sk-", "ghp_", "xoxb-"), base62(36)), plain(), 1),
+        ("secret_loose", base62(40), plain(), 1),
+        ("secret_loose", hexes(40), pick("commit ", "sha ", "checksum: ", "hash ", "file "), 0),
+        ("secret_loose", hexes(40), plain(), 0),
+        ("secret_loose", cat(pick("chapter-", "section_", "part-"), d(2), pick("-of-the-rules", "_final_version", "-and-more-of-it")), plain(), 0),
+        ("secret_loose", cat("word", d(1), pick("wordwordwordword", "andandandandand", "xxxxxxxxxxxxxxx")), plain(), 0),
+        ("secret_loose", cat(pick("KX", "MODEL", "REF"), "-", d(4), "-", d(4), "-", d(4)), plain(), 0),
+        ("name_loose", cat(first(), " ", last()), title(), 1),
+        ("name_loose", last(), pick("Mr ", "Mrs. ", "Dr. ", "Herr ", "Frau ", "Señora "), 1),
+        ("name_loose", cat(pick("Monday", "March", "North", "New", "United", "This"), pick("", " Morning", " America", " York")), pick("by ", "from ", "von ", "por "), 0),
+        ("name_loose", pick("Then", "One", "Other", "Water", "Paris", "Music"), pick("by ", "from ", "von ", "par ", "por "), 0),
+        ("address_loose", cat(d(2), " ", pick("Mill", "High", "Oak Tree"), " ", pick("Street", "Road", "Avenue", "Lane")), lives(), 1),
+        ("address_loose", cat(pick("Haupt", "Garten", "Linden"), pick("straße ", "weg ", "platz "), d(2)), lives(), 1),
+        ("address_loose", cat(pick("12, rue de ", "7 rue du ", "Calle de "), pick("Lyon", "Nord", "Madrid"), pick("", ", 12")), lives(), 1),
+        ("address_loose", cat(d(4), " ", pick("Main", "First"), " ", pick("Drive", "Court")), pick("sold ", "about ", "model "), 0),
+        ("birth_loose", iso_date(), born(), 1),
+        ("birth_loose", long_date(), born(), 1),
+        ("birth_loose", iso_date(), plain(), 0),
+        ("birth_loose", long_date(), plain(), 0),
     ]
     rows = spark.range(n)
     made = [rows.select(F.lit(k).alias("kind"), v.alias("value"), b.alias("before"), F.lit(float(y)).alias("label")) for k, v, b, y in forms]
     return reduce(DataFrame.unionAll, made)
 
 
+@dataclass(frozen=True)
+class Selector:
+    """Boosted trees, as nested (feature, cut, left, right) with leaves' values, their weights, and a threshold for each kind."""
+
+    trees: tuple
+    thresholds: dict[str, float]
+
+
 def _assembled(df: DataFrame) -> DataFrame:
     cols = _features(F.col("value"), F.col("kind"), F.col("before"))
     return VectorAssembler(inputCols=[f"f_{k}" for k in cols], outputCol="features").transform(df.withColumns({f"f_{k}": c for k, c in cols.items()}))
 
 
-def fit(spark: SparkSession, rounds: int = 8, depth: int = 3, precision: float = 0.98):
-    """(model, threshold): boosted trees, and the least score at which the held-out quarter of
-    the examples reaches ``precision``."""
-    data = materialize(_assembled(examples(spark)).select("features", "label", F.pmod(F.xxhash64("value", "before"), F.lit(4)).alias("fold")).coalesce(1), "pii-examples")
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7).fit(data.where("fold > 0"))
-    scored = model.transform(data.where("fold = 0")).select("label", F.round(vector_to_array("probability")[1], 6).alias("p"))
-    by = scored.groupBy("p").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).orderBy(F.desc("p")).collect()  # at most as many as examples
-    pos = n = 0
-    threshold = 1.0
-    for r in by:
-        pos, n = pos + r["pos"], n + r["n"]
-        if pos / n >= precision:
-            threshold = r["p"]
-    return model, max(threshold - 1e-6, 0.5)
+_FITTED: dict[tuple, Selector] = {}
+
+
+def fit(spark: SparkSession, rounds: int = 12, depth: int = 4, precision: float = 0.98) -> Selector:
+    """Trees over three quarters of ``examples``, and for each kind the least score (0.5 or more) at
+    which its part of the other quarter reaches ``precision``.
+
+    Trained once in a driver's life: the examples are fixed.
+    """
+    if (rounds, depth, precision) in _FITTED:
+        return _FITTED[rounds, depth, precision]
+    data = materialize(_assembled(examples(spark)).select("kind", "features", "label", F.pmod(F.xxhash64("value", "before"), F.lit(4)).alias("fold")).coalesce(1), "pii-examples")
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, maxBins=64, seed=7).fit(data.where("fold > 0"))
+    scored = model.transform(data.where("fold = 0")).select("kind", "label", F.round(vector_to_array("probability")[1], 6).alias("p"))
+    thresholds = {}
+    for kind in LOOSE:  # at most as many rows as examples
+        pos = n = 0
+        threshold = 1.0
+        for r in scored.where(F.col("kind") == kind).groupBy("p").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).orderBy(F.desc("p")).collect():
+            pos, n = pos + r["pos"], n + r["n"]
+            if pos / n >= precision:
+                threshold = r["p"]
+        thresholds[kind] = max(threshold - 1e-6, 0.5)
+    trees = tuple((float(w), _nested(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True))
+    return _FITTED.setdefault((rounds, depth, precision), Selector(trees, thresholds))
+
+
+def _nested(node):
+    if node.getClass().getSimpleName() == "LeafNode":
+        return float(node.prediction())
+    split = node.split()
+    return split.featureIndex(), float(split.threshold()), _nested(node.leftChild()), _nested(node.rightChild())
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row columns of ``docs`` needed: id and text) -> id_col, text_col, base, spans.
+    """(id_col, text_col, base, spans) for each row.
 
     ``base`` and ``spans`` are arrays of (kind, start, end, value); ``spans`` holds all of
-    ``base`` and what the trees select from the loose candidates that no base span overlaps.
-    Null and empty texts have no spans; repeated rows stay repeated; extra columns are ignored.
+    ``base`` and those loose candidates that no base span overlaps, that reach their kind's
+    threshold and that no likelier one overlaps (of equal ones the first counts). Null and
+    empty texts have no spans; repeated rows stay repeated; extra columns are ignored, and id
+    and text may have any names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col("__text"), F.lit(""))
     loose = F.concat(*(_spans(text, k, p) for k, p in LOOSE.items()))
-    apart = F.filter(F.col("__loose"), lambda x: ~F.exists(F.col("base"), lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    seen = docs.select(id_col, F.col(text_col), base_spans(F.col(text_col)).alias("base"), loose.alias("__loose")).withColumn("__loose", apart)
-    model, threshold = fit(docs.sparkSession)
-    trees = [(w, t) for w, t in zip(model.treeWeights, model.trees, strict=True)]
-    chosen = F.filter(F.col("__loose"), lambda x: _probability(trees, x, F.coalesce(F.col(text_col), F.lit(""))) >= F.lit(threshold))
-    return seen.select(id_col, text_col, "base", _ordered(F.concat(F.col("base"), chosen)).alias("spans"))
-
-
-def _probability(trees, x: Column, text: Column) -> Column:
+    cross = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
+    apart = F.filter(F.col("__loose"), lambda x: ~F.exists(F.col("__base"), lambda b: cross(x, b)))
+    seen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).select("__id", "__text", base_spans(F.col("__text")).alias("__base"), loose.alias("__loose")).withColumn("__loose", apart)
+    chosen = fit(docs.sparkSession)
+    least = F.create_map(*(F.lit(x) for kv in chosen.thresholds.items() for x in kv))
+    place = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))
+    scored = F.transform(F.col("__loose"), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _probability(chosen.trees, x, text).alias("p")))
+    seen = seen.withColumn("__loose", F.filter(scored, lambda x: x["p"] >= least[x["kind"]]))
+    rank = lambda x: F.struct(-x["p"], x["start"], x["kind"])
+    best = F.filter(F.col("__loose"), lambda x: ~F.exists(F.col("__loose"), lambda y: cross(x, y) & (rank(y) < rank(x))))
+    spans = _ordered(F.concat(F.col("__base"), F.transform(best, place)))
+    return seen.select(F.col("__id").alias(id_col), F.col("__text").alias(text_col), F.col("__base").alias("base"), spans.alias("spans"))
+
+
+def _probability(trees: tuple, x: Column, text: Column) -> Column:
     """The trees' probability as an expression over one candidate span."""
     start = F.greatest(x["start"] - CONTEXT, F.lit(0))
     before = F.substring(text, start + 1, x["start"] - start)
     cols = list(_features(x["value"], x["kind"], before).values())
-    margin = reduce(lambda a, b: a + b, (F.lit(float(w)) * _tree(t._call_java("rootNode"), cols) for w, t in trees))
+    # features are worked out once a candidate, as an array that the trees look into
+    margin = F.element_at(F.transform(F.array(F.array(*cols)), lambda f: reduce(lambda a, b: a + b, (F.lit(w) * _tree(t, f) for w, t in trees))), 1)
     return 1 / (1 + F.exp(-2 * margin))
 
 
-def _tree(node, cols: list[Column]) -> Column:
-    if node.getClass().getSimpleName() == "LeafNode":
-        return F.lit(float(node.prediction()))
-    split = node.split()
-    return F.when(cols[split.featureIndex()] <= F.lit(float(split.threshold())), _tree(node.leftChild(), cols)).otherwise(_tree(node.rightChild(), cols))
+def _tree(node, of: Column) -> Column:
+    if isinstance(node, float):
+        return F.lit(node)
+    feature, cut, left, right = node
+    return F.when(F.get(of, F.lit(feature)) <= F.lit(cut), _tree(left, of)).otherwise(_tree(right, of))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

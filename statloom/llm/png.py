@@ -10,10 +10,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.llm.common import per_row
+
 WIDTH = 576
 PAD = 255
 #: Fixed values of the format.
@@ -27,7 +28,10 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 
 def payload(text: str | None, width: int = WIDTH) -> bytes:
     """UTF-8 of the text (null: empty) with bytes 255 up to a positive multiple of ``width``."""
-    raw = (text or "").encode()
+    return padded((text or "").encode(), width)
+
+
+def padded(raw: bytes, width: int = WIDTH) -> bytes:
     return raw + bytes([PAD]) * (max(1, -(-len(raw) // width)) * width - len(raw))
 
 
@@ -132,14 +136,12 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     columns are ignored; an empty table gives an empty result.
     """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sizes = [len((t or "").encode()) for t in pdf["t"]]
-            yield pd.DataFrame({"i": pdf["i"], "n": pd.Series(sizes, dtype="int64"), "m": [encode(payload(t)) for t in pdf["t"]]})
+    def each(texts: list) -> list:
+        raw = [(t or "").encode() for t in texts]
+        return [list(map(len, raw)), [encode(padded(x)) for x in raw]]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(each, f"i {kind}, n bigint, m binary")
-    return made.toDF(id_col, "n_bytes", "media")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    return per_row(rows, "t", "n bigint, m binary", each).toDF(id_col, "n_bytes", "media")
 
 
 def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
@@ -151,18 +153,15 @@ def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
     """
     keep = [c for c in media.columns if c not in (media_col, "samples", "feature")]
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            samples, features = [], []
-            for m in pdf["__media"]:
-                try:
-                    rows = None if m is None else decode(m)
-                except (ValueError, zlib.error, struct.error):
-                    rows = None
-                samples.append(None if rows is None else rows.tobytes())
-                features.append(None if rows is None or not rows.size else frequency_hash(rows))
-            yield pdf.drop(columns="__media").assign(samples=samples, feature=features)
-
-    rows = media.select(*(F.col(f"`{c}`") for c in keep), F.col(media_col).alias("__media"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__media"]
-    return rows.mapInPandas(each, ", ".join([*fields, "samples binary", "feature binary"]))
+    def each(media: list) -> list:
+        samples, features = [], []
+        for m in media:
+            try:
+                rows = None if m is None else decode(m)
+            except (ValueError, zlib.error, struct.error):
+                rows = None
+            samples.append(None if rows is None else rows.tobytes())
+            features.append(None if rows is None or not rows.size else frequency_hash(rows))
+        return [samples, features]
+
+    return per_row(media.select(*(F.col(f"`{c}`") for c in keep), F.col(media_col).alias("__media")), "__media", "samples binary, feature binary", each)

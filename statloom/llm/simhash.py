@@ -19,13 +19,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statloom.llm.common import connected_components, materialize
+from statloom.llm.common import connected_components, materialize, per_row
 from statloom.llm.shingles import keep_one as keep_one
 
 #: Widths of the three blocks of a fingerprint, low bits first.
@@ -60,14 +60,10 @@ def simhash(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id_col, fp): the fingerprint of each row's whole text, as a signed long."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.fromiter((simhash(t, shingle) for t in pdf["t"]), np.uint64, len(pdf))
-            yield pd.DataFrame({"i": pdf["i"], "fp": fps.view(np.int64)})
+    def each(texts: list) -> list:
+        return [np.fromiter((simhash(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(each, f"i {kind}, fp bigint").withColumnRenamed("i", id_col)
+    return per_row(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "t", "fp bigint", each).withColumnRenamed("i", id_col)
 
 
 def ball_keys(fps: DataFrame) -> DataFrame:
@@ -117,16 +113,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> D
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("max_bits must be 0 to 3")
     keys = ball_keys(fps.select("fp").distinct())
-    n = F.count("*").over(Window.partitionBy("key"))
-    met = materialize(keys.withColumn("n", n).where("n > 1"), "met")
+    # counted with partial sums and joined back, so that a crowded key isn't in one task
+    counts = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met-counts")
+    met = materialize(keys.join(counts, "key"), "met")
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [x for v in pdf["fps"] for x in _forest(np.asarray(v, np.int64), max_bits)]
-            yield pd.DataFrame(dict(zip(("a", "b"), np.array(found, np.int64).reshape(-1, 2).T, strict=True)))
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for v in batch.column("fps") for x in _forest(v.values.to_numpy(), max_bits)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.array(found, np.int64).reshape(-1, 2).T], ["a", "b"])
 
     few = met.where(F.col("n") <= crowded).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    few = few.select("fps").mapInPandas(verify, "a bigint, b bigint")
+    few = few.select("fps").mapInArrow(verify, "a bigint, b bigint")
     hot = met.where(F.col("n") > crowded).select("fp").distinct()
     return few.unionAll(_hub_links(hot, max_bits))
 

@@ -1,14 +1,17 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over the presence of words. In labelled documents that mention an identity
-term, the term is swapped for another of its group, and the change of the score is penalised,
-so that a neutral mention of a group moves the score no more than that of any other.
+A logistic model over the presence of words and of their letter trigrams, which also know
+spellings that no training document has. Words that name groups of people share trigrams
+with other words, so a model of this kind judges them by their looks. Therefore each labelled
+document gives a sentence that mentions an identity term (its own, or one that is put there),
+the term is swapped for another of its group and left out, and both changes of the score are
+penalised: a neutral mention of a group moves the score as little as that of any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
@@ -16,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import materialize, text_of
+from statloom.llm.common import keep_rows, materialize, per_row, text_of
 
 #: Terms for groups of people in four languages; a term is swapped for others in its line.
 IDENTITY_TERMS = (
@@ -39,6 +42,8 @@ IDENTITY_TERMS = (
     ("inmigrante", "refugiado", "extranjero", "ciudadano"),
 )
 _GROUP = {t: line for line in IDENTITY_TERMS for t in line}
+#: Words whose trigrams a worker remembers before it starts anew.
+MEMORY_WORDS = 200_000
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’¿¡…–—"
 
 
@@ -47,27 +52,79 @@ def words_of(text: str | None) -> set[str]:
     return {w.strip(_EDGES) for w in set((text or "").lower().split())} - {""}
 
 
-def swapped(words: set[str]) -> set[str]:
-    """The words with every identity term replaced by another of its group, by a fixed rule."""
-    out = set()
-    for w in words:
-        line = _GROUP.get(w)
-        if line:
-            others = [x for x in line if x != w]
-            w = others[crc32(" ".join(sorted(words)[:8]).encode()) % len(others)]
-        out.add(w)
-    return out
+#: Marks a trigram among the features; "^" and "$" stand for a word's ends.
+_PART = "\x00"
+_SENTENCE = re.compile(r"[.!?\n]+")
+
+
+def parts_of_word(word: str) -> set[str]:
+    """Letter trigrams of one word."""
+    w = f"^{word}$"
+    return {_PART + w[i : i + 3] for i in range(len(w) - 2)}
+
+
+def features(words: set[str]) -> set[str]:
+    """The words and their trigrams."""
+    return words.union(*map(parts_of_word, words))
+
+
+def counterfactuals(text: str | None) -> list[tuple[set[str], set[str]]]:
+    """Pairs of word sets between which a text's score should not change.
+
+    One sentence of the text is picked by a fixed rule, one with an identity term if there is
+    any. If it has none, a term is put there. The pairs: with the term and with another of its
+    group; with the term and without it.
+    """
+    own = [w for w in map(words_of, _SENTENCE.split(text or "")) if w]
+    told = [w for w in own if w & _GROUP.keys()]
+    rule = crc32((text or "").encode())
+    base = (told or own or [set()])[rule % max(1, len(told or own))]
+    found = sorted(base & _GROUP.keys())
+    line = IDENTITY_TERMS[rule // 7 % len(IDENTITY_TERMS)] if not found else _GROUP[found[0]]
+    term = found[0] if found else line[rule // 119 % len(line)]
+    rest, others = base - {term}, [x for x in line if x != term]
+    return [(rest | {term}, rest | {others[rule // 833 % len(others)]}), (rest | {term}, rest)]
 
 
 @dataclass
 class Model:
     weights: dict[str, float]
     bias: float
+    #: Weighed trigrams of words that this process has seen.
+    seen: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False, compare=False)
+
+    def logit(self, words: set[str]) -> float:
+        if len(self.seen) > MEMORY_WORDS:
+            self.seen.clear()
+        known, weights = self.seen, self.weights
+        for w in words.difference(known):
+            known[w] = tuple(parts_of_word(w) & weights.keys())
+        parts = set().union(*map(known.__getitem__, words))
+        return self.bias + sum(weights[w] for w in words & weights.keys()) + sum(map(weights.__getitem__, parts))
 
     def score(self, text: str | None) -> float:
         """0 to 1; higher: likelier toxic. Null counts as empty."""
-        z = self.bias + sum(self.weights[w] for w in words_of(text) & self.weights.keys())
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return float(1 / (1 + np.exp(-np.clip(self.logit(words_of(text)), -500, 500))))
+
+    def scores(self, texts: list) -> np.ndarray:
+        return np.fromiter(map(self.score, texts), float, len(texts))
+
+    def __getstate__(self):
+        return self.weights, self.bias
+
+    def __setstate__(self, state):
+        self.weights, self.bias = state
+        self.seen = {}
+
+
+def group_gap(model: Model, sentences: list[str]) -> float:
+    """Mean, over neutral sentences and groups of terms, of the range of scores when a term is put there."""
+    gaps = []
+    for words in map(words_of, sentences):
+        for line in IDENTITY_TERMS:
+            z = [1 / (1 + np.exp(-np.clip(model.logit(words | {t}), -500, 500))) for t in line]
+            gaps.append(max(z) - min(z))
+    return float(np.mean(gaps)) if gaps else 0.0
 
 
 def training_rows(labels: DataFrame, label: str, limit: int, fold: int, out: int, id_col: str = "doc_id") -> DataFrame:
@@ -86,23 +143,21 @@ def fit(
     """Train on at most about ``limit`` labelled documents (the bound on what is broadcast or
     reaches the driver), those with crc32(id) mod ``fold`` = ``out`` left out.
 
-    Words: those in ``min_docs`` documents or more whose log odds are at least ``least_z``
-    standard errors from zero, ``vocabulary`` of them at most, and the identity terms.
-    ``fairness`` weighs the squared change of the score under swaps. A fifth of the sample
-    sets the decision threshold, which is shifted to ``at``. Without labels of both kinds the
-    model gives every text its prior.
+    Features: words and trigrams in ``min_docs`` documents or more whose log odds are at least
+    ``least_z`` standard errors from zero, ``vocabulary`` of them at most, and the identity
+    terms. ``fairness`` weighs the squared change of the score in ``counterfactuals``. A fifth of
+    the sample sets the decision threshold, which is shifted to ``at``. Without labels of both
+    kinds the model gives every text its prior.
     """
-    spark = docs.sparkSession
     rows = training_rows(labels, label, limit, fold, out, id_col)
 
-    def wordy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [words_of(t) for t in pdf["t"]]
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "w": [sorted(s) for s in sets], "v": [sorted(swapped(s)) if s & _GROUP.keys() else None for s in sets]})
+    def wordy(texts: list) -> list:
+        pairs = [[(features(a), features(b)) for a, b in counterfactuals(t)] for t in texts]
+        more, less = ([[sorted(x[k] - x[1 - k]) for x in p] for p in pairs] for k in (0, 1))
+        return [[sorted(features(words_of(t))) for t in texts], more, less]
 
-    kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).join(F.broadcast(rows), "id")
-    sample = materialize(texts.mapInPandas(wordy, f"id {kind}, y int, w array<string>, v array<string>"), "toxic-sample")
+    sample = materialize(per_row(texts, "t", "w array<string>, more array<array<string>>, less array<array<string>>", wordy), "toxic-sample")
     n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = (n1 + 1) / (n + 2)
     if not 0 < n1 < n:
@@ -115,12 +170,16 @@ def fit(
     vocab += [t for t in _GROUP if t not in set(vocab)]
     number = {w: i for i, w in enumerate(vocab)}
 
-    def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = lambda ws: None if ws is None else [number[w] for w in ws if w in number]
-        for pdf in batches:
-            yield pd.DataFrame({"k": [crc32(str(i).encode()) // fold % 5 for i in pdf["id"]], "y": pdf["y"], "w": pdf["w"].map(of), "v": pdf["v"].map(of)})
+    def indexed(lists: list) -> list:
+        return [[[number[w] for w in ws if w in number] for ws in lists]]
+
+    def indexed_pairs(lists: list) -> list:
+        return [[[[number[w] for w in ws if w in number] for ws in pairs] for pairs in lists]]
 
-    data = sample.mapInPandas(indexed, "k int, y int, w array<int>, v array<int>").toPandas()
+    data = per_row(sample, "w", "x array<int>", indexed)
+    for c in ("more", "less"):
+        data = per_row(data, c, f"{c}_x array<array<int>>", indexed_pairs)
+    data = data.select((F.floor(F.crc32(F.col("id").cast("string")) / fold) % 5).cast("int").alias("k"), "y", F.col("x").alias("w"), F.col("more_x").alias("more"), F.col("less_x").alias("less")).toPandas()
     w, bias = _logistic(data[data["k"] > 0], len(vocab), ridge, fairness)
     rest = data[data["k"] == 0]
     shift = 0.0
@@ -141,18 +200,19 @@ def _logistic(data: pd.DataFrame, k: int, ridge: float, fairness: float, rounds:
     """Weights and bias by accelerated gradient descent with adaptive steps."""
     y = data["y"].to_numpy(float)
     rows, cols = _csr(data["w"])
-    pairs = data[data["v"].notna()]
-    prow, pcol = _csr(pairs["w"])
-    vrow, vcol = _csr(pairs["v"])
+    more, less = (pd.Series([ws for pairs in data[c] for ws in pairs], dtype=object) for c in ("more", "less"))
+    pairs = len(more)
+    prow, pcol = _csr(more)
+    vrow, vcol = _csr(less)
     w = np.zeros(k + 1)
     w[k] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, rounds + 1):
         err = 1 / (1 + np.exp(-(w[k] + np.bincount(rows, w[cols], len(y))))) - y
         g = np.append(np.bincount(cols, err[rows], k) + ridge * w[:k], err.sum()) / len(y)
-        if len(pairs):
-            change = np.bincount(prow, w[pcol], len(pairs)) - np.bincount(vrow, w[vcol], len(pairs))
-            g[:k] += 2 * fairness / len(pairs) * (np.bincount(pcol, change[prow], k) - np.bincount(vcol, change[vrow], k))
+        if pairs and fairness:
+            change = np.bincount(prow, w[pcol], pairs) - np.bincount(vrow, w[vcol], pairs)
+            g[:k] += 2 * fairness / pairs * (np.bincount(pcol, change[prow], k) - np.bincount(vcol, change[vrow], k))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w[:k], float(w[k])
@@ -172,24 +232,14 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` without its text, with ``name``: the toxicity of each row's whole text.
 
-    Null and empty texts get the score of no words. Repeated rows stay repeated.
+    Null and empty texts get the score of no words. Repeated rows stay repeated. A column
+    already called ``name`` is replaced; all others pass untouched.
     """
     keep = [c for c in docs.columns if c not in (text_col, name)]
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.drop(columns="__text").assign(**{name: np.fromiter(map(model.score, pdf["__text"]), float, len(pdf))})
-
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"]
-    return rows.mapInPandas(each, ", ".join([*fields, f"`{name}` double"]))
+    return per_row(rows, "__text", f"`{name}` double", lambda texts: [model.scores(texts)])
 
 
 def reject(docs: DataFrame, model: Model, at: float = 0.7, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text scores ``at`` or more; columns as before."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[np.fromiter((model.score(t) < at for t in pdf[text_col]), bool, len(pdf))]
-
-    return docs.mapInPandas(each, docs.schema)
+    """``docs`` without the rows whose text scores ``at`` or more; columns and values as before."""
+    return keep_rows(docs, text_col, lambda texts: model.scores(texts) < at)

@@ -12,17 +12,21 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from statloom.llm.common import materialize, new_path
+from statloom.llm.common import materialize, new_path, parts_of
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GZIP = 31
 _READ = 1 << 20
+#: Repeated payloads (28 bytes each) whose first pages are broadcast, and the most tasks that read files.
+BROADCAST_ROWS, MOST_TASKS = 1_000_000, 50_000
 _FILES = "part int, path string, index string, n_records bigint, n_bytes bigint"
 
 
@@ -64,8 +68,8 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def first_pages(pages: DataFrame, id_col: str, key: str) -> DataFrame:
-    """(key, first): the smallest id of each payload; equal payloads are reduced before the shuffle."""
-    return pages.groupBy(key).agg(F.min(id_col).alias("first"))
+    """(key, first, n): the smallest id of each payload and its number of pages; equal payloads are reduced before the shuffle."""
+    return pages.groupBy(key).agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
 
 
 def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", level: int = 1) -> DataFrame:
@@ -80,33 +84,41 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
     path = path or new_path(pages.sparkSession, "warc")
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), payload.alias("p"), F.unhex(F.sha1(payload)).alias("d"))
-    told = rows.join(first_pages(rows.select("i", "d"), "i", "d"), "d", "left")
+    # only repeated payloads need their first page; while those are few, pages aren't shuffled at all
+    firsts = materialize(first_pages(rows.select("i", "d"), "i", "d").where("n > 1").drop("n"), "warc-firsts")
+    told = rows.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, "d", "left")
     told = told.select("i", "u", "p", "d", F.when(F.col("i").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("r"))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(path)
         store.create_dir(base, recursive=True)
         part, out, n, pack = TaskContext.get().partitionId(), None, 0, zlib.compressobj(level, zlib.DEFLATED, _GZIP)
         name = f"part-{part:06d}-{TaskContext.get().taskAttemptId()}.warc.gz"
-        for pdf in batches:
-            for i, u, p, d, r in zip(pdf["i"], pdf["u"], pdf["p"], pdf["d"], pdf["r"], strict=True):
+        for batch in (p for batch in batches for p in parts_of(batch)):
+            for i, u, p, d, r in zip(*(batch.column(c).to_pylist() for c in "iupdr"), strict=True):
                 out = out or store.open_output_stream(f"{base}/{name}", compression=None)
-                out.write(pack.compress(record(_id(i), u, p, _id(r), base64.b32encode(d).decode())))
+                out.write(pack.compress(record(i, u, p, r, base64.b32encode(d).decode())))
                 n += 1
         if out is None:
             return
         out.write(pack.flush())
         size = out.tell()
         out.close()
-        yield pd.DataFrame({"part": [part], "path": [f"{path}/{name}"], "index": [None], "n_records": [n], "n_bytes": [size]})
+        yield _file(part, f"{path}/{name}", None, n, size)
 
-    return materialize(told.mapInPandas(each, _FILES), "warc-files")
+    return materialize(told.mapInArrow(each, _FILES), "warc-files")
 
 
-def _id(x):
-    return None if pd.isna(x) else int(x) if isinstance(x, float) else x
+def _file(part: int, path: str, index: str | None, n: int, size: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "index": pa.array([index], pa.string()), "n_records": [n], "n_bytes": [size]})
+
+
+def _spread(manifest: DataFrame, *columns: str) -> DataFrame:
+    """A manifest's files, each to a task of its own while there aren't too many."""
+    rows = manifest.select(*columns)
+    return rows.repartition(max(1, min(rows.count(), MOST_TASKS)), "path")
 
 
 def inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -157,13 +169,13 @@ def normalize(manifest: DataFrame, path: str | None = None, level: int = 1) -> D
     spark = manifest.sparkSession
     path = path or new_path(spark, "warc-members")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         target, base = fs.FileSystem.from_uri(path)
         target.create_dir(base, recursive=True)
-        for pdf in batches:
-            for part, source in zip(pdf["part"], pdf["path"], strict=True):
+        for batch in batches:
+            for part, source in zip(batch.column("part").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 name = f"part-{part:06d}-{TaskContext.get().taskAttemptId()}.warc"
                 store, old = fs.FileSystem.from_uri(source)
                 at = n = 0
@@ -175,10 +187,9 @@ def normalize(manifest: DataFrame, path: str | None = None, level: int = 1) -> D
                         out.write(member)
                         index.write(b"%d\t%d\t%s\n" % (at, len(member), rid))
                         at, n = at + len(member), n + 1
-                yield pd.DataFrame({"part": [part], "path": [f"{path}/{name}.gz"], "index": [f"{path}/{name}.idx"], "n_records": [n], "n_bytes": [at]})
+                yield _file(part, f"{path}/{name}.gz", f"{path}/{name}.idx", n, at)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(manifest.select("part", "path").repartition(n, "path").mapInPandas(each, _FILES), "warc-members-files")
+    return materialize(_spread(manifest, "part", "path").mapInArrow(each, _FILES), "warc-members-files")
 
 
 def read(manifest: DataFrame, id_col: str = "page_id", id_type: str = "bigint") -> DataFrame:
@@ -189,12 +200,12 @@ def read(manifest: DataFrame, id_col: str = "page_id", id_type: str = "bigint")
     digest are those of the payload it repeats.
     """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         number = (lambda x: int(x) if x else None) if id_type in ("bigint", "int", "smallint", "tinyint") else (lambda x: x or None)
-        for pdf in batches:
-            for path, index in zip(pdf["path"], pdf["index"], strict=True):
+        for batch in batches:
+            for path, index in zip(batch.column("path").to_pylist(), batch.column("index").to_pylist(), strict=True):
                 store, name = fs.FileSystem.from_uri(path)
                 _, beside = fs.FileSystem.from_uri(index)
                 with store.open_input_file(beside) as f:
@@ -213,17 +224,14 @@ def read(manifest: DataFrame, id_col: str = "page_id", id_type: str = "bigint")
                         rows.append((of("warc-record-id"), head.get("warc-target-uri"), head["warc-type"], of("warc-refers-to"), n, sha1, body if whole else None))
                         held += len(block)
                         if held > 8 * _READ:
-                            yield _frame(rows)
+                            yield frame(rows)
                             rows, held = [], 0
-                yield _frame(rows)
+                yield frame(rows)
 
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = manifest.select("path", "index").repartition(n, "path").mapInPandas(
-        each, f"i {id_type}, url string, record_type string, refers_to {id_type}, payload_bytes bigint, payload_digest string, payload binary"
-    )
-    return made.withColumnRenamed("i", id_col)
+    fields = f"i {id_type}, url string, record_type string, refers_to {id_type}, payload_bytes bigint, payload_digest string, payload binary"
+    schema = to_arrow_schema(StructType.fromDDL(fields))
 
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.types, strict=True)], schema.names)
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=["i", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"], dtype=object)
-    return made
+    return _spread(manifest, "path", "index").mapInArrow(each, fields).withColumnRenamed("i", id_col)
