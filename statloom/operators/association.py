@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.special import chi2_p, div, norm_inv, t_inv, t_p, z_p
-from statloom.plans.stats import gram, number, numbers, ranks, rows, running
+from statloom.plans.stats import gram, number, numbers, parsed, ranks, rows, running, weighed
 
 
 def _with_test(t: DataFrame) -> DataFrame:
@@ -25,8 +25,11 @@ def _with_test(t: DataFrame) -> DataFrame:
 _CORR = ("x", "y", "n", "r", "r2", "t", "p", "ci_lo", "ci_hi")
 
 
-def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(x, y, n, r, r2, t, p, ci_lo, ci_hi) over complete pairs."""
+def pearson(df: DataFrame, x: str, y: str, weight: str | None = None) -> DataFrame:
+    """(x, y, n, r, r2, t, p, ci_lo, ci_hi) over complete pairs; ``weight`` holds frequencies."""
+    if weight:
+        g = gram(weighed(df, {"a": x, "b": y}, None, weight), ["a", "b"], "w")
+        return _with_test(rows(df.sparkSession, [{"x": x, "y": y, "n": g.n, "r": float(g.cor[0, 1])}]).withColumn("r", F.col("r").cast("double"))).select(*_CORR)
     s = numbers(df, {"a": x, "b": y}).agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
     return _with_test(s.select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r")).alias("r"))).select(*_CORR)
 
@@ -67,24 +70,46 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return _with_test(s.select(F.explode(F.array(*each)).alias("e")).select("e.*")).select(*_CORR)
 
 
+def _canonical(df: DataFrame, left: list[str], right: list[str]):
+    a, b = [f"a{i}" for i in range(len(left))], [f"b{i}" for i in range(len(right))]
+    g = gram(numbers(df, dict(zip([*a, *b], [*left, *right], strict=True))), [*a, *b])
+    p, r = len(a), g.cor
+    wx, wy = (np.linalg.inv(np.linalg.cholesky(m)) for m in (r[:p, :p], r[p:, p:]))
+    u, rc, v = np.linalg.svd(wx @ r[:p, p:] @ wy.T)
+    k = len(rc)
+    x, y = wx.T @ u[:, :k], wy.T @ v[:k].T
+    turn = np.sign(x[np.abs(x).argmax(0), range(k)])
+    return g.n, r, np.clip(rc, 0, 1), x * turn, y * turn
+
+
 def canonical(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
     """(root, rc, rc2, wilks, chi2, df, p): canonical correlations with Bartlett's tests.
 
     One pass of covariances; the roots are singular values of the whitened block.
     """
-    a, b = [f"a{i}" for i in range(len(left))], [f"b{i}" for i in range(len(right))]
-    g = gram(numbers(df, dict(zip([*a, *b], [*left, *right], strict=True))), [*a, *b])
-    p, q, r = len(a), len(b), g.cor
-    white = lambda m: np.linalg.inv(np.linalg.cholesky(m))
-    rc = np.clip(np.linalg.svd(white(r[:p, :p]) @ r[:p, p:] @ white(r[p:, p:]).T, compute_uv=False), 0, 1)
-    out = []
+    n, _, rc, _, _ = _canonical(df, left, right)
+    p, q, out = len(left), len(right), []
     for i, v in enumerate(rc):
         wilks = float(np.prod(1 - rc[i:] ** 2))
-        chi = -(g.n - 1 - (p + q + 1) / 2) * np.log(max(wilks, 1e-300))
+        chi = -(n - 1 - (p + q + 1) / 2) * np.log(max(wilks, 1e-300))
         out.append({"root": i + 1, "rc": v, "rc2": v * v, "wilks": wilks, "chi2": chi, "df": (p - i) * (q - i)})
     return rows(df.sparkSession, out).withColumn("p", chi2_p(F.col("chi2"), F.col("df")))
 
 
+def canonical_weights(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """(root, side, item, coefficient, loading, cross_loading): standardised weights of unit-variance
+    variates, and correlations of the items with their own and the other side's variate.
+
+    A root's largest weight on the left is positive.
+    """
+    _, r, rc, x, y = _canonical(df, left, right)
+    p, out = len(left), []
+    for side, names, weights, own in (("left", left, x, r[:p, :p]), ("right", right, y, r[p:, p:])):
+        loadings = own @ weights
+        out += [{"root": j + 1, "side": side, "item": c, "coefficient": weights[i, j], "loading": loadings[i, j], "cross_loading": loadings[i, j] * rc[j]} for j in range(len(rc)) for i, c in enumerate(names)]
+    return rows(df.sparkSession, out)
+
+
 def cronbach_alpha(df: DataFrame, items: list[str]) -> DataFrame:
     """(item, k, n, alpha, rit, alpha_if_deleted): the scale in each row, and each item's rest correlation; one pass."""
     names = [f"v{i}" for i in range(len(items))]
@@ -106,23 +131,51 @@ def cronbach_alpha(df: DataFrame, items: list[str]) -> DataFrame:
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, po, pe, kappa, se, z, p, ci_lo, ci_hi, w_kappa): agreement of two raters.
 
-    From the counts of pairs; ``w_kappa`` has linear weights where all categories are numbers.
+    From the counts of pairs and of each rater's categories: no table of all pairs of categories
+    is made. ``w_kappa`` has linear weights where all categories are numbers; the chance
+    distance comes from running sums over the categories in order.
     """
-    c = df.select(F.col(f"`{a}`").cast("string").alias("a"), F.col(f"`{b}`").cast("string").alias("b")).dropna().groupBy("a", "b").agg(F.count("*").alias("k"))
-    total = c.agg(F.sum("k").alias("n"))
-    ra = c.groupBy("a").agg(F.sum("k").alias("ka"))
-    rb = c.groupBy("b").agg(F.sum("k").alias("kb"))
-    # chance agreement over pairs of categories, not of cases
-    grid = ra.crossJoin(rb).join(c, ["a", "b"], "left").crossJoin(total)
-    x, y = F.col("a").try_cast("double"), F.col("b").try_cast("double")
-    span = grid.agg(F.max(F.greatest(x, y)).alias("hi"), F.min(F.least(x, y)).alias("lo"), F.max((x.isNull() | y.isNull()).cast("int")).alias("text"))
-    grid = grid.crossJoin(F.broadcast(span))
-    e, o = F.col("ka") * F.col("kb") / F.col("n") / F.col("n"), F.coalesce("k", F.lit(0)) / F.col("n")
-    w = F.when(F.col("text") == 0, div(F.abs(x - y), F.col("hi") - F.col("lo")))
-    s = grid.agg(F.max("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), o).otherwise(0.0)).alias("po"), F.sum(F.when(F.col("a") == F.col("b"), e).otherwise(0.0)).alias("pe"), F.sum(w * o).alias("wo"), F.sum(w * e).alias("we"))
-    s = s.withColumn("kappa", div(F.col("po") - F.col("pe"), 1 - F.col("pe")))
-    s = s.withColumn("se", F.sqrt(div(F.col("po") * (1 - F.col("po")), F.col("n") * (1 - F.col("pe")) * (1 - F.col("pe"))))).withColumn("z", div(F.col("kappa"), F.col("se")))
-    return s.select("n", "po", "pe", "kappa", "se", "z", z_p(F.col("z")).alias("p"), (F.col("kappa") - 1.96 * F.col("se")).alias("ci_lo"), (F.col("kappa") + 1.96 * F.col("se")).alias("ci_hi"), (1 - div(F.col("wo"), F.col("we"))).alias("w_kappa"))
+    c = _pairs(df, a, b)
+    total = c.agg(F.sum("k").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("k")).otherwise(0)).alias("same")).first()
+    n = total["n"] or 0
+    m = _margins(c)
+    x = parsed(F.col("cat"))
+    span = m.agg(F.max(x).alias("hi"), F.min(x).alias("lo"), F.max(x.isNull().cast("int")).alias("text"), F.sum(F.col("ka").cast("double") * F.col("kb")).alias("pe")).first()
+    po, pe = (total["same"] / n, span["pe"] / n / n) if n else (None, None)
+    weighted = None
+    if n and span["text"] == 0 and span["hi"] > span["lo"]:
+        width = span["hi"] - span["lo"]
+        wo = c.agg(F.sum(F.abs(parsed(F.col("a")) - parsed(F.col("b"))) * F.col("k"))).first()[0] / n / width
+        # E|x - y| over independent raters, by each value of the second
+        by = m.groupBy(x.alias("v")).agg(F.sum("ka").alias("ka"), F.sum("kb").alias("kb")).withColumn("sa", F.col("ka") * F.col("v"))
+        r = running(by, "v", ["ka", "sa"])
+        s = r.agg(F.sum("sa").alias("mean"), F.sum(F.col("kb") * (F.col("v") * (2 * F.col("cum_ka") - n) - 2 * F.col("cum_sa"))).alias("d"), F.sum("kb").alias("nb")).first()
+        we = (s["d"] / n + s["mean"]) / n / width
+        weighted = 1 - wo / we if we else None
+    t = rows(df.sparkSession, [{"n": n, "po": po, "pe": pe, "w_kappa": weighted}])
+    t = t.withColumns({k: F.col(k).cast("double") for k in ("po", "pe", "w_kappa")})
+    t = t.withColumn("kappa", div(F.col("po") - F.col("pe"), 1 - F.col("pe")))
+    t = t.withColumn("se", F.sqrt(div(F.col("po") * (1 - F.col("po")), F.col("n") * (1 - F.col("pe")) * (1 - F.col("pe"))))).withColumn("z", div(F.col("kappa"), F.col("se")))
+    return t.select("n", "po", "pe", "kappa", "se", "z", z_p(F.col("z")).alias("p"), (F.col("kappa") - 1.96 * F.col("se")).alias("ci_lo"), (F.col("kappa") + 1.96 * F.col("se")).alias("ci_hi"), "w_kappa")
+
+
+def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.select(F.col(f"`{a}`").cast("string").alias("a"), F.col(f"`{b}`").cast("string").alias("b")).dropna().groupBy("a", "b").agg(F.count("*").alias("k"))
+
+
+def _margins(c: DataFrame) -> DataFrame:
+    """(cat, ka, kb, same): each category's count with either rater and with both."""
+    each = F.explode(F.array(F.struct(F.col("a").alias("cat"), F.col("k").alias("ka"), F.lit(0).cast("bigint").alias("kb")), F.struct(F.col("b").alias("cat"), F.lit(0).cast("bigint").alias("ka"), F.col("k").alias("kb"))))
+    both = F.when((F.col("a") == F.col("b")) & (F.col("x.kb") > 0), F.col("k")).otherwise(0)
+    return c.select("a", "b", "k", each.alias("x")).groupBy("x.cat").agg(F.sum("x.ka").alias("ka"), F.sum("x.kb").alias("kb"), F.sum(both).alias("same"))
+
+
+def kappa_categories(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(category, n, tp, fp, fn, precision, recall): the second rater against the first, category by category; 0 where undefined."""
+    m = _margins(_pairs(df, a, b))
+    tp = F.col("same")
+    share = lambda of: F.coalesce(div(tp, of), F.lit(0.0))
+    return m.select(F.col("cat").alias("category"), F.col("ka").alias("n"), tp.alias("tp"), (F.col("kb") - tp).alias("fp"), (F.col("ka") - tp).alias("fn"), share(F.col("kb")).alias("precision"), share(F.col("ka")).alias("recall"))
 
 
 def _exact_ways(size: int | None, of: int) -> np.ndarray:

@@ -93,6 +93,28 @@ def retype(df: DataFrame, name: str, kind: str) -> DataFrame:
     return df.withColumn(name, number(df, name) if kind in ("double", "Numeric") else _name(name).cast("string"))
 
 
+def relabel(df: DataFrame, name: str, **meta) -> DataFrame:
+    """Change label, measure, role, decimals or width of a variable, kept as its metadata; None removes an entry."""
+    old = dict(df.schema[name].metadata)
+    return df.withMetadata(name, {k: v for k, v in (old | meta).items() if v is not None})
+
+
+def reorder(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named variables first, in that order, then the others as they were."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"no such variables: {missing}")
+    return df.select(*(_name(c) for c in [*names, *(c for c in df.columns if c not in names)]))
+
+
+def delete_variables(df: DataFrame, names: list[str]) -> DataFrame:
+    """Without the named variables; at least one has to stay."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"no such variables: {missing}")
+    if set(names) >= set(df.columns):
+        raise ValueError("a table needs a variable")
+    return df.drop(*names)
+
+
 def transform(df: DataFrame, column: str, how: str, name: str) -> DataFrame:
     """New column ``name``: zscore, minmax, center, ln, log10, sqrt, square or rank of ``column``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.special import chi2_p, div, lgamma, norm_cdf, norm_inv, t_inv
 from statloom.operators.cases import is_missing
-from statloom.plans.stats import number, numbers, quantiles, running, value_counts
+from statloom.plans.stats import frequency, number, numbers, quantiles, rows, running, value_counts
 
 #: Largest number of cases for which Shapiro-Wilk is defined.
 SHAPIRO_MOST = 5000
@@ -103,9 +103,27 @@ def _level(c: str) -> Column:
     return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null"))
 
 
-def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
-    """(row_level, col_level, n, expected, row_pct, col_pct, total_pct); missing is a level of its own."""
-    c = df.select(_level(row).alias("row_level"), _level(column).alias("col_level")).groupBy("row_level", "col_level").agg(F.count("*").alias("n"))
+#: Cells of a table of levels, the most that ``crosstab`` returns.
+MOST_CELLS = 10_000_000
+
+
+def _cells(df: DataFrame, row: str, column: str, weight: str | None) -> DataFrame:
+    """(row_level, col_level, n) of the cells with cases."""
+    each = F.lit(1).cast("bigint") if weight is None else frequency(df, weight).cast("bigint")
+    d = df.select(_level(row).alias("row_level"), _level(column).alias("col_level"), each.alias("k")).where("k is not null")
+    return d.groupBy("row_level", "col_level").agg(F.sum("k").alias("n"))
+
+
+def crosstab(df: DataFrame, row: str, column: str, weight: str | None = None) -> DataFrame:
+    """(row_level, col_level, n, expected, row_pct, col_pct, total_pct); missing is a level of its own.
+
+    Every combination of levels is a row of the result; more than ``MOST_CELLS`` are refused.
+    ``weight`` holds frequencies.
+    """
+    c = _cells(df, row, column, weight)
+    size = c.agg(F.approx_count_distinct("row_level").alias("r"), F.approx_count_distinct("col_level").alias("k")).first()
+    if size["r"] * size["k"] > MOST_CELLS:
+        raise ValueError(f"a table of about {size['r']} x {size['k']} levels is too large")
     rt = c.groupBy("row_level").agg(F.sum("n").alias("rt"))
     ct = c.groupBy("col_level").agg(F.sum("n").alias("ct"))
     total = c.agg(F.sum("n").alias("t"))
@@ -114,14 +132,28 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     return out.select("row_level", "col_level", "n", (F.col("rt") * F.col("ct") / F.col("t")).alias("expected"), (100 * F.col("n") / F.col("rt")).alias("row_pct"), (100 * F.col("n") / F.col("ct")).alias("col_pct"), (100 * F.col("n") / F.col("t")).alias("total_pct"))
 
 
-def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
-    """(chi2, df, p, cramers_v, n, low_cells): independence without continuity correction."""
-    c = crosstab(df, row, column)
-    s = c.agg(
-        F.sum(div((F.col("n") - F.col("expected")) * (F.col("n") - F.col("expected")), F.col("expected"))).alias("chi2"), F.countDistinct("row_level").alias("r"), F.countDistinct("col_level").alias("k"),
-        F.sum("n").alias("n"), F.sum((F.col("expected") < 5).cast("bigint")).alias("low_cells"),
-    ).withColumn("df", (F.col("r") - 1) * (F.col("k") - 1))
-    return s.select("chi2", "df", chi2_p(F.col("chi2"), F.col("df")).alias("p"), F.sqrt(div(F.col("chi2"), F.col("n") * (F.least("r", "k") - 1))).alias("cramers_v"), "n", "low_cells")
+def chi_square(df: DataFrame, row: str, column: str, weight: str | None = None) -> DataFrame:
+    """(chi2, df, p, cramers_v, n, low_cells): independence without continuity correction.
+
+    From the cells with cases and the margins: chi2 = n (sum of n_ij^2 / (r_i c_j) - 1). Cells
+    whose expected count is under five are counted by running sums over the margins, so that
+    no table of all levels is made.
+    """
+    c = _cells(df, row, column, weight)
+    rt, ct = (c.groupBy(k).agg(F.sum("n").alias(v)) for k, v in (("row_level", "r"), ("col_level", "k")))
+    both = c.join(rt, "row_level").join(ct, "col_level")
+    total = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("n") / F.col("r") * F.col("n") / F.col("k")).alias("x"), F.countDistinct("row_level").alias("r"), F.countDistinct("col_level").alias("k")).first()
+    n = total["n"]
+    low = 0
+    if n:
+        # of each row level: the column levels below 5 n / r
+        ends = ct.groupBy(F.col("k").cast("double").alias("v")).agg(F.count("*").alias("inc"), F.lit(0).cast("bigint").alias("asks"))
+        asks = rt.groupBy((F.lit(5.0 * n) / F.col("r")).alias("v")).agg(F.lit(0).cast("bigint").alias("inc"), F.count("*").alias("asks"))
+        line = running(ends.unionAll(asks).groupBy("v").agg(F.sum("inc").alias("inc"), F.sum("asks").alias("asks")), "v", ["inc"])
+        low = line.agg(F.sum(F.col("asks") * (F.col("cum_inc") - F.col("inc")))).first()[0]
+    s = rows(df.sparkSession, [{"chi2": max(0.0, float(n * (total["x"] - 1))) if n else None, "df": (total["r"] - 1) * (total["k"] - 1) if n else 0, "n": n, "low_cells": int(low), "least": min(total["r"], total["k"])}])
+    s = s.withColumn("chi2", F.col("chi2").cast("double"))
+    return s.select("chi2", "df", chi2_p(F.col("chi2"), F.col("df")).alias("p"), F.sqrt(div(F.col("chi2"), F.col("n") * (F.col("least") - 1))).alias("cramers_v"), "n", "low_cells")
 
 
 def fisher_exact(df: DataFrame, row: str, column: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.special import chi2_p, div, f_p, t_inv, t_p, tukey_p
-from statloom.plans.stats import gram, gram_columns, gram_of, moments, numbers, quantiles, rows
+from statloom.plans.stats import gram, gram_columns, gram_of, moments, numbers, quantiles, rows, weighed
 
 
 def _d_interval(d: Column, a: Column, b: Column) -> tuple[Column, Column]:
@@ -18,13 +18,18 @@ def _d_interval(d: Column, a: Column, b: Column) -> tuple[Column, Column]:
     return d - 1.96 * se, d + 1.96 * se
 
 
-def ttest_independent(df: DataFrame, value: str, group: str, levels: tuple[str, str] | None = None) -> DataFrame:
-    """Welch's t-test of two groups: those named, or the first two by value.
+def _moments(df: DataFrame, value: str, keys: dict[str, str], weight: str | None) -> DataFrame:
+    """Moments of ``value`` by ``keys``; ``weight`` holds frequencies."""
+    return moments(weighed(df, {"v": value}, keys, weight), "v", list(keys), "w" if weight else None)
+
+
+def ttest_independent(df: DataFrame, value: str, group: str, levels: tuple[str, str] | None = None, weight: str | None = None) -> DataFrame:
+    """Welch's t-test of two groups: those named, or the first two by value. ``weight`` holds frequencies.
 
     One row: sizes, means, deviations, t, df, p, interval of the difference, |d| and its
     interval. Zero variance in both groups gives null t.
     """
-    g = moments(numbers(df, {"v": value}, {"g": group}), "v", ["g"])
+    g = _moments(df, value, {"g": group}, weight)
     if levels:
         g = g.where(F.col("g").isin(*map(str, levels))).withColumn("i", F.when(F.col("g") == str(levels[0]), 1).otherwise(2))
     else:
@@ -51,27 +56,27 @@ def _one_mean(m: DataFrame, mu: float) -> DataFrame:
     )
 
 
-def ttest_one_sample(df: DataFrame, value: str, mu: float = 0.0) -> DataFrame:
-    """One row: n, mean, sd, se, diff, t, df, p, interval of the difference, |d|."""
-    return _one_mean(moments(numbers(df, {"v": value}), "v"), mu)
+def ttest_one_sample(df: DataFrame, value: str, mu: float = 0.0, weight: str | None = None) -> DataFrame:
+    """One row: n, mean, sd, se, diff, t, df, p, interval of the difference, |d|; ``weight`` holds frequencies."""
+    return _one_mean(_moments(df, value, {}, weight), mu)
 
 
-def ttest_paired(df: DataFrame, a: str, b: str) -> DataFrame:
+def ttest_paired(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
     """As the one-sample test, of the differences a - b of complete pairs."""
-    d = numbers(df, {"a": a, "b": b}).select((F.col("a") - F.col("b")).alias("v"))
-    return _one_mean(moments(d, "v"), 0.0)
+    d = weighed(df, {"a": a, "b": b}, None, weight).select((F.col("a") - F.col("b")).alias("v"), "w")
+    return _one_mean(moments(d, "v", weight="w" if weight else None), 0.0)
 
 
-def _groups(d: DataFrame) -> DataFrame:
+def _groups(d: DataFrame, weight: str | None = None) -> DataFrame:
     """Moments of groups of two cases or more."""
-    return moments(d, "v", ["g"]).where("n >= 2")
+    return moments(d, "v", ["g"], weight).where("n >= 2")
 
 
-def _anova_row(s: DataFrame) -> DataFrame:
+def _anova_row(s: DataFrame, keys: list[str] = ()) -> DataFrame:
     s = s.withColumns({"df_b": F.col("k") - 1, "df_w": F.col("n") - F.col("k")})
     s = s.withColumns({"ms_b": div(F.col("ss_b"), F.col("df_b")), "ms_w": div(F.col("ss_w"), F.col("df_w"))}).withColumn("f", div(F.col("ms_b"), F.col("ms_w")))
     omega = F.greatest(F.lit(0.0), div(F.col("ss_b") - F.col("df_b") * F.col("ms_w"), F.col("ss_b") + F.col("ss_w") + F.col("ms_w")))
-    return s.select("k", "n", "ss_b", "ss_w", "df_b", "df_w", "ms_b", "ms_w", "f", f_p(F.col("f"), F.col("df_b"), F.col("df_w")).alias("p"), div(F.col("ss_b"), F.col("ss_b") + F.col("ss_w")).alias("eta2"), omega.alias("omega2"))
+    return s.select(*keys, "k", "n", "ss_b", "ss_w", "df_b", "df_w", "ms_b", "ms_w", "f", f_p(F.col("f"), F.col("df_b"), F.col("df_w")).alias("p"), div(F.col("ss_b"), F.col("ss_b") + F.col("ss_w")).alias("eta2"), omega.alias("omega2"))
 
 
 def _spread(g: DataFrame) -> DataFrame:
@@ -81,14 +86,25 @@ def _spread(g: DataFrame) -> DataFrame:
     return d.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("mean") - F.col("grand")) * (F.col("mean") - F.col("grand"))).alias("ss_b"), F.coalesce(F.sum((F.col("n") - 1) * F.col("var")), F.lit(0.0)).alias("ss_w"))
 
 
-def anova_oneway(df: DataFrame, value: str, group: str) -> DataFrame:
-    """(k, n, ss_b, ss_w, df_b, df_w, ms_b, ms_w, f, p, eta2, omega2); groups of one case are left out."""
-    return _anova_row(_spread(_groups(numbers(df, {"v": value}, {"g": group}))))
+def anova_oneway(df: DataFrame, value: str, group: str, weight: str | None = None) -> DataFrame:
+    """(k, n, ss_b, ss_w, df_b, df_w, ms_b, ms_w, f, p, eta2, omega2); groups of one case are left out.
+
+    ``weight`` holds frequencies.
+    """
+    return _anova_row(_spread(_groups(weighed(df, {"v": value}, {"g": group}, weight), "w" if weight else None)))
 
 
-def group_table(df: DataFrame, value: str, group: str) -> DataFrame:
-    """(grp, n, mean, sd, se) for each group."""
-    g = moments(numbers(df, {"v": value}, {"g": group}), "v", ["g"])
+def eta2_interval(anova: DataFrame) -> DataFrame:
+    """A result of ``anova_oneway`` with eta2_lo and eta2_hi: F moved by 1.96 either way, as the
+    share that a noncentral spread of that size explains; null where F is not positive."""
+    f, a, b = (F.col(c).cast("double") for c in ("f", "df_b", "df_w"))
+    share = lambda nc: F.when(f > 0, nc / (nc + a + b + 1))
+    return anova.withColumns({"eta2_lo": share(F.greatest(F.lit(0.0), f - 1.96) * a), "eta2_hi": share((f + 1.96) * a)})
+
+
+def group_table(df: DataFrame, value: str, group: str, weight: str | None = None) -> DataFrame:
+    """(grp, n, mean, sd, se) for each group; ``weight`` holds frequencies."""
+    g = _moments(df, value, {"g": group}, weight)
     return g.select(F.col("g").alias("grp"), "n", "mean", F.sqrt("var").alias("sd"), F.sqrt(F.col("var") / F.col("n")).alias("se"))
 
 
@@ -123,7 +139,24 @@ def posthoc(df: DataFrame, value: str, group: str, how: str = "tukey") -> DataFr
     return p.select(F.col("g_a").alias("a"), F.col("g_b").alias("b"), "diff", "se", "stat", "df", "p_raw", "p_adj")
 
 
-def anova_factorial(df: DataFrame, value: str, factors: list[str]) -> DataFrame:
+def cell_means(df: DataFrame, value: str, factors: list[str], weight: str | None = None) -> DataFrame:
+    """(*factors, n, mean, sd, se): every cell of up to three factors and every margin, the levels of
+    a factor that is summed over being null; the grand mean has nulls alone. What an
+    interaction plot shows are the rows without nulls.
+
+    One pass; margins are sums over the cells' moments.
+    """
+    names = [f"f{i}" for i in range(len(factors))]
+    d = weighed(df, {"v": value}, dict(zip(names, factors, strict=True)), weight)
+    at = d.agg(F.avg("v")).first()[0] or 0.0
+    v = F.col("v") - float(at)
+    c = d.cube(*names).agg(F.sum("w").alias("n"), F.sum(F.col("w") * v).alias("s1"), F.sum(F.col("w") * v * v).alias("s2")).where("n > 0")
+    mean = F.col("s1") / F.col("n")
+    c = c.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), div(F.col("s2") - F.col("n") * mean * mean, F.col("n") - 1))))
+    return c.select(*(F.col(n).alias(f) for n, f in zip(names, factors, strict=True)), F.col("n").cast("bigint").alias("n"), (mean + float(at)).alias("mean"), "sd", (F.col("sd") / F.sqrt("n")).alias("se"))
+
+
+def anova_factorial(df: DataFrame, value: str, factors: list[str], weight: str | None = None) -> DataFrame:
     """(source, ss, df, ms, f, p, eta2, partial_eta2) of two or three crossed factors.
 
     One pass over the cases (cell moments); sums of squares of the margins, interactions by
@@ -134,8 +167,7 @@ def anova_factorial(df: DataFrame, value: str, factors: list[str]) -> DataFrame:
     if k not in (2, 3):
         raise ValueError("two or three factors")
     names = [f"f{i}" for i in range(k)]
-    d = numbers(df, {"v": value}, dict(zip(names, factors, strict=True)))
-    cells = moments(d, "v", names)
+    cells = _moments(df, value, dict(zip(names, factors, strict=True)), weight)
     # cube of the cells: every margin from cell totals
     total = F.col("n") * F.col("mean")
     cube = cells.withColumns({"total": total, "ssw": (F.col("n") - 1) * F.coalesce("var", F.lit(0.0))}).cube(*names).agg(F.grouping_id().alias("gid"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("ssw").alias("ssw"))
@@ -273,6 +305,18 @@ def manova(df: DataFrame, values: list[str], group: str) -> DataFrame:
     return rows(df.sparkSession, out).withColumn("p", f_p(F.col("f"), F.col("df1"), F.col("df2"))).unionByName(_box_m(by, names, e / v, k, n))
 
 
+def manova_followups(df: DataFrame, values: list[str], group: str) -> DataFrame:
+    """(variable, k, n, ss_b, ss_w, df_b, df_w, ms_b, ms_w, f, p, eta2, omega2): a one-way analysis of each
+    dependent variable over the cases that ``manova`` uses, all from one grouped pass."""
+    names = [f"v{i}" for i in range(len(values))]
+    d = numbers(df, dict(zip(names, values, strict=True)), {"g": group})
+    by = d.groupBy("g").agg(F.count("*").alias("n"), *(F.struct(F.avg(x).alias("mean"), F.var_samp(x).alias("var")).alias(x) for x in names)).where("n >= 2")
+    each = by.select("g", "n", F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(x)["mean"].alias("mean"), F.col(x)["var"].alias("var")) for x, v in zip(names, values, strict=True)))).alias("e")).select("n", "e.*")
+    grand = each.groupBy("variable").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
+    s = each.join(grand, "variable").groupBy("variable").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("mean") - F.col("grand")) * (F.col("mean") - F.col("grand"))).alias("ss_b"), F.sum((F.col("n") - 1) * F.col("var")).alias("ss_w"))
+    return _anova_row(s, ["variable"])
+
+
 def _box_m(by: DataFrame, names: list[str], pooled: np.ndarray, k: int, n: int) -> DataFrame:
     """Box's M by its chi-squared approximation, scaled to an F with infinite df2 (null)."""
     p = len(names)

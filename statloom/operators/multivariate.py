@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.special import chi2_p, div, z_p
-from statloom.plans.stats import gram, gram_columns, numbers, rows
+from statloom.plans.stats import gram, gram_columns, number, numbers, rows
 
 
 def _eigen(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,6 +253,27 @@ def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 7, rounds: int
     return rows(df.sparkSession, [{"cluster": r["prediction"] + 1, "n": r["n"], **{f"c_{c}": r[f"c{i}"] for i, c in enumerate(columns)}, "wss": r["wss"], "total_wss": wss, "bss": bss, "silhouette": sil} for r in out])
 
 
+def kmeans_assign(df: DataFrame, columns: list[str], k: int, seed: int = 7, rounds: int = 100) -> DataFrame:
+    """``df`` with ``cluster`` (1 to k, as in ``kmeans``; null for cases that miss a column)."""
+    f = _fields(columns)
+    names = list(f)
+    d, _ = _standardised(df, columns)
+    v = VectorAssembler(inputCols=names, outputCol="features")
+    model = KMeans(k=k, seed=seed, maxIter=rounds, initMode="k-means||").fit(v.transform(d))
+    s = numbers(df, f).agg(*(F.avg(x).alias(f"m{x}") for x in names), *(F.stddev_samp(x).alias(f"s{x}") for x in names)).first()
+    z = [(number(df, c) - float(s[f"m{x}"] or 0)) / float(s[f"s{x}"]) if s[f"s{x}"] else F.when(number(df, c).isNotNull(), 0.0) for x, c in f.items()]
+    far = [F.struct(reduce(lambda a, b: a + b, ((x - float(c)) * (x - float(c)) for x, c in zip(z, centre, strict=True))).alias("d"), F.lit(i + 1).alias("i")) for i, centre in enumerate(model.clusterCenters())]
+    known = reduce(lambda a, b: a & b, (x.isNotNull() for x in z))
+    return df.withColumn("cluster", F.when(known, F.array_min(F.array(*far))["i"]))
+
+
+def cluster_anova(assigned: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
+    """(variable, k, n, ss_b, ss_w, ..., f, p): how far clusters differ in each variable."""
+    from statloom.operators.means import manova_followups
+
+    return manova_followups(assigned.where(F.col(cluster).isNotNull()), columns, cluster)
+
+
 def elbow(df: DataFrame, columns: list[str], most: int = 8, seed: int = 7) -> DataFrame:
     """(k, wss) for 2 to ``most`` clusters."""
     d, names = _standardised(df, columns)
@@ -262,17 +283,53 @@ def elbow(df: DataFrame, columns: list[str], most: int = 8, seed: int = 7) -> Da
     return rows(df.sparkSession, out)
 
 
-def hierarchical(df: DataFrame, columns: list[str], order: str, k: int = 2, linkage: str = "average", most: int = 200) -> DataFrame:
+def _first_cases(df: DataFrame, columns: list[str], order: str, most: int) -> tuple[list, np.ndarray]:
+    """Order values and numbers of the first ``most`` cases by ``order`` that miss none of the columns."""
+    f = _fields(columns)
+    first = df.orderBy(F.col(f"`{order}`")).limit(most)
+    got = first.select(F.col(f"`{order}`").alias("o"), *(number(first, c).alias(x) for x, c in f.items())).dropna(subset=list(f)).orderBy("o").collect()
+    return [r["o"] for r in got], np.array([[r[x] for x in f] for r in got], float).reshape(-1, len(columns))
+
+
+def hierarchical(df: DataFrame, columns: list[str], order: str, linkage: str = "average", most: int = 200) -> DataFrame:
     """(step, a, b, distance, size): merges of the first ``most`` cases by ``order`` (the feature's limit), on z-scores.
 
     ``linkage``: single, complete, average or ward, by the Lance-Williams rule.
     """
-    f = _fields(columns)
-    first = df.orderBy(F.col(f"`{order}`")).limit(most)
-    x = np.array([list(r) for r in numbers(first, f).collect()], float).reshape(-1, len(columns))
+    _, x = _first_cases(df, columns, order, most)
     return rows(df.sparkSession, [{"step": i + 1, "a": a, "b": b, "distance": dist, "size": n} for i, (a, b, dist, n) in enumerate(_merges(x, linkage))] or [{"step": None, "a": None, "b": None, "distance": None, "size": None}])
 
 
+def hierarchical_clusters(df: DataFrame, columns: list[str], order: str, k: int = 2, linkage: str = "average", most: int = 200) -> DataFrame:
+    """(``order``, cluster, n, silhouette, mean_silhouette, c_<column>...): the tree of ``hierarchical`` cut at ``k``
+    clusters, numbered by their first case; for each case its cluster's size and means, and its
+    silhouette of plain distances on z-scores (0 in a cluster by itself).
+    """
+    label, x = _first_cases(df, columns, order, most)
+    n = len(x)
+    names = [f"c_{c}" for c in columns]
+    if not n:
+        return rows(df.sparkSession, [dict.fromkeys((order, "cluster", "n", "silhouette", "mean_silhouette", *names))]).limit(0)
+    member = {i: [i] for i in range(n)}
+    for step, (a, b, _, _) in enumerate(_merges(x, linkage)):
+        if len(member) <= k:
+            break
+        member[n + step] = member.pop(a) + member.pop(b)
+    own = np.zeros(n, int)
+    for i, cases in enumerate(sorted(member.values(), key=min)):
+        own[cases] = i
+    sd = x.std(0, ddof=1) if n > 1 else np.ones(x.shape[1])
+    z = (x - x.mean(0)) / np.where(sd > 0, sd, 1)
+    far = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    size = np.bincount(own)
+    to = np.stack([far[:, own == c].sum(1) for c in range(len(size))], 1)
+    inside = to[range(n), own] / np.maximum(1, size[own] - 1)
+    other = np.where(np.arange(len(size)) == own[:, None], np.inf, to / size).min(1)
+    sil = np.where((size[own] > 1) & np.isfinite(other), (other - inside) / np.maximum(1e-300, np.maximum(other, inside)), 0.0)
+    means = np.stack([x[own == c].mean(0) for c in range(len(size))])
+    return rows(df.sparkSession, [{order: label[i], "cluster": int(own[i]) + 1, "n": int(size[own[i]]), "silhouette": sil[i], "mean_silhouette": sil.mean(), **dict(zip(names, means[own[i]], strict=True))} for i in range(n)])
+
+
 def _merges(x: np.ndarray, linkage: str):
     n = len(x)
     sd = x.std(0, ddof=1) if n > 1 else np.ones(x.shape[1])

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.special import chi2_p, div, f_p, lgamma, t_p, z_p
-from statloom.plans.stats import Gram, gram, number, numbers, rows
+from statloom.plans.shared import cut
+from statloom.plans.stats import Gram, gram, number, numbers, rows, weighed
 
 
 def _fields(xs: list[str], y: str) -> dict[str, str]:
@@ -57,11 +58,10 @@ def _fit_row(fit: dict) -> dict:
     }
 
 
-def linear(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """(term, b, se, df, t, p, beta_std, vif) over complete cases, in one pass."""
-    d = numbers(df, _fields(xs, y))
+def linear(df: DataFrame, y: str, xs: list[str], weight: str | None = None) -> DataFrame:
+    """(term, b, se, df, t, p, beta_std, vif) over complete cases, in one pass; ``weight`` holds frequencies."""
     names = [f"x{i}" for i in range(len(xs))]
-    g = gram(d, [*names, "y"])
+    g = gram(weighed(df, _fields(xs, y), None, weight), [*names, "y"], "w" if weight else None)
     fit = solve(g, names, "y")
     vif = np.diag(np.linalg.inv(fit["cor"][:-1, :-1]))
     return _coefficients(df.sparkSession, xs, fit, {"beta_std": [None, *(fit["b"][1:] * fit["sd"][:-1] / fit["sd"][-1])], "vif": [None, *vif]})
@@ -92,6 +92,10 @@ def _row_terms(fit: dict, cols: list[Column]) -> tuple[Column, Column]:
     return yhat, reduce(lambda a, b: a + b, quad)
 
 
+#: Cases that a bootstrap task weighs at a time.
+BLOCK = 512
+
+
 def linear_diagnostics(df: DataFrame, y: str, xs: list[str], order: str) -> DataFrame:
     """(dw, bp_stat, bp_p, cooks_max, high_cooks, high_lev, out2, out3, res_skew, res_kurt): a second pass of row expressions.
 
@@ -121,17 +125,11 @@ def linear_diagnostics(df: DataFrame, y: str, xs: list[str], order: str) -> Data
 def _durbin_watson(r: DataFrame) -> float:
     """Sum of squared steps between neighbours over the sum of squares.
 
-    Ranges of ``o`` are windows of their own; each range's last value is carried to the next
-    by a table of one row a range.
+    Cases are ordered by (``o``, residual) and cut into ranges of that pair, so that cases which
+    share a value of ``o`` don't meet in one task. A range is a window of its own; each range's
+    last value is carried to the next by a table of one row a range.
     """
-    from statloom.plans.stats import ranges
-
-    parts = ranges(r, "o")
-    cuts = sorted(set(r.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []))
-    at = F.lit(0)
-    for c in cuts:
-        at = at + (F.col("o") > c).cast("int")
-    d = r.withColumn("g", at)
+    d = cut(r.repartitionByRange("o", "e").withColumn("g", F.spark_partition_id()), "residuals")
     w = Window.partitionBy("g").orderBy("o", "e")
     inside = d.withColumn("prev", F.lag("e").over(w)).agg(F.sum((F.col("e") - F.col("prev")) * (F.col("e") - F.col("prev"))).alias("steps"), F.sum(F.col("e") * F.col("e")).alias("ss")).first()
     ends = d.groupBy("g").agg(F.min(F.struct("o", "e")).alias("first"), F.max(F.struct("o", "e")).alias("last")).orderBy("g").collect()  # one row a range
@@ -206,8 +204,12 @@ def _newton(d: DataFrame, names: list[str], steps: int, start: np.ndarray, terms
 
 
 def _counted(d: DataFrame, names: list[str]) -> DataFrame:
-    """Distinct rows with counts ``c``, which every step of a fit reads again."""
-    return d.groupBy(*names, "y").agg(F.count("*").cast("double").alias("c"))
+    """Rows with counts ``c`` that every step of a fit reads again: distinct rows, written once,
+    where a sketch says that they are few; else the pruned scan as it is, without a shuffle."""
+    size = d.agg(F.count("*").alias("n"), F.approx_count_distinct(F.struct(*names, "y")).alias("k")).first()
+    if size["k"] * 4 > size["n"]:
+        return d.select(*names, "y", F.lit(1.0).alias("c"))
+    return cut(d.groupBy(*names, "y").agg(F.count("*").cast("double").alias("c")), "counted")
 
 
 def _scaled(d: DataFrame, names: list[str]) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -244,17 +246,15 @@ def logistic(df: DataFrame, y: str, xs: list[str], event: str | None = None) ->
 
 def _logistic(d: DataFrame, names: list[str], xs: list[str]) -> DataFrame:
     d, m, sd = _scaled(d, names)
-    d = _counted(d, names).persist()
+    d = _counted(d, names)
     total = d.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("y")).alias("e")).first()
     n, e = total["n"] or 0.0, total["e"] or 0.0
     if not 0 < e < n:
-        d.unpersist()
         raise ValueError("both outcomes are needed")
     p = lambda eta: F.greatest(F.lit(1e-10), F.least(F.lit(1 - 1e-10), 1 / (1 + F.exp(-eta))))
     y = F.col("y")
     terms = lambda eta: (y * F.log(p(eta)) + (1 - y) * F.log(1 - p(eta)), y - p(eta), p(eta) * (1 - p(eta)))
     b, cov, ll, _ = _newton(d, names, 50, np.append(np.log(e / (n - e)), np.zeros(len(names))), terms)
-    d.unpersist()
     b, se = _unscaled(b, cov, m, sd)
     null = e * np.log(e / n) + (n - e) * np.log(1 - e / n)
     snell = 1 - np.exp(2 * (null - ll) / n)
@@ -262,13 +262,30 @@ def _logistic(d: DataFrame, names: list[str], xs: list[str]) -> DataFrame:
     return _ratios(d.sparkSession, xs, b, se, "odds_ratio", more).withColumn("p_model", chi2_p(F.col("chi2"), F.col("df")))
 
 
+def _levels(df: DataFrame, y: str) -> list[str]:
+    return [r[0] for r in df.where(F.col(f"`{y}`").isNotNull()).select(F.col(f"`{y}`").cast("string").alias("k")).distinct().orderBy("k").collect()]
+
+
 def multinomial(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """``logistic`` of each further level against the first, one by one, with column ``level``."""
-    found = [r[0] for r in df.where(F.col(f"`{y}`").isNotNull()).select(F.col(f"`{y}`").cast("string").alias("k")).distinct().orderBy("k").collect()]
-    parts = [logistic(df.where(F.col(f"`{y}`").cast("string").isin(found[0], lv)), y, xs, lv).withColumn("level", F.lit(lv)) for lv in found[1:]]
+    """``logistic`` of each level but the first against all other cases, with column ``level``."""
+    parts = [logistic(df, y, xs, lv).withColumn("level", F.lit(lv)) for lv in _levels(df, y)[1:]]
     return reduce(DataFrame.unionByName, parts)
 
 
+def multinomial_classification(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """(actual, predicted, n, accuracy, ll): cases go to the level with the largest predictor, the first
+    level having 0; ``ll`` is the log likelihood of the predictors' shares."""
+    b = {(r["level"], r["term"]): r["b"] for r in multinomial(df, y, xs).select("level", "term", "b").collect()}
+    names, levels = [f"x{i}" for i in range(len(xs))], _levels(df, y)
+    d = numbers(df, dict(zip(names, xs, strict=True)), {"k": y})
+    etas = [F.lit(0.0), *(reduce(lambda a, c: a + c, (F.lit(b[lv, x]) * F.col(n) for n, x in zip(names, xs, strict=True)), F.lit(b[lv, "(constant)"])) for lv in levels[1:])]
+    top = F.array_max(F.array(*(F.struct(e.alias("e"), F.lit(-i).alias("i")) for i, e in enumerate(etas))))
+    d = d.withColumn("i", -top["i"]).withColumn("lp", reduce(lambda a, ie: a.when(F.col("k") == levels[ie[0]], ie[1]), enumerate(etas[1:], 1), F.when(F.col("k") == levels[0], etas[0])) - F.log(reduce(lambda a, c: a + c, map(F.exp, etas))))
+    c = d.groupBy(F.col("k").alias("actual"), F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1).alias("predicted")).agg(F.count("*").alias("n"), F.sum("lp").alias("ll"))
+    total = c.agg((100 * F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"), F.sum("ll").alias("ll"))
+    return c.drop("ll").crossJoin(F.broadcast(total))  # one row
+
+
 def classification(df: DataFrame, y: str, xs: list[str], event: str | None = None) -> DataFrame:
     """(tp, fp, tn, fn, accuracy) of the logistic model at probability one half."""
     fit = logistic(df, y, xs, event)
@@ -286,7 +303,7 @@ def poisson(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     """(term, b, se, z, p, irr, ci_lo, ci_hi, n, deviance, null_deviance, mcfadden, dispersion, chi2, df, p_model); y >= 0."""
     names = [f"x{i}" for i in range(len(xs))]
     d, m, sd = _scaled(numbers(df, _fields(xs, y)).where("y >= 0"), names)
-    d = _counted(d, names).persist()
+    d = _counted(d, names)
     s = d.agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("y")) / F.sum("c")).alias("m")).first()
     yy = F.col("y")
     terms = lambda eta: (yy * eta - F.exp(eta), yy - F.exp(eta), F.exp(eta))
@@ -297,7 +314,6 @@ def poisson(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     t = q.agg(F.sum(dev(F.col("mu"))).alias("dev"), F.sum(dev(F.lit(float(s["m"])))).alias("null"), F.sum(F.col("c") * (yy - F.col("mu")) * (yy - F.col("mu")) / F.col("mu")).alias("x2")).first()
     counts = d.groupBy("y").agg(F.sum("c").alias("c"))
     fact = sum(r["c"] * lgamma_of(r["y"] + 1) for r in counts.toLocalIterator())  # one row a distinct count
-    d.unpersist()
     ll0 = s["n"] * s["m"] * (np.log(s["m"]) - 1) - fact
     b, se = _unscaled(b, cov, m, sd)
     more = {"n": int(s["n"]), "deviance": t["dev"], "null_deviance": t["null"], "mcfadden": 1 - (ll - fact) / ll0, "dispersion": t["x2"] / max(1.0, s["n"] - len(xs) - 1), "chi2": t["null"] - t["dev"], "df": len(xs)}
@@ -305,14 +321,15 @@ def poisson(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
 
 
 def negative_binomial(df: DataFrame, y: str, xs: list[str], rounds: int = 12) -> DataFrame:
-    """(term, b, se, z, p, irr, ci_lo, ci_hi, n, theta, ll): NB2, means and theta in turn.
+    """(term, b, se, z, p, irr, ci_lo, ci_hi, n, theta, ll, ll_null, chi2, df, p_model, deviance, mcfadden, dispersion):
+    NB2, means and theta in turn; the null model has the mean count and the same theta.
 
     Theta is searched over a grid of log theta whose likelihoods all come from one pass, and
     the grid is narrowed.
     """
     names = [f"x{i}" for i in range(len(xs))]
     d, m, sd = _scaled(numbers(df, _fields(xs, y)).where("y >= 0"), names)
-    d = _counted(d, names).persist()
+    d = _counted(d, names)
     s = d.agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("y")) / F.sum("c")).alias("m")).first()
     yy, b, theta = F.col("y"), np.append(np.log(max(s["m"], 1e-8)), np.zeros(len(names))), 1.0
     th, mu = F.col("th"), F.col("mu")
@@ -333,17 +350,22 @@ def negative_binomial(df: DataFrame, y: str, xs: list[str], rounds: int = 12) ->
             theta = new
             break
         theta = new
-    d.unpersist()
+    eta = reduce(lambda a, c: a + c, (F.lit(float(v)) * F.col(x) for v, x in zip(b[1:], names, strict=True)), F.lit(float(b[0])))
+    q = d.withColumns({"mu": F.exp(eta), "th": F.lit(theta)})
+    unit = 2 * (F.when(yy > 0, yy * F.log(yy / mu)).otherwise(0.0) - (yy + th) * F.log((yy + th) / (mu + th)))
+    t = q.agg(F.sum(F.col("c") * part).alias("ll"), F.sum(F.col("c") * unit).alias("dev"), F.sum(F.col("c") * (yy - mu) * (yy - mu) / (mu + mu * mu / th)).alias("x2")).first()
+    null = q.withColumn("mu", F.lit(float(s["m"]))).agg(F.sum(F.col("c") * part)).first()[0]
     b, se = _unscaled(b, cov, m, sd)
-    return _ratios(df.sparkSession, xs, b, se, "irr", {"n": int(s["n"]), "theta": theta, "ll": ll})
+    more = {"n": int(s["n"]), "theta": theta, "ll": t["ll"], "ll_null": null, "chi2": 2 * (t["ll"] - null), "df": len(xs), "deviance": t["dev"], "mcfadden": 1 - t["ll"] / null, "dispersion": t["x2"] / max(1.0, s["n"] - len(xs) - 1)}
+    return _ratios(df.sparkSession, xs, b, se, "irr", more).withColumn("p_model", chi2_p(F.col("chi2"), F.col("df")))
 
 
 def mediation(df: DataFrame, x: str, mediators: list[str], y: str, boots: int = 0, seed: int = 7) -> DataFrame:
     """(mediator, n, c, a, b, c_prime, indirect, sobel_se, sobel_z, p, boot_lo, boot_hi): Baron and Kenny with Sobel's test.
 
     One pass of covariances. ``boots`` Poisson resamples of the cases add percentile
-    intervals: cases are dealt over resamples in one further pass, and each resample is
-    reduced to its covariances.
+    intervals: in one further pass each task weighs its cases for all resamples and keeps
+    their weighted sums, so that a row stays a row.
     """
     names = ["x", "y", *(f"m{i}" for i in range(len(mediators)))]
     d = numbers(df, dict(zip(names, [x, y, *mediators], strict=True)))
@@ -357,18 +379,11 @@ def mediation(df: DataFrame, x: str, mediators: list[str], y: str, boots: int =
 
     boot: dict[str, list[float]] = {m: [] for m in ms}
     if boots:
-        u = F.pmod(F.xxhash64(*names, "__row", "__b", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-        draw = F.lit(0)
-        cum = 0.0
-        for k in range(7):  # Poisson(1) weights; beyond seven is under 1e-5
-            cum += np.exp(-1.0 - lgamma_of(k + 1))
-            draw = draw + (u > cum).cast("int")
-        e = d.withColumn("__row", F.monotonically_increasing_id()).withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(boots)))).withColumn("__w", draw.cast("double")).where("__w > 0")
         pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
         mu = dict(zip(names, g.mean, strict=True))
-        away = {a: F.col(a) - float(mu[a]) for a in names}
-        sums = e.groupBy("__b").agg(F.sum("__w").alias("n"), *(F.sum(F.col("__w") * away[a]).alias(f"m_{a}") for a in names), *(F.sum(F.col("__w") * away[a] * away[b]).alias(f"c_{a}_{b}") for a, b in pairs))
-        for r in sums.toLocalIterator():  # one small row a resample
+        away = [F.col(a) - float(mu[a]) for a in names]
+        sums = _resampled(d.select(F.xxhash64(*names).alias("h"), F.array(*away).alias("v")), names, pairs, boots, seed)
+        for r in sums:  # one small row a resample
             mean = np.array([r[f"m_{a}"] for a in names]) / r["n"]
             cov = np.zeros((len(names), len(names)))
             for a, b in pairs:
@@ -389,6 +404,36 @@ def mediation(df: DataFrame, x: str, mediators: list[str], y: str, boots: int =
     return t.withColumn("p", z_p(F.col("sobel_z")))
 
 
+def _resampled(d: DataFrame, names: list[str], pairs: list[tuple[str, str]], boots: int, seed: int) -> list[dict]:
+    """Weighted sums (n, m_<a>, c_<a>_<b>) of each of ``boots`` Poisson resamples.
+
+    A task draws the weights of its cases from a generator seeded by ``seed`` and the task's
+    first case, a block of cases at a time, and returns ``boots`` rows of sums.
+    """
+    import pyarrow as pa
+
+    fields = ["n", *(f"m_{a}" for a in names), *(f"c_{a}_{b}" for a, b in pairs)]
+    at = [(names.index(a), names.index(b)) for a, b in pairs]
+
+    def each(batches):
+        total, rng = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rng is None:
+                rng, total = np.random.default_rng([seed, batch.column("h")[0].as_py() & ((1 << 63) - 1)]), np.zeros((boots, len(fields)))
+            v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, len(names))
+            for i in range(0, len(v), BLOCK):
+                x = v[i : i + BLOCK]
+                x = np.column_stack([np.ones(len(x)), x, *(x[:, a] * x[:, b] for a, b in at)])
+                total += rng.poisson(1.0, (boots, len(x))) @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(boots)), *(pa.array(c) for c in total.T)], ["b", *fields])
+
+    sums = d.mapInArrow(each, ", ".join(["b bigint", *(f"{f} double" for f in fields)]))
+    return [r.asDict() for r in sums.groupBy("b").agg(*(F.sum(f).alias(f) for f in fields)).orderBy("b").collect()]  # a row a resample
+
+
 def moderation(df: DataFrame, x: str, w: str, y: str, covariates: list[str] = (), center: bool = True) -> DataFrame:
     """(term, b, se, df, t, p, r2, delta_r2): y on x, w, their product and covariates; x and w centred by default."""
     fit, base, names, _ = _moderated(df, x, w, y, list(covariates), center)

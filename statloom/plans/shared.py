@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where none is set (one machine, tests) a temporary folder."""
+    """``spark.checkpoint.dir``; only on one machine (a local master, as in tests) a temporary
+    folder where none is set. A cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="statloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -19,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: cuts the lineage of iterations."""
-    path = f"{shared_dir(df.sparkSession)}/stats/{uuid.uuid4().hex}-{name}"
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_dir(spark)}/stats/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

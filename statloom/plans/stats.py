@@ -16,13 +16,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.special import div, finite
+from statloom.plans.shared import cut
+
+
+#: How a number is written; Spark's own cast also takes a trailing d or f.
+NUMBER = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def parsed(c: Column) -> Column:
+    """A string column as doubles; null where a string is no plain number."""
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
 def number(df: DataFrame, name: str) -> Column:
     """The column as a double; null where it is no finite number."""
     kind = df.schema[name].dataType.typeName()
     c = F.col(f"`{name}`")
-    return finite(c.try_cast("double") if kind == "string" else c.cast("double"))
+    return finite(parsed(c) if kind == "string" else c.cast("double"))
+
+
+def frequency(df: DataFrame, weight: str) -> Column:
+    """A case's frequency weight: max(1, round(w)), null where w is missing or at most 0."""
+    w = number(df, weight)
+    return F.when(w > 0, F.greatest(F.lit(1.0), F.floor(w + 0.5).cast("double")))
 
 
 def numbers(df: DataFrame, fields: dict[str, str], keys: dict[str, str] | None = None, listwise: bool = True) -> DataFrame:
@@ -38,7 +54,7 @@ def numbers(df: DataFrame, fields: dict[str, str], keys: dict[str, str] | None =
 def replicate(df: DataFrame, weight: str) -> DataFrame:
     """Frequency weights: each case max(1, round(w)) times, none where w is missing or at most 0.
 
-    Where no weight is usable, ``df`` as it is.
+    Where no weight is usable, ``df`` as it is. Procedures that take ``weight`` need no copies.
     """
     w = number(df, weight)
     if df.where(w > 0).isEmpty():
@@ -59,6 +75,13 @@ def moments(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | Non
     return s.select(*by, F.col("sw").cast("bigint").alias("n"), mean.alias("mean"), div(F.col("s2") - F.col("sw") * mean * mean, F.col("sw") - 1).alias("var"))
 
 
+def weighed(df: DataFrame, fields: dict[str, str], keys: dict[str, str] | None, weight: str | None) -> DataFrame:
+    """``numbers``, with the frequency weight as column ``w`` (1 where there is no weight); listwise."""
+    out = df if weight is None else df.withColumn("__frequency", frequency(df, weight))
+    made = numbers(out, fields | ({} if weight is None else {"w": "__frequency"}), keys)
+    return made.withColumn("w", F.lit(1.0)) if weight is None else made
+
+
 @dataclass
 class Gram:
     """Number of cases, means and covariances (n - 1) of some columns."""
@@ -96,40 +119,65 @@ def gram_of(row, names: Sequence[str]) -> Gram:
     return Gram(list(names), row["n"], np.array([np.nan if row[f"m_{a}"] is None else row[f"m_{a}"] for a in names]), cov)
 
 
-def gram(df: DataFrame, names: Sequence[str]) -> Gram:
-    """Means and covariances of complete columns of ``df``: one job, k (k + 3) / 2 numbers."""
-    return gram_of(df.agg(*gram_columns(names)).first(), names)
+def gram(df: DataFrame, names: Sequence[str], weight: str | None = None) -> Gram:
+    """Means and covariances of complete columns of ``df``: one job, k (k + 3) / 2 numbers.
+
+    With ``weight`` each case counts as often as that column says; sums are taken about the
+    plain means, so that little precision is lost.
+    """
+    if weight is None:
+        return gram_of(df.agg(*gram_columns(names)).first(), names)
+    at = df.agg(*(F.avg(a).alias(a) for a in names)).first()
+    away = {a: F.col(a) - float(at[a] or 0.0) for a in names}
+    w, k = F.col(weight), len(names)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    s = df.agg(F.coalesce(F.sum(w), F.lit(0.0)).alias("n"), *(F.sum(w * away[a]).alias(f"m_{a}") for a in names), *(F.sum(w * away[names[i]] * away[names[j]]).alias(f"c_{i}_{j}") for i, j in pairs)).first()
+    n = s["n"]
+    if not n:
+        return Gram(list(names), 0, np.full(k, np.nan), np.full((k, k), np.nan))
+    shift = np.array([s[f"m_{a}"] for a in names]) / n
+    cov = np.zeros((k, k))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = (s[f"c_{i}_{j}"] - n * shift[i] * shift[j]) / (n - 1) if n > 1 else np.nan
+    return Gram(list(names), int(n), shift + np.array([at[a] for a in names]), cov)
 
 
 def ranges(df: DataFrame, key: str) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def running(df: DataFrame, key: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, parts: int | None = None) -> DataFrame:
+def cuts_of(df: DataFrame, key: str, parts: int | None = None) -> list[float]:
+    """Approximate quantiles that cut ``key`` into ``parts`` ranges (by default as many as shuffle partitions)."""
+    parts = parts or ranges(df, key)
+    found = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    return sorted({float(x) for x in found})
+
+
+def running(df: DataFrame, key: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, parts: int | None = None, cuts: list[float] | None = None) -> DataFrame:
     """``df`` with cum_<c>: running sums of each of ``sums`` over ascending (or descending) ``key``.
 
     ``df`` has one row for each key (of each group ``by``). The keys are cut at approximate
     quantiles into ``parts`` ranges (by default as many as shuffle partitions); a range is
-    one window, and the totals of the ranges before it are added.
+    one window, and the totals of the ranges before it are added. ``df`` is written once and
+    read for the quantiles, the windows and the totals; with ``cuts`` known it is used as it is.
     """
-    parts = parts or ranges(df, key)
-    found = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
-    cuts = sorted({float(x) for x in found})
-    d = df.withColumn("__key", F.col(key).cast("double"))
-    d = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__key", outputCol="__range").transform(d) if cuts else d.withColumn("__range", F.lit(0.0))
+    if cuts is None:
+        df = cut(df, "running")
+        cuts = cuts_of(df, key, parts)
     order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    inside = Window.partitionBy(*by, "__range").orderBy(order(key)).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in sums})
     if not cuts:
-        return d.drop("__key", "__range")
+        inside = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order(key)).rowsBetween(Window.unboundedPreceding, 0)  # one key or a few
+        return df.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in sums})
+    split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__key", outputCol="__range")
+    ranged = split.transform(df.withColumn("__key", F.col(key).cast("double"))).drop("__key")
+    inside = Window.partitionBy(*by, "__range").orderBy(order(key)).rowsBetween(Window.unboundedPreceding, 0)
+    d = ranged.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in sums})
     # totals of the ranges: at most parts rows a group
     before = Window.partitionBy(*by).orderBy(order("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    total = df.withColumn("__key", F.col(key).cast("double"))
-    total = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__key", outputCol="__range").transform(total)
-    total = total.groupBy(*by, "__range").agg(*(F.sum(c).alias(f"__t_{c}") for c in sums))
+    total = ranged.groupBy(*by, "__range").agg(*(F.sum(c).alias(f"__t_{c}") for c in sums))
     total = total.select(*by, "__range", *(F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums))
     d = d.join(total, [*by, "__range"]).withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"__b_{c}") for c in sums})
-    return d.drop("__key", "__range", *(f"__b_{c}" for c in sums))
+    return d.drop("__range", *(f"__b_{c}" for c in sums))
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -144,8 +192,9 @@ def ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """(*by, n, *probs): exact type-7 quantiles from running counts of distinct values."""
-    r = running(value_counts(df, value, by), value, ["n"], by)
-    total = r.groupBy(*by).agg(F.sum("n").alias("total"))
+    counts = cut(value_counts(df, value, by), "counts")
+    r = running(counts, value, ["n"], by, cuts=cuts_of(counts, value))
+    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     r = r.join(total, list(by)) if by else r.crossJoin(F.broadcast(total))  # one row
     at = {k: (F.col("total") - 1) * p for k, p in probs.items()}
     low = {f"lo_{k}": F.min(F.when(F.col("cum_n") > F.floor(h), F.col(value))) for k, h in at.items()}

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from statloom.plans.stats import parsed
+
 #: Cells that stand for a missing value.
 MISSING = ("", ".", "NA")
 
@@ -21,12 +23,12 @@ def read_csv(spark: SparkSession, path: str, case_id: str = "id") -> DataFrame:
     """
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("escape", '"').csv(path, inferSchema=False)
     clean = raw.select(*(F.when(~F.trim(F.col(f"`{c}`")).isin(*MISSING), F.trim(F.col(f"`{c}`"))).alias(c) for c in raw.columns))
-    bad = clean.agg(*(F.max((F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).cast("int")).alias(str(i)) for i, c in enumerate(clean.columns))).first() if clean.columns else []
+    bad = clean.agg(*(F.max((F.col(f"`{c}`").isNotNull() & parsed(F.col(f"`{c}`")).isNull()).cast("int")).alias(str(i)) for i, c in enumerate(clean.columns))).first() if clean.columns else []
     cols = []
     for i, c in enumerate(clean.columns):
         text = bool(bad[i])
         meta = {"label": "", "measure": "Nominal" if text else "Scale", "role": "Input", "dec": 0 if text else 2, "width": 8}
-        cols.append((F.col(f"`{c}`") if text else F.col(f"`{c}`").try_cast("double")).alias(c, metadata=meta))
+        cols.append((F.col(f"`{c}`") if text else parsed(F.col(f"`{c}`"))).alias(c, metadata=meta))
     return number_cases(clean.select(*cols), case_id)
 
 
