@@ -5,10 +5,6 @@ import pytest
 
 from statloom.plans import queries as Q
 
-#: Heavy fits and whole-table echoes, run by the larger comparison only.
-SLOW = {"negative_binomial", "mice_pooled", "power_solve", "hlm_two_level", "hlm_three_level", "elbow"}
-
-
 @pytest.fixture(scope="module")
 def con(sf_dir):
     c = duckdb.connect()
@@ -31,6 +27,9 @@ def test_oracle(spark, sf_dir, con, name):
         assert h == pytest.approx(w, abs=1.1e-4, rel=1e-9) if all(isinstance(x, float | int) for x in h) else all(x == (pytest.approx(y, abs=1.1e-4, rel=1e-9) if isinstance(y, float) else y) for x, y in zip(h, w, strict=True))
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES)))
 def test_runs(spark, sf_dir, name):
-    assert Q.QUERIES[name](spark, sf_dir).columns
+    df = Q.QUERIES[name](spark, sf_dir)
+    rows = df.collect()
+    assert rows and all(len(r) == len(df.columns) for r in rows)
+    assert any(v is not None for r in rows for v in r)
