@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.special import div, finite
+from statloom.functions.special import finite
 from statloom.plans.stats import number, numbers, quantiles, running, value_counts
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from statloom.functions import special as S
 from statloom.functions.special import chi2_p, div, lit, z_p
 from statloom.operators.regression import solve
-from statloom.plans.stats import gram_columns, gram_of, number, numbers, rows, running
+from statloom.plans.shared import cut
+from statloom.plans.stats import gram_columns, gram_of, number, numbers, running
 
 
 def meta_analysis(df: DataFrame, effect: str, variance: str, model: str = "random") -> DataFrame:
@@ -180,8 +181,6 @@ def mice(df: DataFrame, columns: list[str], case_id: str, sets: int = 5, method:
     takes the observed value of one of the five cases around in predicted order. Randomness
     comes from hashes of written row numbers, so a lost task repeats its values.
     """
-    from statloom.plans.shared import cut
-
     k, names = len(columns), [f"v{i}" for i in range(len(columns))]
     d = df.select(F.col(f"`{case_id}`").alias("case"), F.monotonically_increasing_id().alias("id"), *(number(df, c).alias(v) for c, v in zip(columns, names, strict=True)))
     means = d.agg(*(F.avg(v).alias(v) for v in names), *(F.sum(F.col(v).isNull().cast("bigint")).alias(f"k{v}") for v in names)).first()
@@ -212,24 +211,29 @@ def mice(df: DataFrame, columns: list[str], case_id: str, sets: int = 5, method:
                 d = d.withColumns({f"{v}_{m}": F.coalesce(F.col(v), yhat + s * S.norm_inv(u(seed * 1_000_003 + c * 1009 + m * 31 + names.index(v)))) for m, (yhat, s) in new.items()})
             else:
                 base = cut(d.withColumns({f"p_{m}": yhat for m, (yhat, _) in new.items()}), "mice")
-                d = base
-                for m in new:
-                    got = _donated(base, v, f"p_{m}", F.floor(5 * u(seed * 1_000_003 + c * 1009 + m * 31 + names.index(v))) - 2)
-                    d = d.join(got, "id", "left").withColumn(f"{v}_{m}", F.coalesce(F.col(v), F.col("got"))).drop("got", f"p_{m}")
+                got = _donated(base, v, {m: F.floor(5 * u(seed * 1_000_003 + c * 1009 + m * 31 + names.index(v))) - 2 for m in new})
+                d = base.join(got, "id", "left").withColumns({f"{v}_{m}": F.coalesce(F.col(v), F.col(f"got_{m}")) for m in new}).drop(*(f"{x}_{m}" for m in new for x in ("got", "p")))
             d = cut(d, "mice")
     each = F.explode(F.array(*(F.struct(F.lit(m + 1).alias("m"), *(F.col(f"{v}_{m}").alias(v) for v in names)) for m in range(sets))))
     return d.select(F.col("case").alias(case_id), each.alias("x")).select(case_id, "x.m", *(F.col(f"x.{v}").alias(c) for c, v in zip(columns, names, strict=True)))
 
 
-def _donated(d: DataFrame, v: str, predicted: str, offset: Column) -> DataFrame:
-    """(id, got) of cases that miss ``v``: the value of the observed case ``offset`` places away in predicted order."""
-    p = d.select("id", F.col(predicted).alias("p"), F.col(v).alias("value"), offset.alias("off"))
-    r = running(p.groupBy("p").agg(F.count("value").alias("seen")), "p", ["seen"]).select("p", "cum_seen")
-    p = p.join(r, "p")
-    own = p.where("value is not null").withColumn("at", F.col("cum_seen") - F.row_number().over(Window.partitionBy("p").orderBy("id")) + 1)
+def _donated(d: DataFrame, v: str, offsets: dict[int, Column]) -> DataFrame:
+    """(id, got_<m>...) of cases that miss ``v``: in each set m the value of the observed case so many
+    places away in the order of the predictions p_<m>. All sets go through one plan."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.col(f"p_{m}").alias("p"), off.alias("off")) for m, off in offsets.items())))
+    p = d.select("id", F.col(v).alias("value"), each.alias("x")).select("id", "value", "x.*")
+    r = running(p.groupBy("m", "p").agg(F.count("value").alias("seen")), "p", ["seen"], ["m"]).select("m", "p", "cum_seen")
+    # donors are numbered within ranges of (set, prediction, row), so that equal predictions don't meet in one task
+    own = cut(p.where("value is not null").select("m", "p", "id", "value").repartitionByRange("m", "p", "id").withColumn("part", F.spark_partition_id()), "donors")
+    size = own.groupBy("m", "part").agg(F.count("*").alias("k"))
+    before = size.select("m", "part", F.coalesce(F.sum("k").over(Window.partitionBy("m").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))  # a row a range
+    own = own.join(F.broadcast(before), ["m", "part"]).withColumn("at", F.col("b") + F.row_number().over(Window.partitionBy("m", "part").orderBy("p", "id")))
     most = d.agg(F.count(v)).first()[0]
-    ask = p.where("value is null").select("id", F.greatest(F.lit(1), F.least(F.lit(most), F.col("cum_seen") + F.col("off"))).cast("bigint").alias("at"))
-    return ask.join(own.select(F.col("at").cast("bigint").alias("at"), F.col("value").alias("got")), "at").select("id", "got")
+    at = F.greatest(F.lit(1), F.least(F.lit(most), F.col("cum_seen") + F.col("off"))).cast("bigint")
+    ask = p.where("value is null").join(r, ["m", "p"]).select("m", "id", at.alias("at"))
+    got = ask.join(own.select("m", F.col("at").cast("bigint").alias("at"), F.col("value").alias("got")), ["m", "at"])
+    return got.groupBy("id").agg(*(F.max(F.when(F.col("m") == m, F.col("got"))).alias(f"got_{m}") for m in offsets))
 
 
 def pool(df: DataFrame, columns: list[str]) -> DataFrame:
