@@ -70,32 +70,43 @@ def chunks(png: bytes) -> Iterator[tuple[bytes, memoryview]]:
 
 
 def unfilter(lines: np.ndarray, step: int = 1) -> np.ndarray:
-    """Samples of filtered scan lines (filter type in column 0); ``step`` bytes a pixel."""
-    kinds, out = lines[:, 0], lines[:, 1:].copy()
+    """Samples of filtered scan lines (filter type in column 0); ``step`` bytes a pixel.
+
+    Sub and Up are sums along a row or from the row above. Where rows of Average or Paeth
+    occur, which need left, upper and upper left neighbour, all rows are undone together, one
+    diagonal of pixels at a time.
+    """
+    kinds = lines[:, 0]
     if kinds.max(initial=0) > PAETH:
         raise ValueError("unknown filter")
+    if kinds.max(initial=0) > UP:
+        return _by_diagonals(kinds, lines[:, 1:], step)
+    out = lines[:, 1:].copy()
     for y in np.flatnonzero(kinds):
-        row, above = out[y], out[y - 1] if y else np.zeros_like(out[0])
         if kinds[y] == UP:
-            row += above
-        elif kinds[y] == SUB:
-            for c in range(step):
-                row[c::step] = np.cumsum(row[c::step], dtype=np.uint8)
+            out[y] += out[y - 1] if y else 0
         else:
-            up, line = above.astype(int), row.astype(int)
-            for x in range(len(line)):
-                a, b = (line[x - step] if x >= step else 0), up[x]
-                if kinds[y] == AVERAGE:
-                    guess = (a + b) // 2
-                else:
-                    c = up[x - step] if x >= step else 0
-                    p = a + b - c
-                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                line[x] = (line[x] + guess) & 255
-            row[:] = line
+            for c in range(step):
+                out[y, c::step] = np.cumsum(out[y, c::step], dtype=np.uint8)
     return out
 
 
+def _by_diagonals(kinds: np.ndarray, filtered: np.ndarray, step: int) -> np.ndarray:
+    height, width = len(filtered), filtered.shape[1] // step
+    rest = filtered.reshape(height, width, step).astype(np.int16)
+    done = np.zeros((height + 1, width + 1, step), np.int16)  # a row above and a pixel before, all zero
+    for t in range(height + width - 1):
+        y = np.arange(max(0, t - width + 1), min(height, t + 1))
+        x = t - y
+        left, up, corner = done[y + 1, x], done[y, x + 1], done[y, x]
+        p = left + up - corner
+        pa, pb, pc = abs(p - left), abs(p - up), abs(p - corner)
+        paeth = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, up, corner))
+        guess = np.choose(kinds[y][:, None], (np.zeros_like(left), left, up, (left + up) // 2, paeth))
+        done[y + 1, x + 1] = (rest[y, x] + guess) & 255
+    return done[1:, 1:].astype(np.uint8).reshape(height, width * step)
+
+
 def decode(png: bytes) -> np.ndarray:
     """Rows of samples of an 8-bit grey PNG; ValueError if it is damaged or of another kind."""
     head, parts = None, []
