@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows that a Python worker handles at a time.
-ROWS = 1024
+ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables and files are."""
+    return f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}-{name}"
+    return f"{folder(spark)}/{uuid.uuid4().hex}-{name}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables and files, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -57,17 +68,19 @@ def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
 
 
-def per_row(rows: DataFrame, column: str, fields: str, make: Callable[[list], list]) -> DataFrame:
-    """``rows`` with ``column`` replaced by ``fields`` (DDL). ``make`` gets values of the column and
-    returns a list or array of the same length for each field. All other columns pass as they
-    are, as Arrow data: nulls beside them don't change their type."""
-    kept, made = [f for f in rows.schema if f.name != column], StructType.fromDDL(fields)
+def per_row(rows: DataFrame, columns: str | tuple[str, ...], fields: str, make: Callable[..., list]) -> DataFrame:
+    """``rows`` with ``columns`` replaced by ``fields`` (DDL). ``make`` gets a list of values for each of
+    the columns and returns a list or array of the same length for each field. All other
+    columns pass as they are, as Arrow data: nulls beside them don't change their type."""
+    columns = (columns,) if isinstance(columns, str) else columns
+    kept, made = [f for f in rows.schema if f.name not in columns], StructType.fromDDL(fields)
     names, kinds = [f.name for f in [*kept, *made]], to_arrow_schema(made).types
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in parts_of(batch)):
-            new = [pa.array(x, k) for x, k in zip(make(part.column(column).to_pylist()), kinds, strict=True)]
+            new = [pa.array(x, k) for x, k in zip(make(*(part.column(c).to_pylist() for c in columns)), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *new], names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return rows.mapInArrow(each, StructType([*kept, *made]))
 
@@ -78,6 +91,7 @@ def keep_rows(rows: DataFrame, column: str, good: Callable[[list], np.ndarray])
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in parts_of(batch)):
             yield part.filter(pa.array(good(part.column(column).to_pylist()), pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(each, rows.schema)
 

@@ -11,7 +11,7 @@ penalised: a neutral mention of a group moves the score as little as that of any
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -42,8 +42,6 @@ IDENTITY_TERMS = (
     ("inmigrante", "refugiado", "extranjero", "ciudadano"),
 )
 _GROUP = {t: line for line in IDENTITY_TERMS for t in line}
-#: Words whose trigrams a worker remembers before it starts anew.
-MEMORY_WORDS = 200_000
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’¿¡…–—"
 
 
@@ -86,21 +84,24 @@ def counterfactuals(text: str | None) -> list[tuple[set[str], set[str]]]:
     return [(rest | {term}, rest | {others[rule // 833 % len(others)]}), (rest | {term}, rest)]
 
 
+def _grams(words: set[str]) -> set[str]:
+    """Trigrams of all the words at once; those that span two words are no features."""
+    s = f"^{'$^'.join(words)}$"
+    return set(map("".join, zip(s, s[1:], s[2:], strict=False)))
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
     bias: float
-    #: Weighed trigrams of words that this process has seen.
-    seen: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False, compare=False)
+
+    def __post_init__(self):
+        self.words = {k: v for k, v in self.weights.items() if k[0] != _PART}
+        self.parts = {k[1:]: v for k, v in self.weights.items() if k[0] == _PART}
 
     def logit(self, words: set[str]) -> float:
-        if len(self.seen) > MEMORY_WORDS:
-            self.seen.clear()
-        known, weights = self.seen, self.weights
-        for w in words.difference(known):
-            known[w] = tuple(parts_of_word(w) & weights.keys())
-        parts = set().union(*map(known.__getitem__, words))
-        return self.bias + sum(weights[w] for w in words & weights.keys()) + sum(map(weights.__getitem__, parts))
+        z = self.bias + sum(map(self.words.__getitem__, words & self.words.keys()))
+        return z + sum(map(self.parts.__getitem__, _grams(words) & self.parts.keys())) if self.parts and words else z
 
     def score(self, text: str | None) -> float:
         """0 to 1; higher: likelier toxic. Null counts as empty."""
@@ -109,13 +110,6 @@ class Model:
     def scores(self, texts: list) -> np.ndarray:
         return np.fromiter(map(self.score, texts), float, len(texts))
 
-    def __getstate__(self):
-        return self.weights, self.bias
-
-    def __setstate__(self, state):
-        self.weights, self.bias = state
-        self.seen = {}
-
 
 def group_gap(model: Model, sentences: list[str]) -> float:
     """Mean, over neutral sentences and groups of terms, of the range of scores when a term is put there."""
@@ -170,16 +164,13 @@ def fit(
     vocab += [t for t in _GROUP if t not in set(vocab)]
     number = {w: i for i, w in enumerate(vocab)}
 
-    def indexed(lists: list) -> list:
-        return [[[number[w] for w in ws if w in number] for ws in lists]]
-
-    def indexed_pairs(lists: list) -> list:
-        return [[[[number[w] for w in ws if w in number] for ws in pairs] for pairs in lists]]
+    def indexed(words: list, more: list, less: list) -> list:
+        of = lambda ws: [number[w] for w in ws if w in number]
+        return [[of(ws) for ws in words], *([[of(ws) for ws in pairs] for pairs in lists] for lists in (more, less))]
 
-    data = per_row(sample, "w", "x array<int>", indexed)
-    for c in ("more", "less"):
-        data = per_row(data, c, f"{c}_x array<array<int>>", indexed_pairs)
-    data = data.select((F.floor(F.crc32(F.col("id").cast("string")) / fold) % 5).cast("int").alias("k"), "y", F.col("x").alias("w"), F.col("more_x").alias("more"), F.col("less_x").alias("less")).toPandas()
+    fold_of = (F.floor(F.crc32(F.col("id").cast("string")) / fold) % 5).cast("int")
+    data = per_row(sample.select(fold_of.alias("k"), "y", "w", "more", "less"), ("w", "more", "less"), "x array<int>, p array<array<int>>, q array<array<int>>", indexed)
+    data = data.toDF("k", "y", "w", "more", "less").toPandas()
     w, bias = _logistic(data[data["k"] > 0], len(vocab), ridge, fairness)
     rest = data[data["k"] == 0]
     shift = 0.0
