@@ -40,8 +40,9 @@ LOOSE = {
     "iban_loose": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     # a run of 16 or more with a digit and a letter in it
     "secret_loose": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+",
-    "name_loose": r"(?<=\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Sra?|name|named|nombre|nom|by|from|von|par|por)[.:]?\x20)\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+){0,2}(?![\p{L}\p{N}])",
-    "address_loose": r"(?<![\p{L}\p{N}])(?:[0-9]{1,5}\x20(?:\p{Lu}\p{Ll}+\x20){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Drive|Boulevard|Court)|\p{Lu}\p{Ll}{2,20}(?:straße|strasse|weg|platz|gasse)\x20[0-9]{1,4}|[0-9]{1,4},?\x20(?:rue|avenue|place)\x20(?:d[eu]s?\x20(?:la\x20)?)?\p{Lu}\p{Ll}+|[Cc]alle\x20(?:de\x20(?:la\x20)?)?\p{Lu}\p{Ll}+,?\x20[0-9]{1,4})(?![\p{L}\p{N}])",
+    # after a title, or after "name is" and the like; the capital comes first, as it is rare
+    "name_loose": r"(?=\p{Lu})(?<=\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señora?|Sra?|name|named|name\x20is|nombre|nom)[.:]?\x20)\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+){0,2}(?![\p{L}\p{N}])",
+    "address_loose": r"(?=[0-9\p{Lu}c])(?<![\p{L}\p{N}])(?:[0-9]{1,5}\x20(?:\p{Lu}\p{Ll}+\x20){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Drive|Boulevard|Court)|\p{Lu}\p{Ll}{2,20}(?:straße|strasse|weg|platz|gasse)\x20[0-9]{1,4}|[0-9]{1,4},?\x20(?:rue|avenue|place)\x20(?:d[eu]s?\x20(?:la\x20)?)?\p{Lu}\p{Ll}+|[Cc]alle\x20(?:de\x20(?:la\x20)?)?\p{Lu}\p{Ll}+,?\x20[0-9]{1,4})(?![\p{L}\p{N}])",
     "birth_loose": r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[./-][0-9]{2}[./-][0-9]{2})(?![./-]?[0-9])",
 }
 #: What must occur in a text for the pattern to be tried at all.
@@ -54,9 +55,9 @@ NEEDS = {
     "phone_loose": r"[0-9]\)?[\x20./-][0-9]",
     "id_loose": r"[0-9]-[0-9]",
     "iban_loose": r"[A-Z]{2}[0-9]{2}",
-    "secret_loose": r"[A-Za-z][_+/=-]*+[0-9]|[0-9][_+/=-]*+[A-Za-z]",
-    "name_loose": r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señora?|Sra?|named?|nombre|nom|by|from|von|par|por)[.:]?\x20\p{Lu}",
-    "address_loose": r"[0-9],?\x20(?:\p{Lu}|rue|avenue|place)|(?:straße|strasse|weg|platz|gasse)\x20[0-9]|[Cc]alle\x20",
+    "secret_loose": r"[0-9](?:(?=[A-Za-z_+/=-])|(?<=[A-Za-z_+/=-][0-9]))",
+    "name_loose": r"\p{Lu}\p{Ll}",
+    "address_loose": r"[0-9],?\x20(?:\p{Lu}|rue|avenue|place)|\x20[0-9]",
     "birth_loose": r"[0-9][./-][0-9]{1,2}[./-][0-9]",
 }
 KINDS = [*BASE, *LOOSE]
@@ -223,6 +224,11 @@ def examples(spark: SparkSession, n: int = 160) -> DataFrame:
         ("phone_loose", long_date(), born(), 0),
         ("email_loose", cat(pick("ana", "j.doe", "kim_l"), pick(" (at) ", " at ", "[at]"), pick("mail", "uni-x", "firm"), pick(" dot ", "(dot)", " [dot] "), pick("com", "org", "de")), mail(), 1),
         ("email_loose", cat(pick("look", "was", "arrived", "meet"), " at ", pick("noon", "home", "last", "the"), ". ", pick("then", "it", "she", "and")), plain(), 0),
+        ("email_loose", cat(pick("look", "was", "arrived", "meet"), " at ", pick("noon", "home", "last", "the"), ". ", pick("Then", "It", "She", "And")), mail(), 0),
+        ("email_loose", cat(pick("look", "was", "arrived", "meet"), " at ", pick("noon", "home"), ".", pick("com", "then", "org")), plain(), 0),
+        ("phone_loose", cat(d(2), " ", d(2), " ", d(2)), plain(), 0),
+        ("phone_loose", cat(d(5), "-", d(5)), plain(), 0),
+        ("phone_loose", cat(d(4), " ", d(4)), plain(), 0),
         ("id_loose", cat(d(3), "-", d(2), "-", d(4)), pick("ssn ", "social: ", "id ", "number ", ""), 1),
         ("id_loose", cat(d(3), "-", d(2), "-", d(4)), pick("page ", "file ", "etag "), 0),
         ("phone_loose", cat(d(3), "-", d(2), "-", d(4)), pick("ssn ", "social: ", "id "), 0),
@@ -241,8 +247,8 @@ def examples(spark: SparkSession, n: int = 160) -> DataFrame:
         ("secret_loose", cat(pick("KX", "MODEL", "REF"), "-", d(4), "-", d(4), "-", d(4)), plain(), 0),
         ("name_loose", cat(first(), " ", last()), title(), 1),
         ("name_loose", last(), pick("Mr ", "Mrs. ", "Dr. ", "Herr ", "Frau ", "Señora "), 1),
-        ("name_loose", cat(pick("Monday", "March", "North", "New", "United", "This"), pick("", " Morning", " America", " York")), pick("by ", "from ", "von ", "por "), 0),
-        ("name_loose", pick("Then", "One", "Other", "Water", "Paris", "Music"), pick("by ", "from ", "von ", "par ", "por "), 0),
+        ("name_loose", cat(pick("Monday", "March", "North", "New", "United", "This"), pick("", " Morning", " America", " York")), pick("the name ", "a name: ", "nom ", "nombre "), 0),
+        ("name_loose", pick("Then", "One", "Other", "Water", "Paris", "Music"), pick("the name ", "a town named ", "nom ", "nombre "), 0),
         ("address_loose", cat(d(2), " ", pick("Mill", "High", "Oak Tree"), " ", pick("Street", "Road", "Avenue", "Lane")), lives(), 1),
         ("address_loose", cat(pick("Haupt", "Garten", "Linden"), pick("straße ", "weg ", "platz "), d(2)), lives(), 1),
         ("address_loose", cat(pick("12, rue de ", "7 rue du ", "Calle de "), pick("Lyon", "Nord", "Madrid"), pick("", ", 12")), lives(), 1),
