@@ -33,6 +33,8 @@ BLOCKS = (21, 21, 22)
 MAX_BITS = 3
 #: Keys with more members than this go the hub way instead of being compared with each other.
 CROWDED = 64
+#: Keys with several members (16 bytes each) that are broadcast to find those members.
+BROADCAST_ROWS = 1_000_000
 _CHUNK = 1 << 16
 
 
@@ -112,10 +114,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> D
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("max_bits must be 0 to 3")
-    keys = ball_keys(fps.select("fp").distinct())
+    # the few fingerprints are dealt anew, as each makes 132 rows
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ball_keys(fps.select("fp").distinct().repartition(parts, "fp"))
     # counted with partial sums and joined back, so that a crowded key isn't in one task
     counts = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met-counts")
-    met = materialize(keys.join(counts, "key"), "met")
+    met = materialize(keys.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, "key"), "met")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
