@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Rows that a Python worker handles at a time.
 ROWS = 512
@@ -68,12 +68,12 @@ def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
 
 
-def per_row(rows: DataFrame, columns: str | tuple[str, ...], fields: str, make: Callable[..., list]) -> DataFrame:
+def per_row(rows: DataFrame, columns: str | tuple[str, ...], fields: str | StructType, make: Callable[..., list]) -> DataFrame:
     """``rows`` with ``columns`` replaced by ``fields`` (DDL). ``make`` gets a list of values for each of
     the columns and returns a list or array of the same length for each field. All other
     columns pass as they are, as Arrow data: nulls beside them don't change their type."""
     columns = (columns,) if isinstance(columns, str) else columns
-    kept, made = [f for f in rows.schema if f.name not in columns], StructType.fromDDL(fields)
+    kept, made = [f for f in rows.schema if f.name not in columns], fields if isinstance(fields, StructType) else StructType.fromDDL(fields)
     names, kinds = [f.name for f in [*kept, *made]], to_arrow_schema(made).types
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +85,20 @@ def per_row(rows: DataFrame, columns: str | tuple[str, ...], fields: str, make:
     return rows.mapInArrow(each, StructType([*kept, *made]))
 
 
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` takes it, whatever it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def added(docs: DataFrame, keep: list[str], inputs: list[Column], fields: str, make: Callable[..., list]) -> DataFrame:
+    """Columns ``keep`` of ``docs`` beside ``fields`` (DDL), which ``make`` works out from ``inputs`` as in
+    ``per_row``. Inside, columns have numbers for names, so that none of ``docs`` clashes with another."""
+    made = StructType.fromDDL(fields)
+    rows = docs.select(*(F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)), *(x.alias(f"x{i}") for i, x in enumerate(inputs)))
+    numbered = StructType([StructField(f"v{i}", f.dataType) for i, f in enumerate(made)])
+    return per_row(rows, tuple(f"x{i}" for i in range(len(inputs))), numbered, make).toDF(*keep, *made.names)
+
+
 def keep_rows(rows: DataFrame, column: str, good: Callable[[list], np.ndarray]) -> DataFrame:
     """Those of ``rows`` for whose ``column`` ``good`` returns True; they pass untouched as Arrow data."""
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import per_row
+from statloom.llm.common import added, per_row, quoted
 
 WIDTH = 576
 PAD = 255
@@ -175,4 +175,4 @@ def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
             features.append(None if rows is None or not rows.size else frequency_hash(rows))
         return [samples, features]
 
-    return per_row(media.select(*(F.col(f"`{c}`") for c in keep), F.col(media_col).alias("__media")), "__media", "samples binary, feature binary", each)
+    return added(media, keep, [F.col(quoted(media_col))], "samples binary, feature binary", each)

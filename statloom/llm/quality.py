@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import per_row, text_of
+from statloom.llm.common import added, per_row, quoted, text_of
 from statloom.llm.toxicity import training_rows
 
 FEATURES = (
@@ -120,5 +120,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     already called ``name`` is replaced; all others pass untouched.
     """
     keep = [c for c in docs.columns if c not in (text_col, name)]
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("__text"))
-    return per_row(rows, "__text", f"`{name}` double", lambda texts: [model.score(np.stack([features(t) for t in texts]))])
+    return added(docs, keep, [F.col(quoted(text_col))], f"{quoted(name)} double", lambda texts: [model.score(np.stack([features(t) for t in texts]))])

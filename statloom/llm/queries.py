@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import decontam, packing, pii, png, quality, simhash, token_counts, token_files, toxicity, warc
+from statloom.llm import decontam, fim, merkle, oracles, packing, pii, png, quality, simhash, token_counts, token_files, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,31 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op4_png, op5_toxicity, op6_token_files, op7_packing, op8_token_counts, op9_quality, op10_warc)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.leaf_hash(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+    cut = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    made = merkle.build(docs, leaf(F.col("text")), carry=F.nullif(leaf(cut), leaf(F.col("text"))))
+    rows = merkle.folded(made.rows, F.coalesce("carry", "leaf"))
+    root = F.lit(made.root).cast("string")
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", root.alias("root"), F.sha2(F.lower(F.hex("siblings")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
+#: Verdict, host and path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).drop("score")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.restore(fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digest = lambda c, name: F.sha2(c, 256).alias(name)
+    return rows.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", digest("fim.output", "output_sha256"), digest("text", "restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op4_png, op5_toxicity, op6_token_files, op7_packing, op8_token_counts, op9_quality, op10_warc, op11_merkle, op12_url_filter, op13_fill_in_middle)}
 #: The others need a tokenizer, trained models, XXH64 or CRC-32, which SQL lacks. Base32 is written out from the hex digits, five at a time.
 ORACLES: dict[str, str] = {
     "op10_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), d AS (SELECT page_id, octet_length(encode(t)) AS n, sha1(t) AS h FROM p),
@@ -81,4 +105,7 @@ f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(floor(CAST('0x' || substr(d.h, 1 + 5 * (i // 4), 5) AS BIGINT) / power(32, 3 - i % 4)) AS BIGINT) % 32, 1)), 'string_agg', '') AS payload_digest,
 CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d JOIN f USING (h)""",
+    "op11_merkle": oracles.MERKLE,
+    "op12_url_filter": oracles.url_filter(URL_RULES),
+    "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }

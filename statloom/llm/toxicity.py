@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import keep_rows, materialize, per_row, text_of
+from statloom.llm.common import added, keep_rows, materialize, per_row, quoted, text_of
 
 #: Terms for groups of people in four languages; a term is swapped for others in its line.
 IDENTITY_TERMS = (
@@ -227,8 +227,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     already called ``name`` is replaced; all others pass untouched.
     """
     keep = [c for c in docs.columns if c not in (text_col, name)]
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("__text"))
-    return per_row(rows, "__text", f"`{name}` double", lambda texts: [model.scores(texts)])
+    return added(docs, keep, [F.col(quoted(text_col))], f"{quoted(name)} double", lambda texts: [model.scores(texts)])
 
 
 def reject(docs: DataFrame, model: Model, at: float = 0.7, text_col: str = "text") -> DataFrame:
