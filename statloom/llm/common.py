@@ -90,6 +90,11 @@ def quoted(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, ``row``: what is worked out beside it can't clash with their names; ``select("row.*")`` gives them back."""
+    return F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")
+
+
 def added(docs: DataFrame, keep: list[str], inputs: list[Column], fields: str, make: Callable[..., list]) -> DataFrame:
     """Columns ``keep`` of ``docs`` beside ``fields`` (DDL), which ``make`` works out from ``inputs`` as in
     ``per_row``. Inside, columns have numbers for names, so that none of ``docs`` clashes with another."""
@@ -101,13 +106,16 @@ def added(docs: DataFrame, keep: list[str], inputs: list[Column], fields: str, m
 
 def keep_rows(rows: DataFrame, column: str, good: Callable[[list], np.ndarray]) -> DataFrame:
     """Those of ``rows`` for whose ``column`` ``good`` returns True; they pass untouched as Arrow data."""
+    names = rows.columns
+    numbered = rows.toDF(*(f"k{i}" for i in range(len(names))))  # Arrow functions take no name with a dot or backtick
+    at = names.index(column)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in parts_of(batch)):
-            yield part.filter(pa.array(good(part.column(column).to_pylist()), pa.bool_()))
+            yield part.filter(pa.array(good(part.column(at).to_pylist()), pa.bool_()))
         pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(each, rows.schema)
+    return numbered.mapInArrow(each, numbered.schema).toDF(*names)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

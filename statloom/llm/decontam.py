@@ -7,8 +7,9 @@ names as written), which finds copies in another case. Hits are summed over band
 neighbouring offsets, so that inserted and deleted words don't split a passage. What counts
 is how many of the item's words the hits cover; values that contradict each other lower it.
 
-Items with no window to speak of (too short, or hardly a literal word) are searched whole,
-values included.
+Items with no window to speak of (too short, or hardly a literal word) are searched whole:
+values included, and as one template of their words and signs, if these say enough and the
+values that are put in fit each other.
 
 Everything here is DataFrame code. A document's windows exist only as rows between the
 explode and the join of one stage; what is shuffled are hits.
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import materialize
+from statloom.llm.common import materialize, whole_row
 
 WINDOW = 5
 #: Fewest literal words in a window; windows made of placeholders alone say nothing.
@@ -30,6 +31,8 @@ LITERALS = 3
 COVERAGE = 0.5
 #: So many words of an item count whatever its length (a quote); fewer than LEAST only if they are the whole item.
 QUOTE, LEAST = 13, 8
+#: Words and signs that are no placeholders, for an item to be searched as one template.
+SHORT_LITERALS = 3
 #: Words that each slot costs whose value contradicts the item's.
 CONFLICT = 8
 #: Shift of offsets that a band tolerates at least; bands are twice as wide and overlap.
@@ -52,17 +55,20 @@ NUMBER, UNIT, NAME = "0", "1", "2"
 TEMPLATE, PLAIN = 0, 1
 #: Form of whole items of k words, values included: EXACT + min(k, WINDOW).
 EXACT = 10
+#: Forms of whole items of k words and signs as templates, with placeholders for names and lower-cased: these + min(k, WINDOW).
+SHORT, SHORT_PLAIN = 20, 30
 #: A number with separators and decimals, and its unit.
 _NUMBER = r"[0-9]+(?:[.,'\x{A0}\x{202F}][0-9]+)*+(?:[ \x{A0}]?(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r"|%|°C|[$€£])(?![\p{L}\p{N}]))?"
 #: Names: words of a capital and small letters, in a row.
 _NAME = r"\p{Lu}\p{Ll}++(?![\p{L}\p{N}])(?: \p{Lu}\p{Ll}++(?![\p{L}\p{N}]))*+"
 _WORD = r"[\p{L}\p{N}&&[^0-9]][\p{L}\p{N}]*+"
-_PATTERN = {TEMPLATE: f"{_NUMBER}|{_NAME}|{_WORD}", PLAIN: f"{_NUMBER}|{_WORD}"}
+_SIGN = r"[-+*/=<>^?×÷±√≤≥≠]"
+_PATTERN = {TEMPLATE: f"{_NUMBER}|{_NAME}|{_WORD}", PLAIN: f"{_NUMBER}|{_WORD}", SHORT: f"{_NUMBER}|{_NAME}|{_WORD}|{_SIGN}", SHORT_PLAIN: f"{_NUMBER}|{_WORD}|{_SIGN}"}
 
 
 def raw_words(text: Column, form: int = TEMPLATE) -> Column:
-    """Numbers with their units, names (template form) and words, as written (plain form: lower-cased)."""
-    return F.regexp_extract_all(text if form == TEMPLATE else F.lower(text), F.lit(_PATTERN[form]), F.lit(0))
+    """Numbers with their units, names (template forms), words and signs (short forms), as written (plain forms: lower-cased)."""
+    return F.regexp_extract_all(F.lower(text) if form in (PLAIN, SHORT_PLAIN) else text, F.lit(_PATTERN[form]), F.lit(0))
 
 
 def masked(raw: Column, form: int = TEMPLATE) -> Column:
@@ -70,8 +76,8 @@ def masked(raw: Column, form: int = TEMPLATE) -> Column:
     a number with a unit and, in the template form, one for a name of any number of words."""
 
     def each(w: Column) -> Column:
-        out = F.when(w < ":", F.when(F.right(w, F.lit(1)).between("0", "9"), NUMBER).otherwise(UNIT))
-        if form == PLAIN:
+        out = F.when((w >= "0") & (w < ":") if form >= SHORT else w < ":", F.when(F.right(w, F.lit(1)).between("0", "9"), NUMBER).otherwise(UNIT))
+        if form in (PLAIN, SHORT_PLAIN):
             return out.otherwise(w)
         return out.when((F.initcap(w) == w) & (F.lower(w) != w) & (F.length(w) > 1), NAME).otherwise(F.lower(w))
 
@@ -105,9 +111,14 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     few = _counts(wins).where(F.col("n_words") < LEAST)
     wins = wins.join(few, ["item_id", "form"], "left_anti")
     rest = items.join(wins.select("item_id").distinct(), "item_id", "left_anti").select("item_id", raw_words(F.col("t"), PLAIN).alias("raw"))
-    for k in range(1, WINDOW + 1):
-        sized = F.size("raw") == k if k < WINDOW else F.size("raw") >= k
-        wins = wins.unionAll(_cut(rest.where(sized).withColumn("words", F.col("raw")), F.lit(EXACT + k), k))
+    left = items.join(wins.select("item_id").distinct(), "item_id", "left_anti")
+    whole = {EXACT: rest.withColumn("words", F.col("raw"))}
+    for form in (SHORT, SHORT_PLAIN):
+        words = left.select("item_id", raw_words(F.col("t"), form).alias("raw")).select("item_id", "raw", masked(F.col("raw"), form).alias("words"))
+        whole[form] = words.where(F.exists("words", _marked) & (F.size(F.filter("words", lambda w: ~_marked(w))) >= SHORT_LITERALS))
+    for form, words in whole.items():
+        for k in range(1, WINDOW + 1):
+            wins = wins.unionAll(_cut(words.where(F.size("raw") == k if k < WINDOW else F.size("raw") >= k), F.lit(form + k), k))
     of = lambda k: _hash(F.col("form"), [F.get("words", F.lit(i)) for i in range(k)])
     keyed = reduce(lambda found, k: found.when(F.size("words") == k, of(k)), range(2, WINDOW + 1), F.when(F.size("words") == 1, of(1)))
     return wins.join(_counts(wins), ["item_id", "form"]).select(keyed.alias("h"), "item_id", "form", "bpos", "raw", "n_windows", "n_words")
@@ -124,7 +135,7 @@ def _cut(items: DataFrame, form: Column, width: int) -> DataFrame:
 
 def _covered(bpos: Column, form: Column) -> Column:
     """Words that the windows at ``bpos`` cover."""
-    width = F.when(form > EXACT, form - EXACT).otherwise(WINDOW)
+    width = F.when(form > EXACT, form % 10).otherwise(WINDOW)
     return F.size(F.array_distinct(F.flatten(F.transform(bpos, lambda p: F.sequence(p, p + width - 1)))))
 
 
@@ -135,11 +146,11 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 def document_windows(docs: DataFrame, id_col: str, text_col: str, exact: tuple[int, ...] = ()) -> DataFrame:
     """(key, id, pos, form, h, raw): every window of every text in both forms, and in the exact
-    forms named; ``raw`` holds its words as written. A row for each window, made in one stage."""
+    and short forms named; ``raw`` holds its words as written. A row for each window, made in one stage."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), text.alias("t"))
     cut = F.array_repeat(F.lit(None).cast("string"), WINDOW)  # no window spans two forms
-    read = read.select("key", "id", raw_words(F.col("t")).alias("r0"), raw_words(F.col("t"), PLAIN).alias("r1"))
+    read = read.select("key", "id", raw_words(F.col("t")).alias("r0"), raw_words(F.col("t"), PLAIN).alias("r1"), "t")
     whole = F.concat(masked(F.col("r0")), cut, masked(F.col("r1"), PLAIN))
     both = read.select("key", "id", F.concat("r0", cut, "r1").alias("r"), whole.alias("w"), F.size("r0").alias("n0"))
     # explode_outer: the inner one would have the words computed twice, for a filter on their number
@@ -150,10 +161,12 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, exact: tuple[i
     own = lambda k: F.slice("r", F.col("pos") + 1, F.lit(k)).alias("raw")  # noqa: E731  generated code makes it after the join, for hits alone
     out = rows.select("key", "id", "pos", "form", _hash(F.col("form"), [F.col(f"w{i}") for i in range(WINDOW)]).alias("h"), own(WINDOW))
     for form in exact:
-        k = form - EXACT
-        rows = read.select("key", "id", F.col("r1").alias("r"), F.posexplode_outer("r1").alias("pos", "w0"))
+        k, kind = form % 10, form // 10 * 10
+        raw = F.col("r1") if kind == EXACT else raw_words(F.col("t"), kind)
+        tall = read.select("key", "id", raw.alias("r")).select("key", "id", "r", (F.col("r") if kind == EXACT else masked(F.col("r"), kind)).alias("w"))
+        rows = tall.select("key", "id", "r", "w", F.posexplode_outer("w").alias("pos", "w0"))
         rows = rows.where(F.get("r", F.col("pos") + k - 1).isNotNull())
-        out = out.unionAll(rows.select("key", "id", "pos", F.lit(form).alias("form"), _hash(F.lit(form), [F.get("r", F.col("pos") + i) for i in range(k)]).alias("h"), own(k)))
+        out = out.unionAll(rows.select("key", "id", "pos", F.lit(form).alias("form"), _hash(F.lit(form), [F.get("w", F.col("pos") + i) for i in range(k)]).alias("h"), own(k)))
     return out
 
 
@@ -178,7 +191,7 @@ def found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     exact = tuple(sorted(r[0] for r in bench.where(F.col("form") > EXACT).select("form").distinct().collect()))  # at most WINDOW
     hits = _hits(document_windows(docs, id_col, text_col, exact), bench, broadcast_bytes)
     # (item position, kind, item's value, document's value) of each slot
-    kind = F.when(F.col("form") > EXACT, F.array().cast("array<string>")).when(F.col("form") == PLAIN, masked(F.col("braw"), PLAIN)).otherwise(masked(F.col("braw")))
+    kind = F.when(F.col("form") > SHORT_PLAIN, masked(F.col("braw"), SHORT_PLAIN)).when(F.col("form") > SHORT, masked(F.col("braw"), SHORT)).when(F.col("form") > EXACT, F.array().cast("array<string>")).when(F.col("form") == PLAIN, masked(F.col("braw"), PLAIN)).otherwise(masked(F.col("braw")))
     value = lambda words: F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[ \x{A0}]", ""))
     zipped = F.arrays_zip(kind.alias("k"), value(F.col("braw")).alias("b"), value(F.col("raw")).alias("d"))
     slots = F.filter(F.transform(zipped, lambda x, i: F.struct((F.col("bpos") + i).alias("at"), x["k"].alias("k"), x["b"].alias("b"), x["d"].alias("d"))), lambda x: F.coalesce(_marked(x["k"]), F.lit(False)))
@@ -199,7 +212,7 @@ def found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     lost = F.size(F.array_distinct(F.transform(F.filter("slots", against), lambda x: x["at"])))
     by = by.withColumn("left", F.col("covered") - CONFLICT * lost)
     enough = (F.col("left") >= LEAST) & ((F.col("left") >= coverage * F.col("n_words")) | (F.col("left") >= quote))
-    by = by.where((F.col("form") > EXACT) | enough)
+    by = by.where(F.when(F.col("form") > EXACT, F.col("left") == F.col("n_words")).otherwise(enough))
     n_slots = F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["k"], x["b"], x["d"])))).cast("bigint")
     x = F.struct(
         (F.col("left") / F.col("n_words")).alias("coverage"), F.forall("slots", lambda x: x["b"] == x["d"]).alias("same"), F.size("bpos").alias("n_hit"), "n_windows", n_slots.alias("n_slots"),
@@ -218,7 +231,9 @@ def contaminated(
     Each slot of an item's value that becomes several values takes ``CONFLICT`` words off; two
     values may become one. ``coverage`` is what remains, as a share. ``same_values`` tells
     copies from questions asked again with other values. Items of fewer than ``LEAST`` words,
-    or all of placeholders, are held by documents that have all their words in a row.
+    or all of placeholders, are held by documents that have all their words in a row; with other
+    values if ``SHORT_LITERALS`` of their words and signs remain, all stand in a row, and equal
+    values are put in for equal ones.
 
     Null and empty texts hold nothing, null and empty items are held by none. Rows are judged
     one by one, also those of one id or of none; an id with several rows gets its best. Extra
@@ -234,9 +249,9 @@ def contaminated(
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; columns as before. Rows go one by
     one, whether they share an id, or have none, or not."""
-    bad = found(docs, benchmark, id_col, text_col, item_col, item_text_col, COVERAGE, BROADCAST_BYTES, QUOTE).select(F.col("key").alias("__key")).distinct()
+    bad = found(docs, benchmark, id_col, text_col, item_col, item_text_col, COVERAGE, BROADCAST_BYTES, QUOTE).select("key").distinct()
     bad = materialize(bad, "contaminated")
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    rows = docs.withColumn("__key", row_key(id_col, text_col))
-    return rows.join(bad, "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(row_key(id_col, text_col).alias("key"), whole_row(docs))
+    return rows.join(bad, "key", "left_anti").select("row.*")

@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm.common import materialize
+from statloom.llm.common import materialize, quoted
 
 #: Base kinds in their order. Each pattern finds what the plain one in the comment finds,
 #: without rescanning long runs: a match starts where a run does, or where the last ended.
@@ -359,7 +359,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     them, stay as they are.
     """
     rest = [c for c in docs.columns if c != text_col]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("__row"), F.col(text_col).alias("__text"))
+    packed = docs.select(F.struct(*(F.col(quoted(c)) for c in rest)).alias("__row"), F.col(text_col).alias("__text"))
     found = find(packed, "__row", "__text")
     text = F.col("__text")
 

@@ -97,10 +97,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path) as f:
             spec = json.load(f)
+        #: Strings that the library finds in a text before anything else; such a text goes to it whole.
+        self._special = [x["content"] for x in spec["added_tokens"]]
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"]]) if x]
         pre = spec["pre_tokenizer"] or {}
         #: How texts may be divided: before words with their space, into words without space, or not.
@@ -115,6 +116,8 @@ class Encoder:
         self._tails = _Memory(self._library)
         self._known = _Words(lambda w: self._plain(self._lead + w), self._tails, self._word)
         self._starts = _Words(self._plain, self._tails, self._start)
+        if any(x["normalized"] for x in spec["added_tokens"]):  # they are found in normalised text
+            self.by = "whole"
         if self.by != "whole" and not all(self._known[w] == self._library(self._lead + w) for w in _PROBES if self.by == "space" or "\n" not in w):
             self._known, self._starts = _Memory(lambda w: self._library(self._lead + w)), _Memory(self._library)
 
@@ -141,9 +144,12 @@ class Encoder:
         return None if lines else self._library(word)
 
     def encode(self, text: str | None) -> bytes:
-        """Null counts as empty; no special ids are added."""
+        """Null counts as empty; no special ids are added. Special strings in the text
+        are the ids that the library gives them."""
         if not text:
             return b""
+        if any(x in text for x in self._special):
+            return self._library(text)
         if self.by == "space":
             first, *rest = _BEFORE_WORD.split(text) if _SPACES.search(text) else text.split(" ")
             return self._library(first) + b"".join(map(self._known.__getitem__, rest))

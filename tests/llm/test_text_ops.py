@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from statloom.llm import decontam, packing, pii, png, queries, simhash, token_counts, token_files
+from statloom.llm import decontam, packing, pii, png, queries, simhash, token_counts, token_files, tokens
 from statloom.llm.common import connected_components
 
 
@@ -219,7 +219,6 @@ def test_op4_odd(odd, none, spark):
 @pytest.fixture(scope="module")
 def byte_bpe():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t
 
 
@@ -346,8 +345,16 @@ def test_short_way_of_the_encoder_equals_the_library():
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         path = public_tokenizers.path(name)
         mine, lib = Encoder(path), Tokenizer.from_file(path)
-        lib.encode_special_tokens = True
         for _ in range(2000):
             text = "".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 8)))
             got = memoryview(mine.encode(text)).cast("H" if mine.dtype.itemsize == 2 else "I").tolist()
             assert got == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_strings_are_what_the_library_makes_of_them(name):
+    path = public_tokenizers.path(name)
+    lib = Tokenizer.from_file(path)
+    enc = tokens.Encoder(path)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|startoftext|>x<|endoftext|>\n\ny", "<|EndOfText|>", "<|endoftext", "plain words  here"):
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids
