@@ -69,7 +69,7 @@ class Rope:
 
 
 def leaf(text: str) -> Rope:
-    return Rope(sum(1 for _ in _UNIT.finditer(text)), len(text), text)
+    return Rope(len(_UNIT.findall(text)), len(text), text)
 
 
 EMPTY = leaf("")
@@ -77,7 +77,8 @@ EMPTY = leaf("")
 
 def rope(text: str) -> Rope:
     """The balanced tree of a text."""
-    level = [leaf(x) for x in _LEAF.findall(text)] or [EMPTY]
+    parts = _LEAF.findall(text)
+    level = [*(Rope(LEAF, len(x), x) for x in parts[:-1]), *map(leaf, parts[-1:])] or [EMPTY]
     while len(level) > 1:
         level = [a + b for a, b in zip(level[::2], level[1::2], strict=False)] + level[len(level) // 2 * 2 :]
     return level[0]
