@@ -150,10 +150,9 @@ def cell_means(df: DataFrame, value: str, factors: list[str], weight: str | None
     d = weighed(df, {"v": value}, dict(zip(names, factors, strict=True)), weight)
     at = d.agg(F.avg("v")).first()[0] or 0.0
     v = F.col("v") - float(at)
-    c = d.cube(*names).agg(F.sum("w").alias("n"), F.sum(F.col("w") * v).alias("s1"), F.sum(F.col("w") * v * v).alias("s2")).where("n > 0")
-    mean = F.col("s1") / F.col("n")
-    c = c.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), div(F.col("s2") - F.col("n") * mean * mean, F.col("n") - 1))))
-    return c.select(*(F.col(n).alias(f) for n, f in zip(names, factors, strict=True)), F.col("n").cast("bigint").alias("n"), (mean + float(at)).alias("mean"), "sd", (F.col("sd") / F.sqrt("n")).alias("se"))
+    c = d.cube(*names).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("v")).alias("s0"), F.sum(F.col("w") * v).alias("s1"), F.sum(F.col("w") * v * v).alias("s2")).where("n > 0")
+    c = c.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), div(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.col("n") - 1))))
+    return c.select(*(F.col(n).alias(f) for n, f in zip(names, factors, strict=True)), F.col("n").cast("bigint").alias("n"), (F.col("s0") / F.col("n")).alias("mean"), "sd", (F.col("sd") / F.sqrt("n")).alias("se"))
 
 
 def anova_factorial(df: DataFrame, value: str, factors: list[str], weight: str | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from statloom.operators import cases as C
 from statloom.operators import descriptive as D
 from statloom.operators import inference as I
 from statloom.operators import means as M
+from statloom.operators import mixed as X
 from statloom.operators import multilevel as H
 from statloom.operators import multivariate as V
 from statloom.operators import regression as R
@@ -416,6 +417,23 @@ query(
 )(lambda t: H.icc(t("customer").withColumn("bal", F.col("c_acctbal") / 1000), "bal", "c_nationkey"))
 query("hlm_two_level")(lambda t: H.hlm(t("lineitem").withColumn("price", F.col("l_extendedprice") / 1000), "price", "l_suppkey", ["l_quantity"], ["l_discount"], cross=True))
 query("hlm_three_level")(lambda t: H.hlm(t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("bal", F.col("c_acctbal") / 1000), "bal", "c_nationkey", ["c_custkey"], outer="n_regionkey"))
+query("random_slopes")(lambda t: X.random_slopes(t("lineitem").withColumn("price", F.col("l_extendedprice") / 1000), "price", "l_suppkey", ["l_quantity"], ["l_quantity"], ["l_discount"]))
+query("cluster_effects")(lambda t: X.cluster_effects(t("lineitem").withColumn("price", F.col("l_extendedprice") / 1000), "price", "l_suppkey", ["l_quantity"], ["l_quantity"]))
+query("nested_effects")(lambda t: X.nested_effects(t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("bal", F.col("c_acctbal") / 1000), "bal", "c_nationkey", "n_regionkey"))
+query(
+    "nested_components",
+    _sql(
+        """WITH d AS (SELECT CAST(l_quantity AS DOUBLE) AS v, l_returnflag || l_linestatus || l_linenumber AS g2, l_returnflag AS g3 FROM lineitem), t AS (SELECT avg(v) AS m FROM d),
+        g AS (SELECT g3, g2, CAST(count(*) AS DOUBLE) AS n, avg(v) AS m, sum(power(v - (SELECT m FROM t), 2)) AS q FROM d GROUP BY 1, 2), w AS (SELECT g3, g2, sum(power(d.v - g.m, 2)) AS e FROM d JOIN g USING (g3, g2) GROUP BY 1, 2),
+        h AS (SELECT g3, count(*) AS k2, sum(n) AS n, sum(n * m) / sum(n) AS m, sum(n * n) AS nn FROM g GROUP BY 1), b AS (SELECT sum(g.n * power(g.m - h.m, 2)) AS ssb FROM g JOIN h USING (g3)),
+        a AS (SELECT count(*) AS k3, CAST(sum(k2) AS BIGINT) AS k2, sum(n) AS n, sum(n * power(m - (SELECT m FROM t), 2)) AS ssa, sum(nn) AS nn, sum(nn / n) AS na, sum(n * n) AS nk FROM h),
+        c AS (SELECT k3, k2, CAST(n AS BIGINT) AS n, ssa / (k3 - 1) AS ms_outer, ssb / (k2 - k3) AS ms_group, (SELECT sum(e) FROM w) / (n - k2) AS ms_error, (n - na) / (k2 - k3) AS c_group, (na - nn / n) / (k3 - 1) AS c_outer_group, (n - nk / n) / (k3 - 1) AS c_outer FROM a, b),
+        x AS (SELECT *, ms_error AS sigma2, greatest(0.0, (ms_group - ms_error) / c_group) AS tau2 FROM c), y AS (SELECT *, greatest(0.0, (ms_outer - ms_error - c_outer_group * tau2) / c_outer) AS tau3 FROM x)
+        SELECT *, (tau2 + tau3) / (sigma2 + tau2 + tau3) AS icc2, tau3 / (sigma2 + tau2 + tau3) AS icc3 FROM y""",
+        "ms_outer, ms_group, ms_error, c_group, c_outer_group, c_outer, sigma2, tau2, tau3, icc2, icc3",
+        "k3, k2, n",
+    ),
+)(lambda t: X.nested_components(t("lineitem").withColumn("g", F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"))), "l_quantity", "g", "l_returnflag"))
 
 # ---- survival, series, inference -----------------------------------------------------------
 
