@@ -109,14 +109,13 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     wins = forms[0].unionAll(forms[1]).withColumn("h", F.xxhash64("form", "words")).groupBy("item_id", "form", "h").agg(F.min_by(F.struct("bpos", "words", "raw"), "bpos").alias("x"))
     wins = materialize(wins.select("item_id", "form", "x.*"), "bench-windows")
     few = _counts(wins).where(F.col("n_words") < LEAST)
-    wins = wins.join(few, ["item_id", "form"], "left_anti")
-    rest = items.join(wins.select("item_id").distinct(), "item_id", "left_anti").select("item_id", raw_words(F.col("t"), PLAIN).alias("raw"))
-    left = items.join(wins.select("item_id").distinct(), "item_id", "left_anti")
-    whole = {EXACT: rest.withColumn("words", F.col("raw"))}
-    for form in (SHORT, SHORT_PLAIN):
-        words = left.select("item_id", raw_words(F.col("t"), form).alias("raw")).select("item_id", "raw", masked(F.col("raw"), form).alias("words"))
-        whole[form] = words.where(F.exists("words", _marked) & (F.size(F.filter("words", lambda w: ~_marked(w))) >= SHORT_LITERALS))
-    for form, words in whole.items():
+    wins = materialize(wins.join(few, ["item_id", "form"], "left_anti"), "bench-windows")
+    left = materialize(items.join(wins.select("item_id").distinct(), "item_id", "left_anti"), "short-items")
+    for form in () if left.isEmpty() else (EXACT, SHORT, SHORT_PLAIN):
+        raw = raw_words(F.col("t"), PLAIN if form == EXACT else form)
+        words = left.select("item_id", raw.alias("raw")).select("item_id", "raw", (F.col("raw") if form == EXACT else masked(F.col("raw"), form)).alias("words"))
+        if form != EXACT:
+            words = words.where(F.exists("words", _marked) & (F.size(F.filter("words", lambda w: ~_marked(w))) >= SHORT_LITERALS))
         for k in range(1, WINDOW + 1):
             wins = wins.unionAll(_cut(words.where(F.size("raw") == k if k < WINDOW else F.size("raw") >= k), F.lit(form + k), k))
     of = lambda k: _hash(F.col("form"), [F.get("words", F.lit(i)) for i in range(k)])
