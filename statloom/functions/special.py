@@ -267,9 +267,3 @@ def tukey_p(q, k, df) -> Column:
         return F.when((k >= 2) & (v > 0), F.greatest(F.lit(0.0), 1 - _over_scale(v, lambda s: _named({"w": q * s}, lambda w: inner(w, k)), 32)))
 
     return _named({"q": lit(q), "k": lit(k), "v": lit(df)}, body)
-
-
-def holm(p: Column, order_window) -> Column:
-    """Helper for step-down adjustment: p times the number of hypotheses still open."""
-    rank, m = F.row_number().over(order_window), F.count("*").over(order_window.rowsBetween(-(1 << 62), 1 << 62))
-    return F.least(F.lit(1.0), p * (m - rank + 1))

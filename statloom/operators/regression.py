@@ -467,3 +467,22 @@ def simple_slopes(df: DataFrame, x: str, w: str, y: str, covariates: list[str] =
     out = [{"at": k, "w": z, "slope": fit["b"][1] + fit["b"][3] * z, "se": np.sqrt(max(0.0, v[1, 1] + z * z * v[3, 3] + 2 * z * v[1, 3])), "df": dof} for k, z in at]
     t = rows(df.sparkSession, out).withColumn("t", div(F.col("slope"), F.col("se")))
     return t.withColumn("p", t_p(F.col("t"), F.col("df")))
+
+
+def points(df: DataFrame, columns: list[str], key: list[str], size: int = 500, seed: int = 1) -> DataFrame:
+    """(*columns) of at most ``size`` cases, for scatter plots: those with the smallest hash of ``seed`` and ``key``, in
+    that order. Each task keeps its smallest, so the table isn't sorted, and the cases are the same
+    however it is divided. Cases that miss a column are left out; ``key`` columns (whole numbers or
+    text, null as empty) should tell cases apart, else ties fall by value."""
+    fields = {f"c{i}": c for i, c in enumerate(columns)}
+    own = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in key))
+    d = df.select(*(number(df, c).alias(k) for k, c in fields.items()), F.md5(own).alias("h")).dropna(subset=list(fields))
+    return d.orderBy("h", *fields).limit(size).select(*(F.col(k).alias(c) for k, c in fields.items()))
+
+
+def residual_points(df: DataFrame, value: str, predictors: list[str], key: list[str], size: int = 500, seed: int = 1) -> DataFrame:
+    """(fitted, residual) of the linear model over all cases, for the cases that ``points`` takes."""
+    b = {r["term"]: r["b"] for r in linear(df, value, predictors).collect()}
+    d = points(df, [value, *predictors], key, size, seed).toDF("y", *(f"x{i}" for i in range(len(predictors))))
+    fitted = reduce(lambda a, c: a + c, (F.col(f"x{i}") * float(b[p]) for i, p in enumerate(predictors)), F.lit(float(next(v for t, v in b.items() if t not in predictors))))
+    return d.select(fitted.alias("fitted"), (F.col("y") - fitted).alias("residual"))

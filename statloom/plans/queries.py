@@ -417,6 +417,13 @@ query(
 )(lambda t: H.icc(t("customer").withColumn("bal", F.col("c_acctbal") / 1000), "bal", "c_nationkey"))
 query("hlm_two_level")(lambda t: H.hlm(t("lineitem").withColumn("price", F.col("l_extendedprice") / 1000), "price", "l_suppkey", ["l_quantity"], ["l_discount"], cross=True))
 query("hlm_three_level")(lambda t: H.hlm(t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("bal", F.col("c_acctbal") / 1000), "bal", "c_nationkey", ["c_custkey"], outer="n_regionkey"))
+_POINTS = "SELECT l_quantity, l_extendedprice, md5('1:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey) AS h FROM lineitem ORDER BY h, l_quantity, l_extendedprice LIMIT 500"
+_POINT_KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
+query("scatter_points", _sql(_POINTS, "l_quantity, l_extendedprice"))(lambda t: R.points(t("lineitem"), ["l_quantity", "l_extendedprice"], _POINT_KEY))
+query(
+    "residual_points",
+    _sql(f"WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem) SELECT a + b * l_quantity AS fitted, l_extendedprice - a - b * l_quantity AS residual FROM ({_POINTS}), m", "fitted, residual"),
+)(lambda t: R.residual_points(t("lineitem"), "l_extendedprice", ["l_quantity"], _POINT_KEY))
 query("random_slopes")(lambda t: X.random_slopes(t("lineitem").withColumn("price", F.col("l_extendedprice") / 1000), "price", "l_suppkey", ["l_quantity"], ["l_quantity"], ["l_discount"]))
 query("cluster_effects")(lambda t: X.cluster_effects(t("lineitem").withColumn("price", F.col("l_extendedprice") / 1000), "price", "l_suppkey", ["l_quantity"], ["l_quantity"]))
 query("nested_effects")(lambda t: X.nested_effects(t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("bal", F.col("c_acctbal") / 1000), "bal", "c_nationkey", "n_regionkey"))
