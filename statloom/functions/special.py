@@ -230,6 +230,11 @@ def nct_sf(t, df, delta) -> Column:
     return _named({"t": lit(t), "v": lit(df), "d": lit(delta)}, lambda t, v, d: _over_scale(v, lambda s: 1 - norm_cdf(t * s - d), 240))
 
 
+def nct_density(t, df, delta) -> Column:
+    """Density of the non-central t."""
+    return _named({"t": lit(t), "v": lit(df), "d": lit(delta)}, lambda t, v, d: _over_scale(v, lambda s: s * F.exp(-(t * s - d) * (t * s - d) / 2) / math.sqrt(2 * math.pi), 240))
+
+
 def _poisson_mixture(lam: Column, cdf) -> Column:
     """Sum over j of the Poisson(lam / 2) weights times ``cdf(j)``; covers 12 deviations."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.special import chi2_p, div, norm_inv, t_inv, t_p, z_p
+from statloom.plans.shared import cut
 from statloom.plans.stats import gram, number, numbers, parsed, ranks, rows, running, weighed
 
 
@@ -294,7 +295,41 @@ def roc(df: DataFrame, score: str, truth: str, positive: str) -> DataFrame:
 
 
 def compare_auc(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(diff, z, p) of two summaries of ``roc``: areas taken as independent."""
+    """(diff, z, p) of two summaries of ``roc``: areas taken as independent. Scores of the same cases: ``compare_auc_paired``."""
     j = a.select(F.col("auc").alias("x"), F.col("se").alias("sx")).crossJoin(b.select(F.col("auc").alias("y"), F.col("se").alias("sy")))  # two single rows
     j = j.withColumn("z", div(F.col("x") - F.col("y"), F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy"))))
     return j.select((F.col("x") - F.col("y")).alias("diff"), "z", z_p(F.col("z")).alias("p"))
+
+
+def compare_auc_paired(df: DataFrame, a: str, b: str, truth: str, positive: str) -> DataFrame:
+    """(n_pos, n_neg, auc_a, auc_b, se_a, se_b, cov, diff, se, z, p) of two scores of the same cases (DeLong).
+
+    A positive's placement is the share of negatives below it, a negative's the share of
+    positives above it, ties half. Placements follow from running counts of each score's
+    distinct values; cases are counted by their pair of scores before they are joined to them.
+    Cases without a score or truth are left out; with fewer than two cases of a kind errors
+    and p are null, as they are where the scores put all cases in the same order.
+    """
+    d = df.select(number(df, a).alias("a"), number(df, b).alias("b"), (F.col(f"`{truth}`").cast("string") == positive).cast("bigint").alias("y")).dropna()
+    c = cut(d.groupBy("a", "b").agg(F.sum("y").alias("p"), (F.count("*") - F.sum("y")).alias("q")), "pairs")
+    total = c.agg(F.sum("p").cast("double").alias("all_p"), F.sum("q").cast("double").alias("all_q"))
+
+    def placed(v: str) -> DataFrame:
+        own = c.groupBy(v).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+        r = running(own, v, ["p", "q"]).crossJoin(F.broadcast(total))  # one row
+        return r.select(v, div(F.col("cum_q") - F.col("q") / 2, F.col("all_q")).alias(f"below_{v}"), div(F.col("all_p") - F.col("cum_p") + F.col("p") / 2, F.col("all_p")).alias(f"above_{v}"))
+
+    j = c.join(placed("a"), "a").join(placed("b"), "b")
+    sums = [F.sum("p").cast("double").alias("all_p"), F.sum("q").cast("double").alias("all_q")]
+    for side, n in (("below", "p"), ("above", "q")):
+        x, y = F.col(f"{side}_a"), F.col(f"{side}_b")
+        for name, value in {"a": x, "b": y, "aa": x * x, "bb": y * y, "ab": x * y}.items():
+            sums.append(F.sum(F.col(n) * value).alias(f"{side}_{name}_sum"))
+    s = j.agg(*sums)
+    part = lambda side, n, u, v: div(div(F.col(f"{side}_{u}{v}_sum") - F.col(f"{side}_{u}_sum") * F.col(f"{side}_{v}_sum") / F.col(n), F.col(n) - 1), F.col(n))
+    both = lambda u, v: part("below", "all_p", u, v) + part("above", "all_q", u, v)
+    s = s.withColumns({"auc_a": div(F.col("below_a_sum"), F.col("all_p")), "auc_b": div(F.col("below_b_sum"), F.col("all_p")), "va": both("a", "a"), "vb": both("b", "b"), "cov": both("a", "b")})
+    left = F.col("va") + F.col("vb") - 2 * F.col("cov")
+    s = s.withColumns({"diff": F.col("auc_a") - F.col("auc_b"), "se": F.when(left > 1e-14 * (F.col("va") + F.col("vb")), F.sqrt(left))}).withColumn("z", div(F.col("diff"), F.col("se")))
+    root = lambda v: F.sqrt(F.greatest(F.lit(0.0), F.col(v)))
+    return s.select(F.col("all_p").cast("bigint").alias("n_pos"), F.col("all_q").cast("bigint").alias("n_neg"), "auc_a", "auc_b", root("va").alias("se_a"), root("vb").alias("se_b"), "cov", "diff", "se", "z", z_p(F.col("z")).alias("p"))

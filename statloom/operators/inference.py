@@ -12,7 +12,7 @@ from statloom.functions import special as S
 from statloom.functions.special import chi2_p, div, lit, z_p
 from statloom.operators.regression import solve
 from statloom.plans.shared import cut
-from statloom.plans.stats import gram_columns, gram_of, number, numbers, running
+from statloom.plans.stats import gram_columns, gram_of, number, numbers, rows, running
 
 
 def meta_analysis(df: DataFrame, effect: str, variance: str, model: str = "random") -> DataFrame:
@@ -72,7 +72,7 @@ def bayes_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     s = numbers(df, {"a": x, "b": y}).agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
     n, r = F.col("n").cast("double"), F.col("r")
     f = lambda rho: F.when(F.abs(rho) >= 1, 0.0).otherwise(F.exp((n - 1) / 2 * F.log(1 - rho * rho) - (n - 1.5) * F.log(1 - r * rho)) / 2)
-    half = F.least(F.lit(1.0), 12 / F.sqrt(n))  # the likelihood is negligible further from r
+    half = F.least(F.lit(2.0), 12 / F.sqrt(n))  # the likelihood is negligible further from r
     bf = S.simpson(f, F.greatest(F.lit(-1.0), r - half), F.least(F.lit(1.0), r + half), 1000)
     t = r * F.sqrt(div(n - 2, 1 - r * r))
     s = s.withColumns({"bf10": bf, "p": S.t_p(t, n - 2)})
@@ -90,6 +90,53 @@ def bayes_normal(df: DataFrame, value: str, mu0: float = 0.0, kappa0: float = 0.
     return s.select("n", "post_mean", "post_sd", (F.col("post_mean") - z * F.col("post_sd")).alias("lo95"), (F.col("post_mean") + z * F.col("post_sd")).alias("hi95"), "kappa_n", "alpha_n", "beta_n")
 
 
+#: Steps of the grids on which posterior densities are given (even, for Simpson's rule).
+GRID = 400
+
+
+def _on_grid(s: DataFrame, centre: Column, width: Column) -> DataFrame:
+    """``s`` (one row) with ``x`` at GRID + 1 even places within ``width`` of ``centre``, its place ``i`` and Simpson's weight."""
+    g = s.withColumns({"centre": centre, "width": width}).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(GRID))))
+    weight = F.when(F.col("i").isin(0, GRID), 1.0).when(F.col("i") % 2 == 1, 4.0).otherwise(2.0) * 2 * F.col("width") / (3 * GRID)
+    return g.withColumns({"x": F.col("centre") + F.col("width") * (2 * F.col("i") / GRID - 1), "weight": weight})
+
+
+def _t_density(x: Column, centre: Column, scale: Column, v: Column) -> Column:
+    u = (x - centre) / scale
+    return F.exp(S.lgamma((v + 1) / 2) - S.lgamma(v / 2) - 0.5 * F.log(v * math.pi) - F.log(scale) - (v + 1) / 2 * F.log1p(u * u / v))
+
+
+def posterior_normal(df: DataFrame, value: str, mu0: float = 0.0, kappa0: float = 0.01, alpha0: float = 0.01, beta0: float = 0.01, width: float = 5.0) -> DataFrame:
+    """(i, x, prior, posterior): both marginal densities of the mean of ``bayes_normal``, Student's t, on
+    GRID + 1 places within ``width`` posterior deviations of the posterior mean."""
+    s = bayes_normal(df, value, mu0, kappa0, alpha0, beta0)
+    g = _on_grid(s, F.col("post_mean"), width * F.col("post_sd"))
+    prior = _t_density(F.col("x"), F.lit(float(mu0)), F.lit(math.sqrt(beta0 / (alpha0 * kappa0))), F.lit(2.0 * alpha0))
+    return g.select("i", "x", prior.alias("prior"), _t_density(F.col("x"), F.col("post_mean"), F.col("post_sd"), 2 * F.col("alpha_n")).alias("posterior"))
+
+
+def posterior_effect(df: DataFrame, value: str, group: str, scale: float = 0.707, mass: float = 0.95) -> DataFrame:
+    """(i, delta, prior, posterior, inside): density of the standardised effect of ``bayes_ttest`` under its Cauchy prior.
+
+    The likelihood is the non-central t's density; in delta it falls off like a normal one, and
+    the grid of GRID + 1 places covers ten of its deviations, cut wider where the effect is small.
+    ``posterior`` integrates to 1 by Simpson's rule. ``inside``: the place belongs to the interval
+    of highest density that holds ``mass``. At delta = 0 posterior / prior is bf01.
+    """
+    s = bayes_ttest(df, value, group, scale).select("t", F.col("df").cast("double").alias("v"), (F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))).alias("ne"))
+    spread = F.sqrt((1 + F.col("t") * F.col("t") / F.col("v")) / F.col("ne"))
+    g = _on_grid(s.where(F.col("v") > 0), F.col("t") / F.sqrt("ne"), 10 * spread)
+    shift = F.col("x") * F.sqrt("ne")
+    like = S.nct_density(F.col("t"), F.col("v"), shift)
+    g = g.withColumn("prior", 1 / (math.pi * scale * (1 + F.col("x") * F.col("x") / (scale * scale)))).withColumn("raw", like * F.col("prior"))
+    whole = Window.partitionBy(F.lit(0))  # GRID + 1 rows
+    g = g.withColumn("posterior", F.col("raw") / F.sum(F.col("raw") * F.col("weight")).over(whole))
+    # cells of one width, highest first: those before the mass is reached are inside
+    cell = F.col("posterior") * 2 * F.col("width") / GRID
+    denser = F.coalesce(F.sum(cell).over(whole.orderBy(F.col("posterior").desc(), "i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return g.select("i", F.col("x").alias("delta"), "prior", "posterior", (denser < mass).alias("inside"))
+
+
 #: Tests of ``power`` and what ``k`` means for them.
 POWER_TESTS = ("t_two", "t_one", "t_paired", "anova", "correlation", "chi2", "regression")
 
@@ -167,6 +214,11 @@ def power_curve(spark: SparkSession, test: str, effect: float, alpha: float = 0.
     return solve_power(d, "power", test, tails, k).select("n", "power")
 
 
+def power_curves(df: DataFrame, test: str, tails: int = 2, k: int = 2, most: int = 200, step: int = 5) -> DataFrame:
+    """``df`` (columns effect and alpha, others kept) with (n, power) for n = 5, 10, ... ``most`` in each row."""
+    return solve_power(df.withColumn("n", F.explode(F.sequence(F.lit(5), F.lit(most), F.lit(step)))), "power", test, tails, k)
+
+
 def sensitivity_curve(spark: SparkSession, test: str, goal: float = 0.8, alpha: float = 0.05, tails: int = 2, k: int = 2, most: int = 200, step: int = 5) -> DataFrame:
     """(n, effect): the least effect that n = 5, 10, ... cases find with power ``goal``."""
     d = spark.range(5, most + 1, step).select(F.col("id").alias("n"), F.lit(alpha).alias("alpha"), F.lit(goal).alias("power"))
@@ -181,7 +233,33 @@ def mice(df: DataFrame, columns: list[str], case_id: str, sets: int = 5, method:
     takes the observed value of one of the five cases around in predicted order. Randomness
     comes from hashes of written row numbers, so a lost task repeats its values.
     """
+    d, names, _ = _chained(df, columns, case_id, sets, method, cycles, seed)
+    each = F.explode(F.array(*(F.struct(F.lit(m + 1).alias("m"), *(F.col(f"{v}_{m}").alias(v) for v in names)) for m in range(sets))))
+    return d.select(F.col("case").alias(case_id), each.alias("x")).select(case_id, "x.m", *(F.col(f"x.{v}").alias(c) for c, v in zip(columns, names, strict=True)))
+
+
+def mice_convergence(df: DataFrame, columns: list[str], case_id: str, sets: int = 5, method: str = "pmm", cycles: int = 5, seed: int = 7) -> DataFrame:
+    """(variable, m, cycle, mean, sd, rhat): the imputed values of each set after each cycle of ``mice``.
+
+    ``rhat`` is Gelman and Rubin's factor of a variable's chains of means, the same in all its
+    rows; null with fewer than two sets or cycles, or where no chain moves. Variables without a
+    missing value have no rows. One pass a cycle over the written columns of imputed values.
+    """
+    _, names, trace = _chained(df, columns, case_id, sets, method, cycles, seed, traced=True)
+    out = []
+    for v in dict.fromkeys(v for _, v, _, _, _ in trace):
+        means = np.array([[mean for c, w, m, mean, _ in trace if w == v and m == s] for s in range(sets)])
+        within = means.var(axis=1, ddof=1).mean() if cycles > 1 else 0.0
+        rhat = math.sqrt((cycles - 1) / cycles + means.mean(axis=1).var(ddof=1) / within) if within > 0 and sets > 1 else None
+        out += [{"variable": columns[names.index(v)], "m": m + 1, "cycle": c + 1, "mean": mean, "sd": sd, "rhat": rhat} for c, w, m, mean, sd in trace if w == v]
+    return rows(df.sparkSession, out) if out else df.sparkSession.createDataFrame([], "variable string, m bigint, cycle bigint, mean double, sd double, rhat double")
+
+
+def _chained(df: DataFrame, columns: list[str], case_id: str, sets: int, method: str, cycles: int, seed: int, traced: bool = False) -> tuple[DataFrame, list[str], list[tuple]]:
+    """A row a case with <v>_<m>, variable v completed in set m; the names v; and, if ``traced``,
+    (cycle, v, m, mean, sd) of imputed values."""
     k, names = len(columns), [f"v{i}" for i in range(len(columns))]
+    trace: list[tuple] = []
     d = df.select(F.col(f"`{case_id}`").alias("case"), F.monotonically_increasing_id().alias("id"), *(number(df, c).alias(v) for c, v in zip(columns, names, strict=True)))
     means = d.agg(*(F.avg(v).alias(v) for v in names), *(F.sum(F.col(v).isNull().cast("bigint")).alias(f"k{v}") for v in names)).first()
     todo = [v for v in names if means[f"k{v}"]]
@@ -214,8 +292,11 @@ def mice(df: DataFrame, columns: list[str], case_id: str, sets: int = 5, method:
                 got = _donated(base, v, {m: F.floor(5 * u(seed * 1_000_003 + c * 1009 + m * 31 + names.index(v))) - 2 for m in new})
                 d = base.join(got, "id", "left").withColumns({f"{v}_{m}": F.coalesce(F.col(v), F.col(f"got_{m}")) for m in new}).drop(*(f"{x}_{m}" for m in new for x in ("got", "p")))
             d = cut(d, "mice")
-    each = F.explode(F.array(*(F.struct(F.lit(m + 1).alias("m"), *(F.col(f"{v}_{m}").alias(v) for v in names)) for m in range(sets))))
-    return d.select(F.col("case").alias(case_id), each.alias("x")).select(case_id, "x.m", *(F.col(f"x.{v}").alias(c) for c, v in zip(columns, names, strict=True)))
+        if traced and todo:
+            made = {(v, m): F.when(F.col(v).isNull(), F.col(f"{v}_{m}")) for v in todo for m in range(sets)}
+            seen = d.agg(*(f(x).alias(f"{n}_{v}_{m}") for (v, m), x in made.items() for n, f in (("mean", F.avg), ("sd", F.stddev_samp)))).first()
+            trace += [(c, v, m, seen[f"mean_{v}_{m}"], seen[f"sd_{v}_{m}"]) for v, m in made]
+    return d, names, trace
 
 
 def _donated(d: DataFrame, v: str, offsets: dict[int, Column]) -> DataFrame:
@@ -237,10 +318,10 @@ def _donated(d: DataFrame, v: str, offsets: dict[int, Column]) -> DataFrame:
 
 
 def pool(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(variable, sets, mean, within, between, se) of completed sets in column m, by Rubin's rules for means."""
+    """(variable, sets, mean, within, between, se, fmi) of completed sets in column m, by Rubin's rules for means."""
     names = [f"v{i}" for i in range(len(columns))]
     d = df.select("m", *(number(df, c).alias(v) for c, v in zip(columns, names, strict=True)))
     by = d.groupBy("m").agg(*(F.avg(v).alias(f"a_{v}") for v in names), *((F.var_samp(v) / F.count(v)).alias(f"u_{v}") for v in names))
     s = by.agg(F.count("*").alias("sets"), *(F.avg(f"a_{v}").alias(f"m_{v}") for v in names), *(F.avg(f"u_{v}").alias(f"w_{v}") for v in names), *(F.coalesce(F.var_samp(f"a_{v}"), F.lit(0.0)).alias(f"b_{v}") for v in names))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"m_{v}").alias("mean"), F.col(f"w_{v}").alias("within"), F.col(f"b_{v}").alias("between")) for c, v in zip(columns, names, strict=True))))
-    return s.select("sets", each.alias("x")).select("x.variable", "sets", "x.mean", "x.within", "x.between", F.sqrt(F.col("x.within") + (1 + 1 / F.col("sets")) * F.col("x.between")).alias("se"))
+    return s.select("sets", each.alias("x")).select("x.variable", "sets", "x.mean", "x.within", "x.between", F.sqrt(F.col("x.within") + (1 + 1 / F.col("sets")) * F.col("x.between")).alias("se"), div((1 + 1 / F.col("sets")) * F.col("x.between"), F.col("x.within") + (1 + 1 / F.col("sets")) * F.col("x.between")).alias("fmi"))

@@ -6,6 +6,7 @@ Everything but clustering needs only covariances from one pass; eigenproblems ar
 from __future__ import annotations
 
 from functools import reduce
+from math import lgamma
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -83,17 +84,52 @@ def _one_factor(r: np.ndarray) -> np.ndarray:
     return np.clip(load, -0.999, 0.999)
 
 
+def _ncchi2_cdf(x: float, v: float, lam: float) -> float:
+    """Lower tail of the non-central chi-squared: Poisson weights times central tails, over 12 deviations of either."""
+    y, m, a = x / 2, lam / 2, v / 2
+    if y <= 0:
+        return 0.0
+
+    def terms(rate: float, first: float, last: float, shift: float) -> np.ndarray:
+        """rate^(i + shift) e^-rate / Gamma(i + shift + 1) for i = first .. last."""
+        i = np.arange(first, last + 1) + shift
+        top = int(np.clip(np.searchsorted(i, rate), 0, len(i) - 1))
+        step = np.log(rate) - np.log(np.maximum(i, 1e-300))
+        log = np.concatenate([-np.cumsum(step[top:0:-1])[::-1], [0.0], np.cumsum(step[top + 1 :])])
+        return np.exp(log + i[top] * np.log(rate) - rate - lgamma(i[top] + 1))
+
+    reach = lambda r: 12 * np.sqrt(r) + 40
+    low, high = (max(0.0, np.floor(m - reach(m))), np.ceil(m + reach(m))) if m > 0 else (0.0, 0.0)
+    end = max(high, np.ceil(y - a + reach(y)))
+    tails = np.cumsum(terms(y, low, end, a)[::-1])[::-1][: int(high - low) + 1]  # P(a + j, y)
+    weights = terms(m, low, high, 0.0) if m > 0 else np.ones(1)
+    return float(min(1.0, (weights / weights.sum() * np.minimum(1.0, tails)).sum()))
+
+
+def noncentrality(x: float, v: float, lower_tail: float) -> float:
+    """Non-centrality at which the non-central chi-squared is below ``x`` with this probability; 0 if none is."""
+    low, high = 0.0, x + 12 * np.sqrt(x + 1) + 60
+    if _ncchi2_cdf(x, v, 0.0) <= lower_tail:
+        return 0.0
+    while high - low > 1e-10 * max(1.0, high):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _ncchi2_cdf(x, v, mid) > lower_tail else (low, mid)
+    return (low + high) / 2
+
+
 def _fit_indices(r: np.ndarray, implied: np.ndarray, n: int, chi: float, dof: int, null: float) -> dict:
     k = len(r)
     dof0 = k * (k - 1) // 2
     low = np.tril_indices(k)
     d, d0 = max(0.0, chi - dof), max(0.0, null - dof0, chi - dof)
     tli = ((null / dof0) - (chi / dof)) / ((null / dof0) - 1) if dof > 0 and null > dof0 else None
-    return {"n": n, "chi2": chi, "df": dof, "cfi": 1 - d / d0 if d0 > 0 else 1.0, "tli": tli, "rmsea": np.sqrt(d / (dof * (n - 1))) if dof > 0 else None, "srmr": float(np.sqrt(np.mean((r - implied)[low] ** 2)))}
+    # 90 % interval: the non-centralities at which chi-squared would be the 95th and the 5th percentile
+    lo, hi = (np.sqrt(noncentrality(chi, dof, p) / (dof * (n - 1))) if dof > 0 else None for p in (0.95, 0.05))
+    return {"n": n, "chi2": chi, "df": dof, "cfi": 1 - d / d0 if d0 > 0 else 1.0, "tli": tli, "rmsea": np.sqrt(d / (dof * (n - 1))) if dof > 0 else None, "rmsea_lo": lo, "rmsea_hi": hi, "srmr": float(np.sqrt(np.mean((r - implied)[low] ** 2)))}
 
 
 def cfa(df: DataFrame, factors: dict[str, list[str]]) -> DataFrame:
-    """(factor, item, loading, n, chi2, df, cfi, tli, rmsea, srmr, p): approximate confirmatory analysis.
+    """(factor, item, loading, n, chi2, df, cfi, tli, rmsea, rmsea_lo, rmsea_hi, srmr, p): approximate confirmatory analysis.
 
     Loadings are those of each factor's first component; factors are orthogonal; chi-squared is
     (n - 1) times the summed squared residual correlations.
@@ -117,7 +153,7 @@ def cfa(df: DataFrame, factors: dict[str, list[str]]) -> DataFrame:
 
 
 def sem(df: DataFrame, latents: dict[str, list[str]], paths: list[tuple[str, str]]) -> DataFrame:
-    """(kind, lhs, rhs, estimate, se, z, n, chi2, df, cfi, tli, rmsea, srmr, p): approximate structural model.
+    """(kind, lhs, rhs, estimate, se, z, n, chi2, df, cfi, tli, rmsea, rmsea_lo, rmsea_hi, srmr, p): approximate structural model.
 
     Loadings are first components, latent scores are loading-weighted sums; a path's
     coefficient is the correlation of two scores, found from the item correlations without

@@ -329,6 +329,17 @@ def _scored(t) -> DataFrame:
     return t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id")
 
 
+_PAIRED = """WITH d AS (SELECT n_chars AS a, length(text) - length(replace(text, ' ', '')) AS b, quality AS y FROM labels JOIN documents USING (doc_id)),
+n AS (SELECT CAST(sum(y) AS DOUBLE) AS P, CAST(count(*)-sum(y) AS DOUBLE) AS Q FROM d),
+v AS (SELECT y, CASE WHEN y = 1 THEN (sum(1-y) OVER wa - (sum(1-y) OVER ta)/2.0)/Q ELSE (P - sum(y) OVER wa + (sum(y) OVER ta)/2.0)/P END AS a,
+CASE WHEN y = 1 THEN (sum(1-y) OVER wb - (sum(1-y) OVER tb)/2.0)/Q ELSE (P - sum(y) OVER wb + (sum(y) OVER tb)/2.0)/P END AS b FROM d, n
+WINDOW wa AS (ORDER BY a RANGE UNBOUNDED PRECEDING), ta AS (PARTITION BY a), wb AS (ORDER BY b RANGE UNBOUNDED PRECEDING), tb AS (PARTITION BY b)),
+g AS (SELECT y, count(*) AS k, avg(a) AS ma, avg(b) AS mb, var_samp(a)/count(*) AS va, var_samp(b)/count(*) AS vb, covar_samp(a, b)/count(*) AS c FROM v GROUP BY y),
+s AS (SELECT CAST(max(k) FILTER (y = 1) AS BIGINT) AS n_pos, CAST(max(k) FILTER (y = 0) AS BIGINT) AS n_neg, max(ma) FILTER (y = 1) AS auc_a, max(mb) FILTER (y = 1) AS auc_b, sqrt(sum(va)) AS se_a, sqrt(sum(vb)) AS se_b, sum(c) AS cov FROM g),
+u AS (SELECT *, auc_a-auc_b AS diff, sqrt(se_a*se_a+se_b*se_b-2*cov) AS se FROM s)"""
+query("compare_auc_paired", _sql(f"{_PAIRED} SELECT *, diff/se AS z, {Q.z_p('(diff/se)')} AS p FROM u", "auc_a, auc_b, se_a, se_b, cov, diff, se, z, p", "n_pos, n_neg"))(
+    lambda t: A.compare_auc_paired(t("labels").join(t("documents").select("doc_id", "n_chars", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("blanks")), "doc_id"), "n_chars", "blanks", "quality", "1")
+)
 query("roc_curve", _sql(_ROC + "SELECT * FROM k", "threshold, tpr, fpr, ppv, npv, f1, youden", "tp, fp, tn, fn"))(lambda t: A.roc_curve(_scored(t), "n_chars", "quality", "1"))
 query(
     "roc",
@@ -502,11 +513,50 @@ q AS (SELECT sum(power(y-fixed, 2)/v) AS q FROM d, s), t AS (SELECT k, fixed, q,
 query("meta_analysis", _sql(_META + f"SELECT k, pooled, se, pooled-1.96*se AS ci_lo, pooled+1.96*se AS ci_hi, pooled/se AS z, {Q.z_p('(pooled/se)')} AS p, q, df, {Q.chi2_p('q', 'df')} AS q_p, greatest(0.0, 100*(q-df)/q) AS i2, tau2, fixed FROM t, r", "pooled, se, ci_lo, ci_hi, z, p, q, q_p, i2, tau2, fixed", "k, df"))(lambda t: I.meta_analysis(_studies(t), "y", "v"))
 query("forest", _sql(_META + "SELECT study, y, sqrt(v) AS se, y-1.96*sqrt(v) AS ci_lo, y+1.96*sqrt(v) AS ci_hi, 100/(v+tau2)/(SELECT sum(1/(v+tau2)) FROM d, t) AS weight_pct FROM d, t", "y, se, ci_lo, ci_hi, weight_pct", "study"))(lambda t: I.forest(_studies(t), "study", "y", "v"))
 query("bayes_ttest")(lambda t: I.bayes_ttest(t("customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")), "c_acctbal", "c_mktsegment"))
+query(
+    "posterior_normal",
+    _sql(
+        """WITH s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(l_quantity) AS m, var_pop(l_quantity)*count(*) AS ss FROM lineitem),
+        p AS (SELECT n*m/(0.01+n) AS mu, 0.01+n AS kn, 0.01+n/2 AS an, 0.01+ss/2+0.01*n*m*m/(2*(0.01+n)) AS bn FROM s), q AS (SELECT mu, sqrt(bn/(an*kn)) AS sd, 2*an AS v FROM p),
+        x AS (SELECT i, mu, sd, v, mu+5*sd*(2*i/400.0-1) AS x FROM q, (SELECT unnest(range(0, 401)) AS i))
+        SELECT CAST(i AS INTEGER) AS i, x, exp(lgamma(0.51)-lgamma(0.01)-0.5*ln(0.02*pi())-ln(10.0)-0.51*ln(1+x*x/(100*0.02))) AS prior, exp(lgamma((v+1)/2)-lgamma(v/2)-0.5*ln(v*pi())-ln(sd)-(v+1)/2*ln(1+power((x-mu)/sd, 2)/v)) AS posterior FROM x""",
+        "x, prior, posterior",
+        "i",
+    ),
+)(lambda t: I.posterior_normal(t("lineitem"), "l_quantity"))
+query("posterior_effect")(lambda t: I.posterior_effect(t("lineitem"), "l_quantity", "l_linestatus"))
 query("bayes_correlation")(lambda t: I.bayes_correlation(t("supplier"), "s_suppkey", "s_acctbal"))
 query("bayes_normal", _sql("WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS m, var_pop(l_quantity)*count(*) AS ss FROM lineitem), p AS (SELECT n, 0.01+n AS kappa_n, 0.01+n/2.0 AS alpha_n, n*m/(0.01+n) AS post_mean, 0.01+ss/2+0.01*n*m*m/(2*(0.01+n)) AS beta_n FROM s), d AS (SELECT *, sqrt(beta_n/(alpha_n*kappa_n)) AS post_sd FROM p) SELECT *, post_mean-1.959963984540054*post_sd AS lo95, post_mean+1.959963984540054*post_sd AS hi95 FROM d", "post_mean, post_sd, lo95, hi95, kappa_n, alpha_n, beta_n", "n"))(lambda t: I.bayes_normal(t("lineitem"), "l_quantity"))
-query("power_solve")(lambda t: I.solve_power(t("region").select(F.col("r_regionkey").cast("bigint").alias("id"), ((F.col("r_regionkey") + 2) / 10.0).alias("effect"), F.lit(0.05).alias("alpha"), F.lit(0.8).alias("power")), "n", "t_two"))
-query("power_curve")(lambda t: I.power_curve(t("region").sparkSession, "anova", 0.25, k=3, most=100))
-query("sensitivity_curve")(lambda t: I.sensitivity_curve(t("region").sparkSession, "correlation"))
+def _effects(t) -> DataFrame:
+    """Distance of each segment's mean balance from that of all, in deviations."""
+    c = t("customer").select("c_mktsegment", "c_acctbal")
+    whole = c.agg(F.avg("c_acctbal").alias("m"), F.stddev_samp("c_acctbal").alias("sd"))
+    by = c.groupBy("c_mktsegment").agg(F.count("*").alias("cases"), F.avg("c_acctbal").alias("own")).crossJoin(F.broadcast(whole))  # one row
+    return by.select("c_mktsegment", "cases", (F.abs(F.col("own") - F.col("m")) / F.col("sd")).alias("effect"), F.lit(0.05).alias("alpha"))
+
+
+def _tie(t) -> DataFrame:
+    """Correlation of discount and quantity at each line number."""
+    return t("lineitem").groupBy("l_linenumber").agg(F.count("*").alias("cases"), F.abs(F.corr("l_quantity", "l_discount")).alias("effect")).withColumn("alpha", F.lit(0.05))
+
+
+_TIE = "(SELECT l_linenumber, count(*) AS cases, abs(corr(l_quantity, l_discount)) AS effect FROM lineitem GROUP BY 1)"
+_Z = Q.norm_inv("CAST(0.975 AS DOUBLE)")
+query("power_solve")(lambda t: I.solve_power(_effects(t).withColumn("power", F.lit(0.8)), "n", "t_two").select("c_mktsegment", "effect", "n"))
+query("power_curve")(lambda t: I.power_curves(_effects(t), "t_two", most=100).select("c_mktsegment", "effect", "n", "power"))
+query(
+    "power_curve_correlation",
+    _sql(f"SELECT l_linenumber, effect, n, greatest(0.0001, least(0.9999, {Q.norm_cdf(f'(atanh(effect)*sqrt(n-3) - {_Z})')})) AS power FROM {_TIE}, (SELECT unnest(range(5, 201, 5)) AS n)", "effect, power", "l_linenumber, n"),
+)(lambda t: I.power_curves(_tie(t), "correlation").select("l_linenumber", F.col("n").cast("bigint").alias("n"), "effect", "power"))
+query(
+    "sensitivity_curve",
+    _sql(f"SELECT l_linenumber, n, tanh((({_Z}) + ({Q.norm_inv('CAST(0.8 AS DOUBLE)')}))/sqrt(n-3)) AS least_effect, effect AS found FROM (SELECT l_linenumber, effect, CAST(cases * i // 10 AS BIGINT) AS n FROM {_TIE}, (SELECT unnest(range(1, 11)) AS i)) WHERE n > 9", "least_effect, found", "l_linenumber, n"),
+)(
+    lambda t: I.solve_power(_tie(t).select("l_linenumber", F.col("effect").alias("found"), "alpha", F.lit(0.8).alias("power"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.floor(F.col("cases") * i / 10))).alias("n")).where("n > 9"), "effect", "correlation").select(
+        "l_linenumber", "n", F.col("effect").alias("least_effect"), "found"
+    )
+)
+query("mice_convergence")(lambda t: I.mice_convergence(_holes(t("lineitem")).withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber")), ["qty", "disc", "tax"], "id", sets=3, cycles=4))
 query("mice_pooled")(lambda t: I.pool(I.mice(_holes(t("lineitem")).withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber")), ["qty", "disc", "tax"], "id", sets=5, cycles=5), ["qty", "disc", "tax"]))
 
 # ---- rows and columns ----------------------------------------------------------------------
@@ -552,6 +602,22 @@ def _csv_back(t) -> DataFrame:
     return S.read_csv(d.sparkSession, path).select("n_nationkey", "n_name", "code")
 
 
+def _catalogued(t) -> DataFrame:
+    """Orders by priority in a catalogue of datasets: added, one of them replaced from itself, renamed and deleted."""
+    import uuid
+
+    d = t("orders")
+    sets = S.Datasets(d.sparkSession, f"{folder(d.sparkSession)}/{uuid.uuid4().hex}-datasets")
+    sets.add("all", d.select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    sets.add("open", sets.get("all").where("o_orderstatus = 'O'"))
+    sets.replace("open", sets.get("open").withColumn("o_totalprice", F.col("o_totalprice") * 2))
+    sets.rename("open", "doubled")
+    sets.delete("all")
+    sets.vacuum()
+    return sets.get().withColumn("dataset", F.lit(sets.active()))
+
+
+query("datasets", _sql("SELECT o_orderkey, o_orderstatus, o_totalprice * 2 AS o_totalprice, 'doubled' AS dataset FROM orders WHERE o_orderstatus = 'O'", "o_totalprice", "o_orderkey, o_orderstatus, dataset"))(_catalogued)
 query("csv_round_trip", _sql("SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS n_name, n_nationkey || 'd' AS code FROM nation", "n_nationkey", "n_name, code"))(_csv_back)
 
 from statloom.plans import parts as _parts  # noqa: E402, F401  registers further queries

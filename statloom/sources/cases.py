@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,3 +75,89 @@ def open_session(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame],
 def rename_dataset(spark: SparkSession, old: str, new: str) -> None:
     spark.table(old).createOrReplaceTempView(new)
     spark.catalog.dropTempView(old)
+
+
+class Datasets:
+    """Named tables in one shared folder, one of them active; every driver that opens the folder sees the same.
+
+    The catalogue is a JSON line in a folder of its own version. A change writes the table first
+    and the next version last, so a driver lost in between leaves the old catalogue in force. Of
+    two drivers that change it at once the second fails, as its version is already there. Names
+    are unique, any text; a rename moves no data; the last dataset can't be deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _state(self) -> tuple[int, dict]:
+        at = self._hadoop(f"{self.path}/catalogue")
+        whole = [int(f.getPath().getName()) for f in self._files.listStatus(at) if self._files.exists(self._hadoop(f"{f.getPath()}/_SUCCESS"))] if self._files.exists(at) else []
+        if not whole:
+            return 0, {"active": None, "folders": {}}
+        return max(whole), json.loads(self.spark.read.text(f"{self.path}/catalogue/{max(whole):08d}").first()[0])
+
+    def _commit(self, version: int, state: dict) -> None:
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("error").text(f"{self.path}/catalogue/{version + 1:08d}")
+
+    def names(self) -> list[str]:
+        return list(self._state()[1]["folders"])
+
+    def active(self) -> str | None:
+        return self._state()[1]["active"]
+
+    def get(self, name: str | None = None) -> DataFrame:
+        """The named table, or the active one."""
+        state = self._state()[1]
+        return self.spark.read.parquet(f"{self.path}/tables/{state['folders'][state['active'] if name is None else name]}")
+
+    def add(self, name: str, df: DataFrame) -> None:
+        """Write ``df`` as a new dataset and make it active."""
+        self._put(name, df, new=True)
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        """Write ``df``, which may be made from the dataset itself, in its place; the old table stays until ``vacuum``."""
+        self._put(name, df, new=False)
+
+    def _put(self, name: str, df: DataFrame, new: bool) -> None:
+        version, state = self._state()
+        if (name in state["folders"]) == new:
+            raise ValueError(f"dataset {name!r} {'exists' if new else 'is not there'}")
+        folder = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/tables/{folder}")
+        state["folders"][name] = folder
+        self._commit(version, state | ({"active": name} if new else {}))
+
+    def switch(self, name: str) -> None:
+        version, state = self._state()
+        if name not in state["folders"]:
+            raise KeyError(name)
+        if state["active"] != name:
+            self._commit(version, state | {"active": name})
+
+    def rename(self, old: str, new: str) -> None:
+        version, state = self._state()
+        if new != old and new in state["folders"]:
+            raise ValueError(f"dataset {new!r} exists")
+        folders = {new if n == old else n: f for n, f in state["folders"].items()}
+        if old not in state["folders"]:
+            raise KeyError(old)
+        self._commit(version, {"active": new if state["active"] == old else state["active"], "folders": folders})
+
+    def delete(self, name: str) -> None:
+        """Take the dataset out of the catalogue; if it was active, the first one becomes active."""
+        version, state = self._state()
+        folders = {n: f for n, f in state["folders"].items() if n != name}
+        if name not in state["folders"]:
+            raise KeyError(name)
+        if not folders:
+            raise ValueError("at least one dataset stays")
+        self._commit(version, {"active": next(iter(folders)) if state["active"] == name else state["active"], "folders": folders})
+
+    def vacuum(self) -> None:
+        """Delete tables that the catalogue no longer names; call it when nobody reads or writes them."""
+        named, at = set(self._state()[1]["folders"].values()), self._hadoop(f"{self.path}/tables")
+        for f in self._files.listStatus(at) if self._files.exists(at) else []:
+            if f.getPath().getName() not in named:
+                self._files.delete(f.getPath(), True)
