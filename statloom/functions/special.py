@@ -190,8 +190,20 @@ def bisect(upper_tail, alpha, low, high, rounds: int = 80) -> Column:
 
 
 def t_inv(p_two_sided, df) -> Column:
-    """t with the given two-sided p-value: the critical value."""
-    return _named({"p": lit(p_two_sided), "v": lit(df)}, lambda p, v: F.when(v > 0, bisect(lambda t: t_p(t, v), p, 0.0, 1e4, 60)))
+    """t with the given two-sided p-value: the critical value, by Newton's steps from the normal one (the p-value is convex)."""
+
+    def body(p: Column, v: Column, logc: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            t = acc["t"]
+            slope = 2 * F.exp(logc - (v + 1) / 2 * F.log1p(t * t / v))
+            moved = lambda by: F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1e4), t + by)).alias("t"), (F.abs(by) <= 1e-13 * (1 + t)).alias("done"))
+            return F.when(acc["done"], acc).otherwise(_bound({"by": (t_p(t, v) - p) / slope}, moved))
+
+        start = F.struct(F.coalesce(norm_inv(1 - p / 2), F.lit(0.0)).alias("t"), F.lit(False).alias("done"))
+        return F.when((v > 0) & p.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step, lambda a: a["t"]))
+
+    v = lit(df).cast("double")
+    return _named({"p": lit(p_two_sided), "v": v, "logc": lgamma((v + 1) / 2) - lgamma(v / 2) - 0.5 * F.log(v * math.pi)}, body)
 
 
 def f_inv(p_upper, d1, d2) -> Column:
