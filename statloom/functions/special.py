@@ -101,6 +101,37 @@ def lgamma(x) -> Column:
     return _named({"x": lit(x)}, body)
 
 
+def digamma(x) -> Column:
+    """Derivative of ``lgamma`` for positive arguments: its asymptotic series ten steps up, and the steps down."""
+
+    def body(x: Column) -> Column:
+        y = x + 10
+        q = 1 / (y * y)
+        series = q * (1 / 12 - q * (1 / 120 - q * (1 / 252 - q * (1 / 240 - q / 132))))
+        return F.when(x > 0, F.log(y) - 0.5 / y - series - _steps(x, lambda t: 1 / t))
+
+    return _named({"x": lit(x)}, body)
+
+
+def trigamma(x) -> Column:
+    """Derivative of ``digamma`` for positive arguments."""
+
+    def body(x: Column) -> Column:
+        y = x + 10
+        q = 1 / (y * y)
+        series = (1 + q * (1 / 6 - q * (1 / 30 - q * (1 / 42 - q * (1 / 30 - q * 5 / 66))))) / y
+        return F.when(x > 0, series + 0.5 * q + _steps(x, lambda t: 1 / (t * t)))
+
+    return _named({"x": lit(x)}, body)
+
+
+def _steps(x: Column, term) -> Column:
+    total = term(x)
+    for i in range(1, 10):
+        total = total + term(x + i)
+    return total
+
+
 def _fraction(terms: int, first: tuple[Column, Column], numerator, denominator) -> Column:
     """Lentz's continued fraction with partial numerators and denominators of step i = 1, 2, ...
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.special import chi2_p, div, lgamma, norm_cdf, norm_inv, t_inv
 from statloom.operators.cases import is_missing
-from statloom.plans.stats import frequency, number, numbers, quantiles, rows, running, value_counts
+from statloom.plans.shared import cut
+from statloom.plans.stats import frequency, number, numbers, quantiles, quantiles_of, rows, running, value_counts
 
 #: Largest number of cases for which Shapiro-Wilk is defined.
 SHAPIRO_MOST = 5000
@@ -36,15 +38,16 @@ def describe(df: DataFrame, column: str) -> DataFrame:
         F.count("v").alias("n"), (F.count("*") - F.count("v")).alias("missing"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.var_samp("v").alias("variance"),
         F.min("v").alias("min"), F.max("v").alias("max"), *(c.alias(k) for k, c in shape().items()),
     )
-    counts = value_counts(v, "v")
-    q = quantiles(v, "v", {"median": 0.5, "q1": 0.25, "q3": 0.75}).drop("n")
-    top = counts.agg(F.max("n").alias("k"))
-    mode = counts.join(F.broadcast(top), F.col("n") == F.col("k")).orderBy("v").limit(3)
-    mode = mode.agg(F.when(F.max("k") <= 1, F.lit("None")).otherwise(F.array_join(F.array_sort(F.collect_list("v")), ", ")).alias("mode"))
-    fence = 1.5 * (F.col("q3") - F.col("q1"))
-    out = counts.crossJoin(F.broadcast(q))  # q, top and mode are single rows
-    out = out.agg(F.coalesce(F.sum(F.when((F.col("v") < F.col("q1") - fence) | (F.col("v") > F.col("q3") + fence), F.col("n"))), F.lit(0)).alias("outlier_count"))
-    row = base.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(mode)).crossJoin(F.broadcast(out))
+    counts = cut(value_counts(v, "v"), "counts")
+    q = quantiles_of(counts, "v", {"median": 0.5, "q1": 0.25, "q3": 0.75}).drop("n").first()
+    q1, q3 = (F.lit(q[k] if q else None).cast("double") for k in ("q1", "q3"))
+    fence = 1.5 * (q3 - q1)
+    out = counts.agg(F.coalesce(F.sum(F.when((F.col("v") < q1 - fence) | (F.col("v") > q3 + fence), F.col("n"))), F.lit(0)).alias("outlier_count"))
+    # at most three rows: all of the largest count are among the first three by count
+    top = counts.orderBy(F.desc("n"), "v").limit(3).agg(F.max("n").alias("k"), F.array_sort(F.collect_list(F.struct("v", "n"))).alias("l"))
+    mode = top.select(F.when(F.col("k") <= 1, F.lit("None")).otherwise(F.array_join(F.transform(F.filter("l", lambda x: x["n"] == F.col("k")), lambda x: x["v"]), ", ")).alias("mode"))
+    row = base.crossJoin(F.broadcast(mode)).crossJoin(F.broadcast(out))  # single rows
+    row = row.withColumns({"median": F.lit(q["median"] if q else None).cast("double"), "q1": q1, "q3": q3})
     row = row.withColumn("sem", F.col("std") / F.sqrt(F.col("n"))).withColumn("half", t_inv(0.05, F.col("n") - 1) * F.col("sem"))
     return row.select(
         F.lit(column).alias("variable"), "n", "missing", "mean", "median", "mode", "std", "variance", "sem", (F.col("mean") - F.col("half")).alias("ci_lo"), (F.col("mean") + F.col("half")).alias("ci_hi"),
@@ -105,6 +108,8 @@ def _level(c: str) -> Column:
 
 #: Cells of a table of levels, the most that ``crosstab`` returns.
 MOST_CELLS = 10_000_000
+#: Cells with cases that ``chi_square`` sums on the driver.
+FEW_CELLS = 10_000
 
 
 def _cells(df: DataFrame, row: str, column: str, weight: str | None) -> DataFrame:
@@ -137,9 +142,12 @@ def chi_square(df: DataFrame, row: str, column: str, weight: str | None = None)
 
     From the cells with cases and the margins: chi2 = n (sum of n_ij^2 / (r_i c_j) - 1). Cells
     whose expected count is under five are counted by running sums over the margins, so that
-    no table of all levels is made.
+    no table of all levels is made. Up to ``FEW_CELLS`` cells are summed on the driver, with the same result.
     """
-    c = _cells(df, row, column, weight)
+    c = cut(_cells(df, row, column, weight), "cells")
+    few = c.limit(FEW_CELLS + 1).collect()
+    if len(few) <= FEW_CELLS:
+        return _chi_square_row(df, *_small_table(few))
     rt, ct = (c.groupBy(k).agg(F.sum("n").alias(v)) for k, v in (("row_level", "r"), ("col_level", "k")))
     both = c.join(rt, "row_level").join(ct, "col_level")
     total = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("n") / F.col("r") * F.col("n") / F.col("k")).alias("x"), F.countDistinct("row_level").alias("r"), F.countDistinct("col_level").alias("k")).first()
@@ -151,7 +159,23 @@ def chi_square(df: DataFrame, row: str, column: str, weight: str | None = None)
         asks = rt.groupBy((F.lit(5.0 * n) / F.col("r")).alias("v")).agg(F.lit(0).cast("bigint").alias("inc"), F.count("*").alias("asks"))
         line = running(ends.unionAll(asks).groupBy("v").agg(F.sum("inc").alias("inc"), F.sum("asks").alias("asks")), "v", ["inc"])
         low = line.agg(F.sum(F.col("asks") * (F.col("cum_inc") - F.col("inc")))).first()[0]
-    s = rows(df.sparkSession, [{"chi2": max(0.0, float(n * (total["x"] - 1))) if n else None, "df": (total["r"] - 1) * (total["k"] - 1) if n else 0, "n": n, "low_cells": int(low), "least": min(total["r"], total["k"])}])
+    return _chi_square_row(df, n, total["x"], total["r"], total["k"], low)
+
+
+def _small_table(cells: list) -> tuple[int, float, int, int, int]:
+    """Cases, sum of n_ij^2 / (r_i c_j), levels of both factors and low cells of a table that fits the driver."""
+    margins: tuple[dict, dict] = ({}, {})
+    for c in cells:
+        for m, level in zip(margins, c[:2], strict=True):
+            m[level] = m.get(level, 0) + c["n"]
+    r, k = (np.sort(np.fromiter(m.values(), float)) for m in margins)
+    n = sum(c["n"] for c in cells)
+    low = np.searchsorted(k, 5.0 * n / r, side="left").sum() if n else 0
+    return n, sum(c["n"] / margins[0][c[0]] * c["n"] / margins[1][c[1]] for c in cells), len(r), len(k), low
+
+
+def _chi_square_row(df: DataFrame, n: int, x: float, r: int, k: int, low: int) -> DataFrame:
+    s = rows(df.sparkSession, [{"chi2": max(0.0, float(n * (x - 1))) if n else None, "df": (r - 1) * (k - 1) if n else 0, "n": n, "low_cells": int(low), "least": min(r, k)}])
     s = s.withColumn("chi2", F.col("chi2").cast("double"))
     return s.select("chi2", "df", chi2_p(F.col("chi2"), F.col("df")).alias("p"), F.sqrt(div(F.col("chi2"), F.col("n") * (F.col("least") - 1))).alias("cramers_v"), "n", "low_cells")
 

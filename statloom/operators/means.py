@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.special import chi2_p, div, f_p, t_inv, t_p, tukey_p
-from statloom.plans.stats import gram, gram_columns, gram_of, moments, numbers, quantiles, rows, weighed
+from statloom.plans.shared import cut
+from statloom.plans.stats import gram, gram_columns, gram_of, moments, numbers, quantiles_of, rows, value_counts, weighed
 
 
 def _d_interval(d: Column, a: Column, b: Column) -> tuple[Column, Column]:
@@ -109,10 +110,11 @@ def group_table(df: DataFrame, value: str, group: str, weight: str | None = None
 
 
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Analysis of variance of the absolute deviations from the group medians."""
-    d = numbers(df, {"v": value}, {"g": group})
-    med = quantiles(d, "v", {"med": 0.5}, ["g"]).select("g", "med")
-    return _anova_row(_spread(_groups(d.join(med, "g").select("g", F.abs(F.col("v") - F.col("med")).alias("v")))))
+    """Analysis of variance of the absolute deviations from the group medians; cases are read once,
+    for the counts of values that give both the medians and the deviations."""
+    counts = cut(value_counts(numbers(df, {"v": value}, {"g": group}), "v", ["g"]), "counts")
+    med = quantiles_of(counts, "v", {"med": 0.5}, ["g"]).select("g", "med")
+    return _anova_row(_spread(_groups(counts.join(med, "g").select("g", F.abs(F.col("v") - F.col("med")).alias("v"), "n"), "n")))
 
 
 def posthoc(df: DataFrame, value: str, group: str, how: str = "tukey") -> DataFrame:

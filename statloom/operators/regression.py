@@ -14,9 +14,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.functions.special import chi2_p, div, f_p, lgamma, t_p, z_p
+from statloom.functions.special import chi2_p, digamma, div, f_p, lgamma, t_p, trigamma, z_p
 from statloom.plans.shared import cut
-from statloom.plans.stats import Gram, gram, number, numbers, rows, weighed
+from statloom.plans.stats import Gram, counted, gram, number, numbers, rows, weighed
 
 
 def _fields(xs: list[str], y: str) -> dict[str, str]:
@@ -203,15 +203,6 @@ def _newton(d: DataFrame, names: list[str], steps: int, start: np.ndarray, terms
     return b, np.linalg.inv(h + 1e-8 * np.eye(k)), ll, done
 
 
-def _counted(d: DataFrame, names: list[str]) -> DataFrame:
-    """Rows with counts ``c`` that every step of a fit reads again: distinct rows, written once,
-    where a sketch says that they are few; else the pruned scan as it is, without a shuffle."""
-    size = d.agg(F.count("*").alias("n"), F.approx_count_distinct(F.struct(*names, "y")).alias("k")).first()
-    if size["k"] * 4 > size["n"]:
-        return d.select(*names, "y", F.lit(1.0).alias("c"))
-    return cut(d.groupBy(*names, "y").agg(F.count("*").cast("double").alias("c")), "counted")
-
-
 def _scaled(d: DataFrame, names: list[str]) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     s = d.agg(*(F.avg(x).alias(f"m_{x}") for x in names), *(F.stddev_samp(x).alias(f"s_{x}") for x in names)).first()
     m = np.array([s[f"m_{x}"] or 0.0 for x in names])
@@ -246,7 +237,7 @@ def logistic(df: DataFrame, y: str, xs: list[str], event: str | None = None) ->
 
 def _logistic(d: DataFrame, names: list[str], xs: list[str]) -> DataFrame:
     d, m, sd = _scaled(d, names)
-    d = _counted(d, names)
+    d = counted(d, [*names, "y"])
     total = d.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("y")).alias("e")).first()
     n, e = total["n"] or 0.0, total["e"] or 0.0
     if not 0 < e < n:
@@ -303,7 +294,7 @@ def poisson(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     """(term, b, se, z, p, irr, ci_lo, ci_hi, n, deviance, null_deviance, mcfadden, dispersion, chi2, df, p_model); y >= 0."""
     names = [f"x{i}" for i in range(len(xs))]
     d, m, sd = _scaled(numbers(df, _fields(xs, y)).where("y >= 0"), names)
-    d = _counted(d, names)
+    d = counted(d, [*names, "y"])
     s = d.agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("y")) / F.sum("c")).alias("m")).first()
     yy = F.col("y")
     terms = lambda eta: (yy * eta - F.exp(eta), yy - F.exp(eta), F.exp(eta))
@@ -320,43 +311,64 @@ def poisson(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     return _ratios(df.sparkSession, xs, b, se, "irr", more).withColumn("p_model", chi2_p(F.col("chi2"), F.col("df")))
 
 
-def negative_binomial(df: DataFrame, y: str, xs: list[str], rounds: int = 12) -> DataFrame:
+def negative_binomial(df: DataFrame, y: str, xs: list[str], steps: int = 60) -> DataFrame:
     """(term, b, se, z, p, irr, ci_lo, ci_hi, n, theta, ll, ll_null, chi2, df, p_model, deviance, mcfadden, dispersion):
-    NB2, means and theta in turn; the null model has the mean count and the same theta.
+    NB2; the null model has the mean count and the same theta, which stays within 1e-3 and 1e4.
 
-    Theta is searched over a grid of log theta whose likelihoods all come from one pass, and
-    the grid is narrowed.
+    Coefficients (scoring) and log theta (Newton) move in the same step, which is one aggregation:
+    their information is zero off the blocks. Theta starts from the moments.
     """
     names = [f"x{i}" for i in range(len(xs))]
     d, m, sd = _scaled(numbers(df, _fields(xs, y)).where("y >= 0"), names)
-    d = _counted(d, names)
-    s = d.agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("y")) / F.sum("c")).alias("m")).first()
-    yy, b, theta = F.col("y"), np.append(np.log(max(s["m"], 1e-8)), np.zeros(len(names))), 1.0
-    th, mu = F.col("th"), F.col("mu")
-    part = lgamma(yy + th) - lgamma(th) - lgamma(yy + 1) + th * F.log(th) + yy * F.log(mu) - (yy + th) * F.log(mu + th)
-    low, high, ll, cov = np.log(1e-3), np.log(1e4), None, None
-    for _ in range(rounds):
-        terms = lambda eta, t=theta: (yy * eta - (yy + t) * F.log(F.exp(eta) + t), (yy - F.exp(eta)) * t / (F.exp(eta) + t), F.exp(eta) * t / (F.exp(eta) + t))
-        b, cov, _, _ = _newton(d, names, 10, b, terms)
-        eta = reduce(lambda a, c: a + c, (F.lit(float(v)) * F.col(x) for v, x in zip(b[1:], names, strict=True)), F.lit(float(b[0])))
-        grid = np.exp(np.linspace(low, high, 9))
-        points = F.explode(F.array(*(F.lit(float(g)) for g in grid)))
-        q = d.withColumn("mu", F.exp(eta)).withColumn("th", points).groupBy("th").agg(F.sum(F.col("c") * part).alias("ll")).orderBy("th").collect()  # one row a point
-        q = [r["ll"] for r in q]
-        at = int(np.argmax(q))
-        new, ll = float(grid[at]), q[at]
-        low, high = np.log(grid[max(0, at - 1)]), np.log(grid[min(8, at + 1)])
-        if abs(np.log(new / theta)) < 1e-4 and high - low < 1e-3:
-            theta = new
+    d = counted(d, [*names, "y"])
+    cy = F.col("c") * F.col("y")
+    s = d.agg(F.sum("c").alias("n"), (F.sum(cy) / F.sum("c")).alias("m"), (F.sum(cy * F.col("y")) / F.sum("c")).alias("m2")).first()
+    yy, mu, w, one = F.col("y"), F.col("mu"), F.col("c"), [F.lit(1.0), *(F.col(x) for x in names)]
+    k, low, high = len(one), np.log(1e-3), np.log(1e4)
+
+    def means(b: np.ndarray) -> DataFrame:
+        return d.withColumn("mu", F.exp(reduce(lambda a, x: a + x, (F.lit(float(v)) * x for v, x in zip(b, one, strict=True)))))
+
+    def likelihood(mu: Column, th: float) -> Column:
+        return lgamma(yy + th) - lgamma_of(th) - lgamma(yy + 1) + th * float(np.log(th)) + yy * F.log(mu) - (yy + th) * F.log(mu + th)
+
+    def pass_(at: np.ndarray):
+        th = float(np.exp(at[k]))
+        away, rate, at_th = mu + th, (yy + th) / (mu + th), F.lit(th)
+        g, h = w * (yy - mu) * th / away, w * mu * th / away
+        first = digamma(yy + th) - digamma(at_th) + float(np.log(th)) + 1 - F.log(away) - rate
+        second = trigamma(yy + th) - trigamma(at_th) + 1 / th - 2 / away + rate / away
+        o = means(at[:k]).agg(
+            F.sum(w * likelihood(mu, th)).alias("ll"), F.sum(w * first).alias("first"), F.sum(w * second).alias("second"),
+            *(F.sum(g * one[i]).alias(f"g{i}") for i in range(k)), *(F.sum(h * one[i] * one[j]).alias(f"h_{i}_{j}") for i in range(k) for j in range(i, k)),
+        ).first()
+        info = np.array([[o[f"h_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        slope, bend = th * o["first"], -(th * th * o["second"] + th * o["first"])  # by log theta
+        return o["ll"], np.array([o[f"g{i}"] for i in range(k)]), info, slope, bend
+
+    spread = s["m2"] - s["m"] * s["m"] - s["m"]
+    start = np.log(s["m"] * s["m"] / spread) if spread > 0 and s["m"] > 0 else high
+    at = np.array([np.log(max(s["m"], 1e-8)), *[0.0] * (k - 1), np.clip(start, low, high)])
+    ll, g, h, slope, bend = pass_(at)
+    for _ in range(steps):
+        turn = np.clip(slope / bend if bend > 0 else np.sign(slope), -2, 2)
+        move = np.append(np.linalg.solve(h + 1e-8 * np.eye(k), g), np.clip(at[k] + turn, low, high) - at[k])
+        scale = 1.0
+        while True:
+            new = pass_(at + scale * move)
+            if np.isfinite(new[0]) and (new[0] >= ll - 1e-9 * (1 + abs(ll)) or scale < 1e-4):
+                break
+            scale /= 2
+        at = at + scale * move
+        ll, g, h, slope, bend = new
+        if np.abs(scale * move).max() < 1e-7:
             break
-        theta = new
-    eta = reduce(lambda a, c: a + c, (F.lit(float(v)) * F.col(x) for v, x in zip(b[1:], names, strict=True)), F.lit(float(b[0])))
-    q = d.withColumns({"mu": F.exp(eta), "th": F.lit(theta)})
-    unit = 2 * (F.when(yy > 0, yy * F.log(yy / mu)).otherwise(0.0) - (yy + th) * F.log((yy + th) / (mu + th)))
-    t = q.agg(F.sum(F.col("c") * part).alias("ll"), F.sum(F.col("c") * unit).alias("dev"), F.sum(F.col("c") * (yy - mu) * (yy - mu) / (mu + mu * mu / th)).alias("x2")).first()
-    null = q.withColumn("mu", F.lit(float(s["m"]))).agg(F.sum(F.col("c") * part)).first()[0]
+    theta, b, cov = float(np.exp(at[k])), at[:k], np.linalg.inv(h + 1e-8 * np.eye(k))
+    unit = 2 * (F.when(yy > 0, yy * F.log(yy / mu)).otherwise(0.0) - (yy + theta) * F.log((yy + theta) / (mu + theta)))
+    x2 = (yy - mu) * (yy - mu) / (mu + mu * mu / theta)
+    t = means(b).agg(F.sum(w * likelihood(F.lit(float(s["m"])), theta)).alias("null"), F.sum(w * unit).alias("dev"), F.sum(w * x2).alias("x2")).first()
     b, se = _unscaled(b, cov, m, sd)
-    more = {"n": int(s["n"]), "theta": theta, "ll": t["ll"], "ll_null": null, "chi2": 2 * (t["ll"] - null), "df": len(xs), "deviance": t["dev"], "mcfadden": 1 - t["ll"] / null, "dispersion": t["x2"] / max(1.0, s["n"] - len(xs) - 1)}
+    more = {"n": int(s["n"]), "theta": theta, "ll": ll, "ll_null": t["null"], "chi2": 2 * (ll - t["null"]), "df": len(xs), "deviance": t["dev"], "mcfadden": 1 - ll / t["null"], "dispersion": t["x2"] / max(1.0, s["n"] - len(xs) - 1)}
     return _ratios(df.sparkSession, xs, b, se, "irr", more).withColumn("p_model", chi2_p(F.col("chi2"), F.col("df")))
 
 

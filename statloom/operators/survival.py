@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.special import chi2_p, div, z_p
 from statloom.plans.shared import cut
-from statloom.plans.stats import cuts_of, number, numbers, rows, running
+from statloom.plans.stats import counted, cuts_of, number, numbers, rows, running
 
 
 def _times(df: DataFrame, time: str, event: str, group: str | None) -> DataFrame:
@@ -70,8 +70,8 @@ def cox(df: DataFrame, time: str, event: str, covariates: list[str], steps: int
     if (s["ev"] or 0) < 5 or s["n"] < k + 5:
         raise ValueError("five events and k + 5 cases are needed")
     sd = np.array([s[f"s{x}"] or 1.0 for x in names])
+    d = counted(d, [*names, "t", "e"])  # only sums by time are shuffled in a step
     d = d.withColumns({x: (F.col(x) - s[f"m{x}"]) / float(sd[i]) for i, x in enumerate(names)})
-    d = d.withColumn("c", F.lit(1.0))  # each step reads the pruned scan; only sums by time are shuffled
     cuts = cuts_of(d, "t")
 
     def pass_(b: np.ndarray):

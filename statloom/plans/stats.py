@@ -184,6 +184,15 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
 
 
+def counted(d: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(*names, c): what every step of a fit reads again. Distinct rows with their counts, written once,
+    where a sketch says that they are few; else the pruned scan as it is, without a shuffle."""
+    size = d.agg(F.count("*").alias("n"), F.approx_count_distinct(F.struct(*names)).alias("k")).first()
+    if size["k"] * 4 > size["n"]:
+        return d.select(*names, F.lit(1.0).alias("c"))
+    return cut(d.groupBy(*names).agg(F.count("*").cast("double").alias("c")), "counted")
+
+
 def ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """(*by, value, n, rank): each distinct value, its count and average rank."""
     r = running(value_counts(df, value, by), value, ["n"], by)
@@ -192,7 +201,11 @@ def ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """(*by, n, *probs): exact type-7 quantiles from running counts of distinct values."""
-    counts = cut(value_counts(df, value, by), "counts")
+    return quantiles_of(cut(value_counts(df, value, by), "counts"), value, probs, by)
+
+
+def quantiles_of(counts: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """``quantiles`` from written ``value_counts``."""
     r = running(counts, value, ["n"], by, cuts=cuts_of(counts, value))
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     r = r.join(total, list(by)) if by else r.crossJoin(F.broadcast(total))  # one row
