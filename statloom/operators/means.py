@@ -69,8 +69,8 @@ def ttest_paired(df: DataFrame, a: str, b: str, weight: str | None = None) -> Da
 
 
 def _groups(d: DataFrame, weight: str | None = None) -> DataFrame:
-    """Moments of groups of two cases or more."""
-    return moments(d, "v", ["g"], weight).where("n >= 2")
+    """Moments of groups of two cases or more, written once: cases are read in one pass, however often a plan joins them."""
+    return cut(moments(d, "v", ["g"], weight).where("n >= 2"), "groups")
 
 
 def _anova_row(s: DataFrame, keys: list[str] = ()) -> DataFrame:
