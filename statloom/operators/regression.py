@@ -7,6 +7,7 @@ distinct rows with their counts, never the rows themselves.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from math import lgamma as lgamma_of
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.special import chi2_p, digamma, div, f_p, lgamma, t_p, trigamma, z_p
 from statloom.plans.shared import cut
-from statloom.plans.stats import Gram, counted, gram, number, numbers, rows, weighed
+from statloom.plans.stats import Gram, counted, gram, number, numbers, ranges, rows, weighed
 
 
 def _fields(xs: list[str], y: str) -> dict[str, str]:
@@ -394,7 +395,11 @@ def mediation(df: DataFrame, x: str, mediators: list[str], y: str, boots: int =
         pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
         mu = dict(zip(names, g.mean, strict=True))
         away = [F.col(a) - float(mu[a]) for a in names]
-        sums = _resampled(d.select(F.xxhash64(*names).alias("h"), F.array(*away).alias("v")), names, pairs, boots, seed)
+        # equal cases are one row with their number; all are dealt out anew, however few files the table has, and
+        # each task's order is fixed
+        own = d.repartition(ranges(d, "x"), *names).groupBy(*names).agg(F.count("*").alias("k"))
+        own = own.select(F.xxhash64(*names).alias("h"), F.array(*away).alias("v"), "k").sortWithinPartitions("h", "v")
+        sums = _resampled(own, names, pairs, boots, seed)
         for r in sums:  # one small row a resample
             mean = np.array([r[f"m_{a}"] for a in names]) / r["n"]
             cov = np.zeros((len(names), len(names)))
@@ -416,8 +421,26 @@ def mediation(df: DataFrame, x: str, mediators: list[str], y: str, boots: int =
     return t.withColumn("p", z_p(F.col("sobel_z")))
 
 
+#: Distribution function of a Poisson variable of mean 1, and its value in each of 65 536 equal parts of the
+#: unit interval; -1 where a part holds a step.
+_CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
+_LOW, _HIGH = (np.searchsorted(_CDF, (np.arange(1 << 16) + x) / (1 << 16), s) for x, s in ((0, "right"), (1, "left")))
+_WEIGHTS = np.where(_LOW == _HIGH, _LOW, -1).astype(float)
+
+
+def _poisson(rng: np.random.Generator, shape: tuple[int, int]) -> np.ndarray:
+    """Poisson weights of mean 1 by inversion: sixteen random bits decide nearly all, those in a part with a
+    step take 53 more."""
+    part = rng.integers(0, 1 << 16, shape, np.uint16)
+    w = _WEIGHTS.take(part)
+    open_ = np.nonzero(w < 0)
+    w[open_] = np.searchsorted(_CDF, (part[open_] + rng.random(len(open_[0]))) / (1 << 16), "right")
+    return w
+
+
 def _resampled(d: DataFrame, names: list[str], pairs: list[tuple[str, str]], boots: int, seed: int) -> list[dict]:
-    """Weighted sums (n, m_<a>, c_<a>_<b>) of each of ``boots`` Poisson resamples.
+    """Weighted sums (n, m_<a>, c_<a>_<b>) of each of ``boots`` Poisson resamples of ``d`` (h, v, k): a case
+    that stands for k equal ones has a weight of mean k.
 
     A task draws the weights of its cases from a generator seeded by ``seed`` and the task's
     first case, a block of cases at a time, and returns ``boots`` rows of sums.
@@ -435,10 +458,15 @@ def _resampled(d: DataFrame, names: list[str], pairs: list[tuple[str, str]], boo
             if rng is None:
                 rng, total = np.random.default_rng([seed, batch.column("h")[0].as_py() & ((1 << 63) - 1)]), np.zeros((boots, len(fields)))
             v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, len(names))
+            k = batch.column("k").to_numpy()
             for i in range(0, len(v), BLOCK):
-                x = v[i : i + BLOCK]
+                x, times = v[i : i + BLOCK], k[i : i + BLOCK]
                 x = np.column_stack([np.ones(len(x)), x, *(x[:, a] * x[:, b] for a, b in at)])
-                total += rng.poisson(1.0, (boots, len(x))) @ x
+                more = np.flatnonzero(times > 1)
+                for b in range(0, boots, BLOCK):  # weights that fit a core's cache
+                    w = _poisson(rng, (min(BLOCK, boots - b), len(x)))
+                    w[:, more] = rng.poisson(times[more], (len(w), len(more)))
+                    total[b : b + BLOCK] += w @ x
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(boots)), *(pa.array(c) for c in total.T)], ["b", *fields])
 
