@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from statloom.functions import special as S
 from statloom.functions.special import chi2_p, div, lit, z_p
 from statloom.operators.regression import solve
 from statloom.plans.shared import cut
-from statloom.plans.stats import gram_columns, gram_of, number, numbers, rows, running
+from statloom.plans.stats import Gram, gram, gram_columns, gram_of, joined, number, numbers, rows, running
 
 
 def meta_analysis(df: DataFrame, effect: str, variance: str, model: str = "random") -> DataFrame:
@@ -257,64 +258,153 @@ def mice_convergence(df: DataFrame, columns: list[str], case_id: str, sets: int
 
 def _chained(df: DataFrame, columns: list[str], case_id: str, sets: int, method: str, cycles: int, seed: int, traced: bool = False) -> tuple[DataFrame, list[str], list[tuple]]:
     """A row a case with <v>_<m>, variable v completed in set m; the names v; and, if ``traced``,
-    (cycle, v, m, mean, sd) of imputed values."""
+    (cycle, v, m, mean, sd) of imputed values.
+
+    Complete cases never change: their covariances and donors are taken once, and a step reads
+    and writes the other cases alone.
+    """
     k, names = len(columns), [f"v{i}" for i in range(len(columns))]
     trace: list[tuple] = []
     d = df.select(F.col(f"`{case_id}`").alias("case"), F.monotonically_increasing_id().alias("id"), *(number(df, c).alias(v) for c, v in zip(columns, names, strict=True)))
-    means = d.agg(*(F.avg(v).alias(v) for v in names), *(F.sum(F.col(v).isNull().cast("bigint")).alias(f"k{v}") for v in names)).first()
-    todo = [v for v in names if means[f"k{v}"]]
-    for m in range(sets):
-        d = d.withColumns({f"{v}_{m}": F.coalesce(F.col(v), F.lit(float(means[v] or 0.0))) for v in names})
     d = cut(d, "mice")  # fixes the row numbers, as case ids may repeat
+    means = d.agg(F.count("*").alias("n"), *(F.avg(v).alias(v) for v in names), *(F.sum(F.col(v).isNull().cast("bigint")).alias(f"k{v}") for v in names)).first()
+    todo = [v for v in names if means[f"k{v}"]]
+    whole = reduce(lambda x, y: x & y, (F.col(v).isNotNull() for v in names))
+    full = d.where(whole)
+    at = lambda v, m: f"{v}_{m}" if v in todo else v
+    filled = {f"{v}_{m}": F.coalesce(F.col(v), F.lit(float(means[v] or 0.0))) for m in range(sets) for v in todo}
+    part = cut(d.where(~whole).drop(*(["case"] if traced else [])).withColumns(filled), "mice")
     rng = np.random.default_rng(seed)
-    for c in range(cycles if k > 1 else 0):
-        for v in todo:
+    work = todo if k > 1 and cycles else []
+    fixed = gram(full, names) if work else None
+    ends = {v: cut(_ends(full.select(*(o for o in names if o != v), "id", F.col(v).alias("value")), [o for o in names if o != v]), "ends") for v in work} if method != "normal" else {}
+    for c in range(cycles if work else 0):
+        for v in work:
             others = [o for o in names if o != v]
-            seen = d.where(F.col(v).isNotNull())
-            fields = [(m, [*(f"{o}_{m}" for o in others), f"{v}_{m}"]) for m in range(sets)]
-            aggs = [F.struct(*gram_columns(f)).alias(str(m)) for m, f in fields]
-            row = seen.agg(*aggs).first()
+            fields = [(m, [*(at(o, m) for o in others), at(v, m)]) for m in range(sets)]
+            row = part.where(F.col(v).isNotNull()).agg(*(F.struct(*gram_columns(f)).alias(str(m)) for m, f in fields)).first()
             new = {}
             for m, f in fields:
                 g = gram_of(row[str(m)], f)
+                own = fixed.pick([*others, v])
+                g = joined(Gram(f, own.n, own.mean, own.cov), g)
                 fit = solve(g, f[:-1], f[-1])
                 s = math.sqrt(fit["sse"] / max(1, fit["n"] - k) * max(1, fit["n"] - k) / rng.chisquare(max(1, fit["n"] - k)))
                 b = fit["b"] + s * np.linalg.cholesky(fit["inv"] + 1e-12 * np.eye(k)) @ rng.standard_normal(k)
-                yhat = F.lit(float(b[0]))
-                for x, o in zip(b[1:], f[:-1], strict=True):
-                    yhat = yhat + float(x) * F.col(o)
-                new[m] = (yhat, s)
-            u = lambda salt: (F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+                new[m] = (b, s)
+
+            def yhat(m: int, own: bool = True, new=new, others=others) -> Column:
+                b = new[m][0]
+                return reduce(lambda y, xo: y + float(xo[0]) * F.col(at(xo[1], m) if own else xo[1]), zip(b[1:], others, strict=True), F.lit(float(b[0])))
+
+            u = {m: (F.pmod(F.xxhash64(F.col("id"), F.lit(seed * 1_000_003 + c * 1009 + m * 31 + names.index(v))), F.lit(1 << 52)) + 0.5) / float(1 << 52) for m in new}
             if method == "normal":
-                d = d.withColumns({f"{v}_{m}": F.coalesce(F.col(v), yhat + s * S.norm_inv(u(seed * 1_000_003 + c * 1009 + m * 31 + names.index(v)))) for m, (yhat, s) in new.items()})
+                part = part.withColumns({at(v, m): F.coalesce(F.col(v), yhat(m) + new[m][1] * S.norm_inv(u[m])) for m in new})
             else:
-                base = cut(d.withColumns({f"p_{m}": yhat for m, (yhat, _) in new.items()}), "mice")
-                got = _donated(base, v, {m: F.floor(5 * u(seed * 1_000_003 + c * 1009 + m * 31 + names.index(v))) - 2 for m in new})
-                d = base.join(got, "id", "left").withColumns({f"{v}_{m}": F.coalesce(F.col(v), F.col(f"got_{m}")) for m in new}).drop(*(f"{x}_{m}" for m in new for x in ("got", "p")))
-            d = cut(d, "mice")
+                each = lambda own, yhat=yhat: F.explode(F.array(*(F.struct(F.lit(m).alias("m"), yhat(m, own).alias("p")) for m in range(sets))))
+                own = _ends(part.select("id", F.col(v).alias("value"), each(True).alias("x")).select("x.m", "x.p", "id", "value"), ["m", "p"])
+                both = own.unionByName(ends[v].select("n", "asked", "ds", each(False).alias("x")).select("x.*", "n", "asked", "ds"))
+                got = cut(_donors(both, means["n"] - means[f"k{v}"]), "donors")
+                lost = part.where(F.col(v).isNull())
+                for m in new:
+                    lost = lost.withColumn("p", yhat(m)).join(got.where(F.col("m") == m).select("p", "donors"), "p", "left")
+                    lost = lost.withColumn(at(v, m), F.get("donors", F.floor(5 * u[m]).cast("int"))).drop("p", "donors")
+                part = part.where(F.col(v).isNotNull()).unionByName(lost)
+            part = cut(part, "mice")
         if traced and todo:
-            made = {(v, m): F.when(F.col(v).isNull(), F.col(f"{v}_{m}")) for v in todo for m in range(sets)}
-            seen = d.agg(*(f(x).alias(f"{n}_{v}_{m}") for (v, m), x in made.items() for n, f in (("mean", F.avg), ("sd", F.stddev_samp)))).first()
+            made = {(v, m): F.when(F.col(v).isNull(), F.col(at(v, m))) for v in todo for m in range(sets)}
+            seen = part.agg(*(f(x).alias(f"{n}_{v}_{m}") for (v, m), x in made.items() for n, f in (("mean", F.avg), ("sd", F.stddev_samp)))).first()
             trace += [(c, v, m, seen[f"mean_{v}_{m}"], seen[f"sd_{v}_{m}"]) for v, m in made]
-    return d, names, trace
-
-
-def _donated(d: DataFrame, v: str, offsets: dict[int, Column]) -> DataFrame:
-    """(id, got_<m>...) of cases that miss ``v``: in each set m the value of the observed case so many
-    places away in the order of the predictions p_<m>. All sets go through one plan."""
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.col(f"p_{m}").alias("p"), off.alias("off")) for m, off in offsets.items())))
-    p = d.select("id", F.col(v).alias("value"), each.alias("x")).select("id", "value", "x.*")
-    r = running(p.groupBy("m", "p").agg(F.count("value").alias("seen")), "p", ["seen"], ["m"]).select("m", "p", "cum_seen")
-    # donors are numbered within ranges of (set, prediction, row), so that equal predictions don't meet in one task
-    own = cut(p.where("value is not null").select("m", "p", "id", "value").repartitionByRange("m", "p", "id").withColumn("part", F.spark_partition_id()), "donors")
-    size = own.groupBy("m", "part").agg(F.count("*").alias("k"))
-    before = size.select("m", "part", F.coalesce(F.sum("k").over(Window.partitionBy("m").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))  # a row a range
-    own = own.join(F.broadcast(before), ["m", "part"]).withColumn("at", F.col("b") + F.row_number().over(Window.partitionBy("m", "part").orderBy("p", "id")))
-    most = d.agg(F.count(v)).first()[0]
-    at = F.greatest(F.lit(1), F.least(F.lit(most), F.col("cum_seen") + F.col("off"))).cast("bigint")
-    ask = p.where("value is null").join(r, ["m", "p"]).select("m", "id", at.alias("at"))
-    got = ask.join(own.select("m", F.col("at").cast("bigint").alias("at"), F.col("value").alias("got")), ["m", "at"])
-    return got.groupBy("id").agg(*(F.max(F.when(F.col("m") == m, F.col("got"))).alias(f"got_{m}") for m in offsets))
+    if traced:
+        return part, names, trace
+    out = lambda t, name: t.select("case", *(F.col(name(v, m)).alias(f"{v}_{m}") for v in names for m in range(sets)))
+    return out(full, lambda v, m: v).unionByName(out(part, at)), names, trace
+
+
+#: Rows that ``_ends`` gathers before it reduces them.
+_GATHER = 1 << 18
+
+
+def _shortened(keys: list[np.ndarray], ids: np.ndarray, values: np.ndarray, seen: np.ndarray, asked: np.ndarray) -> tuple:
+    """The first two and last three rows with a value of each group (a row without one where there is none);
+    the group's sums of ``seen`` and ``asked`` stand in the first of them."""
+    gone = np.isnan(values)
+    order = np.lexsort((ids, gone, *reversed(keys)))
+    keys, ids, values, seen, asked, gone = [x[order] for x in keys], ids[order], values[order], seen[order], asked[order], gone[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys]) if keys else False
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    have = np.add.reduceat((~gone).astype(np.int64), first)
+    rank = np.arange(len(ids)) - first[group]
+    keep = new | (~gone & ((rank < 2) | (rank >= have[group] - 3)))
+    total = [np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)]
+    for t, x in zip(total, (seen, asked), strict=True):
+        t[first] = np.add.reduceat(x, first)
+    return [x[keep] for x in keys], ids[keep], values[keep], total[0][keep], total[1][keep]
+
+
+def _ends(d: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, n, asked, ds): for each group of ``d`` (keys, id, value) the number of its rows with a value and
+    of those without, and (id, value) of the first two and last three with one, in order of id.
+
+    Each task reduces its own rows, a gathering at a time, so that a group costs no more than five of
+    them a task in the shuffle.
+    """
+    import pyarrow as pa
+
+    d = d.select(*keys, "id", "value")
+    kinds = dict(d.dtypes)
+
+    def each(batches):
+        def made(rows):
+            ks, ids, values, seen, asked = rows
+            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in ks), pa.array(ids), pa.array(values, mask=np.isnan(values)), pa.array(seen), pa.array(asked)], [*keys, "id", "value", "seen", "asked"])
+
+        def put(rows):
+            ks = [np.concatenate(x) for x in zip(*(r[0] for r in rows), strict=True)]
+            return _shortened(ks, *(np.concatenate(x) for x in zip(*(r[1:] for r in rows), strict=True)))
+
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column("value").cast(pa.float64()).to_numpy(zero_copy_only=False)
+            gone = np.isnan(values)
+            held.append(([batch.column(x).to_numpy(zero_copy_only=False) for x in keys], batch.column("id").to_numpy(), values, (~gone).astype(np.int64), gone.astype(np.int64)))
+            size += batch.num_rows
+            if size >= _GATHER:
+                held = [put(held)]
+                size = len(held[0][1])
+                if size >= _GATHER // 2:  # hardly anything repeats
+                    yield made(held[0])
+                    held, size = [], 0
+        if held:
+            yield made(put(held))
+
+    rows = d.mapInArrow(each, ", ".join([*(f"{x} {kinds[x]}" for x in keys), "id bigint, value double, seen bigint, asked bigint"]))
+    some = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("id", "value")))
+    return rows.groupBy(*keys).agg(F.sum("seen").alias("n"), F.sum("asked").alias("asked"), _five(some).alias("ds"))
+
+
+def _five(ds: Column) -> Column:
+    """The first two and last three of an array, or all of a shorter one, in order."""
+    ds = F.sort_array(ds)
+    return F.when(F.size(ds) > 5, F.concat(F.slice(ds, 1, 2), F.slice(ds, -3, 3))).otherwise(ds)
+
+
+def _donors(both: DataFrame, most: int) -> DataFrame:
+    """(m, p, donors) for each prediction p that a case without a value has in set m: the values of the
+    observed cases 2 places before to 2 after the last one up to p, in order of prediction and row.
+    ``both`` holds (m, p, n, asked, ds) as from ``_ends``; ``most`` cases are observed."""
+    t = both.groupBy("m", "p").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked"), _five(F.flatten(F.collect_list("ds"))).alias("ds"))
+    r = running(t, "p", ["n"], ["m"])
+    place = F.when(F.col("j") < 2, F.col("cum_n") - F.col("n") + F.col("j") + 1).otherwise(F.col("cum_n") - F.size("ds") + F.col("j") + 1)
+    own = r.select("m", "n", "cum_n", "ds", F.posexplode("ds").alias("j", "x")).select("m", place.cast("bigint").alias("at"), F.col("x.value").alias("got"))
+    ask = r.where("asked > 0").select("m", "p", "cum_n", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("off"))
+    ask = ask.select("m", "p", "off", F.greatest(F.lit(1), F.least(F.lit(most), F.col("cum_n") + F.col("off"))).cast("bigint").alias("at"))
+    got = ask.join(own, ["m", "at"]).groupBy("m", "p").agg(F.sort_array(F.collect_list(F.struct("off", "got"))).alias("l"))
+    return got.select("m", "p", F.transform("l", lambda x: x["got"]).alias("donors"))
 
 
 def pool(df: DataFrame, columns: list[str]) -> DataFrame:

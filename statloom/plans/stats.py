@@ -119,6 +119,15 @@ def gram_of(row, names: Sequence[str]) -> Gram:
     return Gram(list(names), row["n"], np.array([np.nan if row[f"m_{a}"] is None else row[f"m_{a}"] for a in names]), cov)
 
 
+def joined(a: Gram, b: Gram) -> Gram:
+    """The moments of the cases of both, under the names of ``a``; the columns of ``b`` stand in the same order."""
+    if not a.n or not b.n:
+        return Gram(a.names, a.n or b.n, a.mean if a.n else b.mean, a.cov if a.n else b.cov)
+    n, away = a.n + b.n, b.mean - a.mean
+    about = [(g.n - 1) * g.cov if g.n > 1 else np.zeros_like(g.cov) for g in (a, b)]
+    return Gram(a.names, n, a.mean + away * b.n / n, (sum(about) + np.outer(away, away) * a.n * b.n / n) / (n - 1))
+
+
 def gram(df: DataFrame, names: Sequence[str], weight: str | None = None) -> Gram:
     """Means and covariances of complete columns of ``df``: one job, k (k + 3) / 2 numbers.
 
