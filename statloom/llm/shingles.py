@@ -1,6 +1,7 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash candidates, exact verification.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash and MinHash candidates, exact verification.
 
-Texts with the same set of shingles are one node. A node's MinHash signature is cut into
+Fingerprints that the ball keys of ``simhash`` link come first; MinHash adds what is farther
+apart than they reach, and compares nothing that they have linked. Texts with the same set of shingles are one node. A node's MinHash signature is cut into
 ``BANDS`` bands of ``ROWS`` rows; nodes that share a band are candidates, and whatever is a
 candidate is verified over the whole sets. Two nodes of similarity s share a band with
 probability 1 - (1 - s ** ROWS) ** BANDS, at 0.8 that is 0.9999.
@@ -19,7 +20,7 @@ shingles (``_by_rare_shingles``), where a shared passage makes no pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import connected_components, materialize, parts_of, per_row, whole_row
+from statloom.llm.common import connected_components, materialize, parts_of, per_row
 
 SIMILARITY = 0.8
 BANDS, ROWS = 50, 8
@@ -47,14 +48,27 @@ _XOR = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 _TIMES = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 
 
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Sorted distinct XXH64 of the word shingles of a text; words as for ``simhash``."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """XXH64 of the word shingles of a text, repeats included; words as for ``simhash``."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if n > 1 else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, n))
+    return np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, n)
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct ``shingle_hashes``."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """``simhash`` of a text from its ``shingle_hashes``, signed."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -86,17 +100,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, digest, node, size, keys, sketch) for each row; texts without words are node 0 and have no keys."""
+    """(id, digest, node, size, fp, keys, sketch) for each row; texts without words are node 0 and have no keys."""
 
     def each(texts: list) -> list:
-        sets = [shingle_set(t, shingle) for t in texts]
+        hashes = [shingle_hashes(t, shingle) for t in texts]
+        sets = [np.unique(h) for h in hashes]
         node = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets), np.uint64, len(sets))
         least = [signature(s) if len(s) else None for s in sets]
         cut = lambda f: [[] if x is None else f(x) for x in least]
-        return [node.view(np.int64), list(map(len, sets)), cut(bands), cut(sketch)]
+        return [node.view(np.int64), list(map(len, sets)), list(map(fingerprint, hashes)), cut(bands), cut(sketch)]
 
     rows = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest"), F.col(text_col).alias("t"))
-    return per_row(rows, "t", "node bigint, size bigint, keys array<bigint>, sketch array<bigint>", each)
+    return per_row(rows, "t", "node bigint, size bigint, fp bigint, keys array<bigint>, sketch array<bigint>", each)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -116,27 +131,35 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return both.select("a", "b", "ta", "tb").mapInArrow(each, "a bigint, b bigint")
 
 
-def components(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(node, root) for the nodes of ``own`` that have links.
+def components(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) for the nodes of ``own`` that have links; ``linked`` gives the links (a, b) of fingerprints.
 
     What is joined on a key that may be crowded is read from a written table, so that a
     skewed join can be split.
     """
     first = F.min(F.struct("id", "digest")).alias("row")
-    distinct = own.where("node <> 0").groupBy("node").agg(first, F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    distinct = own.where("node <> 0").groupBy("node").agg(first, F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     distinct = materialize(distinct, "distinct")
     keys = distinct.select("node", "row", "size", F.explode("keys").alias("key"))
     hubs = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.min_by("size", "node").alias("hub_size")).where("n > 1").drop("n")
     met = materialize(keys.join(materialize(hubs, "hubs"), "key"), "met")
 
     near = F.least("sa", "sb") >= F.greatest("sa", "sb") * (similarity - 1e-9)
+    close = materialize(_by_fingerprint(distinct, linked).where(near).select("a", "b").distinct(), "fingerprint-pairs")
     # each node's text is that of its first row, found by its id
-    needed = met.select("node", F.col("row.id").alias("id"), F.col("row.digest").alias("digest")).distinct()
+    named = distinct.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "row").unionAll(met.select("node", "row"))
+    needed = named.select("node", F.col("row.id").alias("id"), F.col("row.digest").alias("digest")).distinct()
     plain = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest"), F.col(text_col).alias("t"))
     texts = materialize(needed.join(plain, ["id", "digest"]).select("node", "t").dropDuplicates(["node"]), "texts")
 
     star = met.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_size").alias("sa"), F.col("size").alias("sb"))
-    links = materialize(verify(star.where(near).select("a", "b").distinct(), texts, shingle, similarity), "links")
+    links = materialize(verify(close, texts, shingle, similarity), "links")
+    roots = materialize(connected_components(links), "roots")
+    star = star.where(near).select("a", "b").distinct()
+    for x in "ab":
+        star = star.join(roots.select(F.col("node").alias(x), F.col("root").alias("r" + x)), x, "left")
+    star = star.where("ra is null or rb is null or ra <> rb").select("a", "b")
+    links = links.unionAll(materialize(verify(star, texts, shingle, similarity), "links"))
     roots = materialize(connected_components(links), "roots")
 
     rest = _apart(met.select("key", "node", "size"), roots)
@@ -161,6 +184,16 @@ def components(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     return materialize(connected_components(links.unionAll(cross)), "roots")
 
 
+def _by_fingerprint(distinct: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b, sa, sb): pairs of nodes that equal or linked fingerprints name; a fingerprint's least node stands for it."""
+    first = materialize(distinct.groupBy("fp").agg(F.min("node").alias("hub"), F.min_by("size", "node").alias("hub_size")), "fingerprints")
+    same = distinct.select("fp", "node", "size").join(first, "fp").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_size").alias("sa"), F.col("size").alias("sb"))
+    pairs = materialize(linked(first.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb")).distinct(), "fingerprint-links")
+    for x in "ab":
+        pairs = pairs.join(first.select(F.col("fp").alias("f" + x), F.col("hub").alias(x), F.col("hub_size").alias("s" + x)), "f" + x)
+    return same.unionAll(pairs.select("a", "b", "sa", "sb"))
+
+
 def _by_rare_shingles(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): every pair of ``nodes`` (node, root) of different roots whose similarity may be high enough.
 
@@ -213,24 +246,3 @@ def _hubs(rest: DataFrame) -> DataFrame:
     by_hash = [F.min_by("x", F.xxhash64("node", "key", F.lit(i))) for i in range(HUBS)]
     picked = ranked.groupBy("key").agg(F.array_distinct(F.array(F.max_by("x", F.struct("degree", "node")), *by_hash)).alias("xs"))
     return materialize(picked.select("key", F.explode("xs").alias("x")).select("key", "x.*"), "hubs")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one with the smallest id.
-
-    Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
-    ``similarity``; groups are what links reach. Texts without words (null and empty ones
-    too) are equal. All columns stay. Rows of different groups all keep a row, whether they
-    share an id or not. Rows with a null id can't be ordered by it and all stay.
-    """
-    known = docs.where(F.col(id_col).isNotNull())
-    own = materialize(nodes(known, id_col, text_col, shingle), "nodes")
-    roots = components(own, known, id_col, text_col, shingle, similarity)
-    first = own.groupBy("node").agg(F.min(F.struct("id", "digest")).alias("row"))
-    groups = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
-    # a repeated id keeps a row for each of its groups
-    keep = groups.select("row.id", "row.digest")
-    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    rows = known.select(F.col(id_col).alias("id"), digest.alias("digest"), whole_row(known))
-    kept = rows.join(keep, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))

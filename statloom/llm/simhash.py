@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statloom.llm.common import connected_components, materialize, per_row
-from statloom.llm.shingles import keep_one as keep_one
+from statloom.llm import shingles
+from statloom.llm.common import connected_components, materialize, per_row, whole_row
 
 #: Widths of the three blocks of a fingerprint, low bits first.
 BLOCKS = (21, 21, 22)
@@ -165,3 +165,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     known = materialize(known, "known")  # both sides of the join below are plain shuffles, so that a hot fingerprint is split
     return own.join(known, "fp", "left").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest id.
+
+    Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
+    ``similarity``; groups are what links reach. Candidates are fingerprints of the same shingles that
+    ``links`` joins, and, as texts of that similarity may differ in more bits, MinHash bands. Texts without words (null and empty ones
+    too) are equal. All columns stay. Rows of different groups all keep a row, whether they
+    share an id or not. Rows with a null id can't be ordered by it and all stay.
+    """
+    known = docs.where(F.col(id_col).isNotNull())
+    own = materialize(shingles.nodes(known, id_col, text_col, shingle), "nodes")
+    roots = shingles.components(own, known, id_col, text_col, shingle, similarity, links)
+    first = own.groupBy("node").agg(F.min(F.struct("id", "digest")).alias("row"))
+    groups = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
+    # a repeated id keeps a row for each of its groups
+    keep = groups.select("row.id", "row.digest")
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    rows = known.select(F.col(id_col).alias("id"), digest.alias("digest"), whole_row(known))
+    kept = rows.join(keep, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
