@@ -24,15 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statloom.llm.common import materialize, new_path, parts_of
-from statloom.llm.tokens import encoder
+from statloom.llm.common import materialize, new_path
+from statloom.llm.tokens import encoder, slices
 
 MAGIC = b"PFOR1\n"
 BLOCK = 1024
 PERCENTILE = 90
 _HEAD = "<IHHB"
+_HEADS = np.dtype([("low", "<u4"), ("size", "<u2"), ("exceptions", "<u2"), ("width", "u1")])
 _TAIL = "<QQQQ6s"
-#: Ids that a writer gathers before it packs them, and that a reader holds.
+#: Ids that a writer packs at a time, and that a reader holds.
 _GATHER = 256 * BLOCK
 #: Bytes of text that make a part, and the most tasks that read parts.
 PART_BYTES, MOST_READERS = 256 << 20, 50_000
@@ -42,20 +43,39 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(float))[1]
 
 
+def _lanes(width: int) -> Iterator[tuple[int, int, int, int]]:
+    """Eight values of ``width`` bits fill ``width`` bytes: (which of the eight, its first byte, its first bit there, bytes it touches)."""
+    for j in range(8):
+        byte, bit = divmod(j * width, 8)
+        yield j, byte, bit, -(-(bit + width) // 8)
+
+
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of values below 2**width as rows of bytes, low bits first."""
-    if width in (8, 16, 32):
-        return np.ascontiguousarray(values.astype(f"<u{width // 8}")).view(np.uint8).reshape(len(values), -1)
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    rows, count = values.shape
+    eights = np.zeros((rows, -(-count // 8), 8), np.uint64)
+    eights.reshape(rows, -1)[:, :count] = values
+    out = np.zeros((rows, eights.shape[1], width), np.uint8)
+    for j, byte, bit, n in _lanes(width):
+        v = eights[:, :, j] << np.uint64(bit)
+        for b in range(n):
+            out[:, :, byte + b] |= (v >> np.uint64(8 * b)).astype(np.uint8)
+    return out.reshape(rows, -1)[:, : -(-count * width // 8)]
 
 
 def _unpack(data: np.ndarray, count: int, width: int) -> np.ndarray:
     """Rows of bytes as rows of ``count`` values."""
-    if width in (8, 16, 32):
-        return np.ascontiguousarray(data).view(f"<u{width // 8}").astype(np.uint32)
-    bits = np.unpackbits(data, axis=1, count=count * width, bitorder="little").reshape(len(data), count, width)
-    return bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
+    rows, eights = len(data), -(-count // 8)
+    given = np.zeros((rows, eights * width), np.uint8)
+    given[:, : data.shape[1]] = data
+    given = given.reshape(rows, eights, width)
+    out = np.empty((rows, eights, 8), np.uint32)
+    for j, byte, bit, n in _lanes(width):
+        v = np.zeros((rows, eights), np.uint64)
+        for b in range(n):
+            v |= given[:, :, byte + b].astype(np.uint64) << np.uint64(8 * b)
+        out[:, :, j] = v >> np.uint64(bit) & np.uint64((1 << width) - 1)
+    return out.reshape(rows, -1)[:, :count]
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
@@ -66,11 +86,11 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     padded = np.concatenate([ids.astype(np.uint32), np.full(n * block - len(ids), ids[-1], np.uint32)]).reshape(n, block)
     low = padded.min(1)
     rest = padded - low[:, None]
-    need = _bit_length(rest)
-    width = np.partition(need, -(-block * PERCENTILE // 100) - 1, axis=1)[:, -(-block * PERCENTILE // 100) - 1].clip(1)
-    over = need > width[:, None]
-    mask = (np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)
-    small = (rest & mask[:, None].astype(np.uint32)).astype(np.uint32)
+    at = -(-block * PERCENTILE // 100) - 1
+    width = _bit_length(np.partition(rest, at, axis=1)[:, at]).clip(1)
+    mask = ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    over = rest > mask[:, None]
+    small = rest & mask[:, None]
     out: list[bytes] = [b""] * n
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
@@ -81,15 +101,26 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     return out
 
 
+def unpack_blocks(data: memoryview, starts: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Ids of the blocks that start at ``starts``, in a row."""
+    if not len(starts):
+        return np.zeros(0, np.uint32)
+    raw, head = np.frombuffer(data, np.uint8), struct.calcsize(_HEAD)
+    low, size, n, width = (x.astype(np.int64) for x in (raw[starts[:, None] + np.arange(head)].view(_HEADS)[:, 0][k] for k in _HEADS.names))
+    values = np.empty((len(starts), block), np.uint32)
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        values[at] = _unpack(raw[(starts[at] + head)[:, None] + np.arange(block * w // 8)], block, int(w))
+    for i in np.flatnonzero(n):
+        end = starts[i] + head + block * width[i] // 8
+        values[i, np.frombuffer(data, "<u2", n[i], end)] |= np.frombuffer(data, "<u4", n[i], end + 2 * n[i]) << np.uint32(width[i])
+    values += low.astype(np.uint32)[:, None]
+    return values.reshape(-1) if (size == block).all() else values[np.arange(block) < size[:, None]]
+
+
 def unpack_block(data: memoryview, at: int, block: int = BLOCK) -> np.ndarray:
     """Ids of the block that starts at ``at``."""
-    low, size, n, width = struct.unpack_from(_HEAD, data, at)
-    at += struct.calcsize(_HEAD)
-    end = at + block * width // 8
-    values = _unpack(np.frombuffer(data[at:end], np.uint8)[None, :], block, width)[0]
-    where = np.frombuffer(data, "<u2", n, end)
-    values[where] |= np.frombuffer(data, "<u4", n, end + 2 * n) << np.uint32(width)
-    return values[:size] + np.uint32(low)
+    return unpack_blocks(data, np.array([at], np.int64), block)
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -98,7 +129,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None,
 
     Rows are dealt by ranges of (id, hash of the text), in ascending order, into parts of about
     ``part_bytes`` of text, as many as the session has shuffle partitions at least; each part is
-    tokenised and written in one go, a gathering of ids at a time. Each attempt of a task
+    tokenised and written in one go, a few megabytes of text at a time. Each attempt of a task
     writes a file of its own; the manifest names those of the attempts that counted, so lost
     executors and repeated tasks do no harm. Ids are 64-bit integers; nulls come first.
     Repeated ids are ordered by their texts' hash, wherever a range ends.
@@ -117,9 +148,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None,
         enc = encoder(tokenizer)
         dtype = enc.dtype
         last = np.array([end_id], dtype).tobytes()
-        part, out, wait, held = TaskContext.get().partitionId(), None, [], 0
+        part, out, held = TaskContext.get().partitionId(), None, np.zeros(0, dtype)
         starts, ids, sizes, missing = array("Q"), array("q"), array("Q"), 0
-        for batch in (p for batch in batches for p in parts_of(batch)):
+        step = max(1, _GATHER // block) * block
+        for batch in batches:
             if out is None:
                 store, base = fs.FileSystem.from_uri(path)
                 store.create_dir(base, recursive=True)
@@ -127,20 +159,18 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None,
                 out = store.open_output_stream(f"{base}/{name}")
                 out.write(MAGIC)
             missing += batch.column("i").null_count
-            ids.extend(batch.column("i").fill_null(0).to_pylist())
-            for text in batch.column("t"):
-                wait.append(enc.encode(text.as_py()) + last)
-                sizes.append(len(wait[-1]) // dtype.itemsize)
-                held += len(wait[-1])
-                if held >= _GATHER * dtype.itemsize:
-                    run = np.frombuffer(b"".join(wait), dtype)
-                    cut = len(run) // block * block
-                    _put(out, pack_blocks(run[:cut], block), starts)
-                    wait = [run[cut:].tobytes()]
-                    held = len(wait[0])
+            ids.frombytes(np.asarray(batch.column("i").fill_null(0)).tobytes())
+            for texts in slices(batch.column("t")):
+                run, n = enc.encode_all(texts, last)
+                sizes.frombytes(n.astype(np.uint64).tobytes())
+                held = np.concatenate([held, run])
+                cut = len(held) // block * block
+                for at in range(0, cut, step):
+                    _put(out, pack_blocks(held[at : min(at + step, cut)], block), starts)
+                held = held[cut:].copy()
         if out is None:
             return
-        _put(out, pack_blocks(np.frombuffer(b"".join(wait), dtype), block), starts)
+        _put(out, pack_blocks(held, block), starts)
         at = out.tell()
         out.write(b"".join(np.frombuffer(x, k).astype(f"<{k[-2:]}").tobytes() for x, k in ((starts, "u8"), (ids, "i8"), (sizes, "u8"))))
         out.write(struct.pack(_TAIL, len(starts), len(ids), missing, at, MAGIC))
@@ -202,10 +232,10 @@ def _documents(f, start: int, block: int) -> Iterator[pa.RecordBatch]:
         last = max(first + 1, int(np.searchsorted(ends, begin + _GATHER, "right")))
         want = -(-int(ends[last - 1]) // block)
         raw = memoryview(f.read_at(int(blocks[want] - blocks[done]), int(blocks[done])))
-        have = np.concatenate([have, *(unpack_block(raw, int(b - blocks[done]), block) for b in blocks[done:want])])
+        have = np.concatenate([have, unpack_blocks(raw, blocks[done:want] - blocks[done], block)])
         done = want
         cuts = np.append((ends - sizes)[first:last], ends[last - 1]) - begin
-        whole = have.astype("<u4").tobytes()
+        whole = have[: cuts[-1]].astype("<u4", copy=False).tobytes()
         yield pa.RecordBatch.from_pydict(
             {
                 "i": pa.array(ids[first:last], pa.int64(), mask=np.arange(first, last) < missing),
