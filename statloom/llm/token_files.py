@@ -168,6 +168,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None,
                 for at in range(0, cut, step):
                     _put(out, pack_blocks(held[at : min(at + step, cut)], block), starts)
                 held = held[cut:].copy()
+                del run
+                pa.default_memory_pool().release_unused()
         if out is None:
             return
         _put(out, pack_blocks(held, block), starts)

@@ -28,7 +28,7 @@ MEMORY_WORDS, MEMORY_CHARS = 250_000, 64
 _SPACES = re.compile(r" (?:\s|$)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 #: Words that the memory of ``encode_all`` holds, and bytes of text that it takes at a time.
-TABLE_WORDS, TEXT_BYTES = 600_000, 8 << 20
+TABLE_WORDS, TEXT_BYTES = 600_000, 4 << 20
 #: Separators to Python's str.split, but not white space to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Letters that normalisers leave alone but for their case.
