@@ -234,7 +234,7 @@ def mice(df: DataFrame, columns: list[str], case_id: str, sets: int = 5, method:
     takes the observed value of one of the five cases around in predicted order. Randomness
     comes from hashes of written row numbers, so a lost task repeats its values.
     """
-    d, names, _ = _chained(df, columns, case_id, sets, method, cycles, seed)
+    d, names, _, _ = _chained(df, columns, case_id, sets, method, cycles, seed)
     each = F.explode(F.array(*(F.struct(F.lit(m + 1).alias("m"), *(F.col(f"{v}_{m}").alias(v) for v in names)) for m in range(sets))))
     return d.select(F.col("case").alias(case_id), each.alias("x")).select(case_id, "x.m", *(F.col(f"x.{v}").alias(c) for c, v in zip(columns, names, strict=True)))
 
@@ -246,7 +246,7 @@ def mice_convergence(df: DataFrame, columns: list[str], case_id: str, sets: int
     rows; null with fewer than two sets or cycles, or where no chain moves. Variables without a
     missing value have no rows. One pass a cycle over the written columns of imputed values.
     """
-    _, names, trace = _chained(df, columns, case_id, sets, method, cycles, seed, traced=True)
+    _, names, trace, _ = _chained(df, columns, None, sets, method, cycles, seed, traced=range(cycles))
     out = []
     for v in dict.fromkeys(v for _, v, _, _, _ in trace):
         means = np.array([[mean for c, w, m, mean, _ in trace if w == v and m == s] for s in range(sets)])
@@ -256,24 +256,52 @@ def mice_convergence(df: DataFrame, columns: list[str], case_id: str, sets: int
     return rows(df.sparkSession, out) if out else df.sparkSession.createDataFrame([], "variable string, m bigint, cycle bigint, mean double, sd double, rhat double")
 
 
-def _chained(df: DataFrame, columns: list[str], case_id: str, sets: int, method: str, cycles: int, seed: int, traced: bool = False) -> tuple[DataFrame, list[str], list[tuple]]:
-    """A row a case with <v>_<m>, variable v completed in set m; the names v; and, if ``traced``,
-    (cycle, v, m, mean, sd) of imputed values.
+def mice_pooled(df: DataFrame, columns: list[str], sets: int = 5, method: str = "pmm", cycles: int = 5, seed: int = 7) -> DataFrame:
+    """``pool`` of the sets of ``mice``. Observed values are the same in every set: their moments are
+    taken once and joined with those of the imputed values, so no completed copy is made."""
+    _, names, trace, seen = _chained(df, columns, None, sets, method, cycles, seed, traced=range(cycles - 1, cycles))
+    made = {(v, m): (mean, sd or 0.0) for _, v, m, mean, sd in trace}
+    by = []
+    for m in range(sets if seen["n"] else 0):
+        row = {"m": m + 1}
+        for v in names:
+            n, lost, mean = seen["n"], seen[f"k{v}"], seen[v] or 0.0
+            new, sd = made.get((v, m), (mean, 0.0))
+            had = n - lost
+            squares = (had - 1) * (seen[f"s{v}"] or 0.0) + max(0, lost - 1) * sd * sd + had * lost / n * (new - mean) ** 2
+            row |= {f"a_{v}": (had * mean + lost * new) / n, f"u_{v}": squares / (n - 1) / n if n > 1 else None}
+        by.append(row)
+    kinds = ", ".join(["m int", *(f"a_{v} double, u_{v} double" for v in names)])
+    return _rubin(rows(df.sparkSession, by) if by else df.sparkSession.createDataFrame([], kinds), columns)
+
+
+def _chained(df: DataFrame, columns: list[str], case_id: str | None, sets: int, method: str, cycles: int, seed: int, traced: range = range(0)) -> tuple[DataFrame | None, list[str], list[tuple], dict]:
+    """A row a case with <v>_<m>, variable v completed in set m (None without ``case_id``); the names v;
+    (cycle, v, m, mean, sd) of imputed values for the cycles ``traced``; counts and moments of the observed ones.
 
     Complete cases never change: their covariances and donors are taken once, and a step reads
     and writes the other cases alone.
     """
     k, names = len(columns), [f"v{i}" for i in range(len(columns))]
     trace: list[tuple] = []
-    d = df.select(F.col(f"`{case_id}`").alias("case"), F.monotonically_increasing_id().alias("id"), *(number(df, c).alias(v) for c, v in zip(columns, names, strict=True)))
+    case = [F.col(f"`{case_id}`").alias("case")] if case_id else []
+    d = df.select(*case, F.monotonically_increasing_id().alias("id"), *(number(df, c).alias(v) for c, v in zip(columns, names, strict=True)))
     d = cut(d, "mice")  # fixes the row numbers, as case ids may repeat
-    means = d.agg(F.count("*").alias("n"), *(F.avg(v).alias(v) for v in names), *(F.sum(F.col(v).isNull().cast("bigint")).alias(f"k{v}") for v in names)).first()
+    cells = _cells(d, names) if method != "normal" and k > 1 and cycles else None
+    if cells is not None:
+        means = _observed(cells, names)
+    else:
+        about = lambda v: (F.avg(v).alias(v), F.var_samp(v).alias(f"s{v}"), F.sum(F.col(v).isNull().cast("bigint")).alias(f"k{v}"))
+        means = d.agg(F.count("*").alias("n"), *(x for v in names for x in about(v))).first().asDict()
     todo = [v for v in names if means[f"k{v}"]]
     whole = reduce(lambda x, y: x & y, (F.col(v).isNotNull() for v in names))
     full = d.where(whole)
+    if cells is not None and todo and all(means[v] is not None for v in names):
+        part, trace = _chained_cells(d, names, todo, cells, means, whole, sets, cycles, seed, traced)
+        return (_completed(full, part, names, sets, lambda v, m: f"{v}_{m}") if case_id else None), names, trace, means
     at = lambda v, m: f"{v}_{m}" if v in todo else v
     filled = {f"{v}_{m}": F.coalesce(F.col(v), F.lit(float(means[v] or 0.0))) for m in range(sets) for v in todo}
-    part = cut(d.where(~whole).drop(*(["case"] if traced else [])).withColumns(filled), "mice")
+    part = cut(d.where(~whole).withColumns(filled), "mice")
     rng = np.random.default_rng(seed)
     work = todo if k > 1 and cycles else []
     fixed = gram(full, names) if work else None
@@ -288,16 +316,13 @@ def _chained(df: DataFrame, columns: list[str], case_id: str, sets: int, method:
                 g = gram_of(row[str(m)], f)
                 own = fixed.pick([*others, v])
                 g = joined(Gram(f, own.n, own.mean, own.cov), g)
-                fit = solve(g, f[:-1], f[-1])
-                s = math.sqrt(fit["sse"] / max(1, fit["n"] - k) * max(1, fit["n"] - k) / rng.chisquare(max(1, fit["n"] - k)))
-                b = fit["b"] + s * np.linalg.cholesky(fit["inv"] + 1e-12 * np.eye(k)) @ rng.standard_normal(k)
-                new[m] = (b, s)
+                new[m] = _drawn(g, rng)
 
             def yhat(m: int, own: bool = True, new=new, others=others) -> Column:
                 b = new[m][0]
                 return reduce(lambda y, xo: y + float(xo[0]) * F.col(at(xo[1], m) if own else xo[1]), zip(b[1:], others, strict=True), F.lit(float(b[0])))
 
-            u = {m: (F.pmod(F.xxhash64(F.col("id"), F.lit(seed * 1_000_003 + c * 1009 + m * 31 + names.index(v))), F.lit(1 << 52)) + 0.5) / float(1 << 52) for m in new}
+            u = {m: _uniform(seed, c, m, names.index(v)) for m in new}
             if method == "normal":
                 part = part.withColumns({at(v, m): F.coalesce(F.col(v), yhat(m) + new[m][1] * S.norm_inv(u[m])) for m in new})
             else:
@@ -311,14 +336,213 @@ def _chained(df: DataFrame, columns: list[str], case_id: str, sets: int, method:
                     lost = lost.withColumn(at(v, m), F.get("donors", F.floor(5 * u[m]).cast("int"))).drop("p", "donors")
                 part = part.where(F.col(v).isNotNull()).unionByName(lost)
             part = cut(part, "mice")
-        if traced and todo:
+        if c in traced:
             made = {(v, m): F.when(F.col(v).isNull(), F.col(at(v, m))) for v in todo for m in range(sets)}
             seen = part.agg(*(f(x).alias(f"{n}_{v}_{m}") for (v, m), x in made.items() for n, f in (("mean", F.avg), ("sd", F.stddev_samp)))).first()
             trace += [(c, v, m, seen[f"mean_{v}_{m}"], seen[f"sd_{v}_{m}"]) for v, m in made]
-    if traced:
-        return part, names, trace
+    return (_completed(full, part, names, sets, at) if case_id else None), names, trace, means
+
+
+def _completed(full: DataFrame, part: DataFrame, names: list[str], sets: int, at) -> DataFrame:
+    """(case, <v>_<m>) of complete cases and of the others, whose values are in columns ``at(v, m)``."""
     out = lambda t, name: t.select("case", *(F.col(name(v, m)).alias(f"{v}_{m}") for v in names for m in range(sets)))
-    return out(full, lambda v, m: v).unionByName(out(part, at)), names, trace
+    return out(full, lambda v, m: v).unionByName(out(part, at))
+
+
+#: Most combinations of values for which chained equations count cells; beyond, cases are sorted by prediction.
+CELLS = 1 << 15
+#: Rows at either end of the row numbers, for each cell, in which its first and last cases are looked for: at first, and where those are too few.
+EDGES = (128, 4096)
+
+
+def _cells(d: DataFrame, names: list[str]) -> np.ndarray | None:
+    """Each combination of values (nan: none) with its number of cases last, or None where they are more than ``CELLS``."""
+    few = d.limit(2 * CELLS).agg(*(F.size(F.collect_set(v)).alias(v) for v in names)).first()
+    if math.prod(k + 1 for k in few) > CELLS:
+        return None
+    found = d.groupBy(*names).agg(F.count("*").alias("n")).limit(CELLS + 1).collect()
+    cells = np.array([[np.nan if x is None else x for x in r] for r in found], float).reshape(-1, len(names) + 1)
+    return cells if math.prod(len(set(x[~np.isnan(x)])) + 1 for x in cells.T[:-1]) <= CELLS else None
+
+
+def _observed(cells: np.ndarray, names: list[str]) -> dict:
+    """n cases, and for each variable v its mean, variance s<v> and cases without a value k<v>."""
+    out = {"n": int(cells[:, -1].sum())}
+    for i, v in enumerate(names):
+        x, n = cells[~np.isnan(cells[:, i])][:, [i, -1]].T
+        mean = float(n @ x / n.sum()) if len(n) else None
+        out |= {v: mean, f"s{v}": float(n @ (x - mean) ** 2 / (n.sum() - 1)) if n.sum() > 1 else None, f"k{v}": out["n"] - int(n.sum())}
+    return out
+
+
+def _array(x: np.ndarray, kind: str) -> Column:
+    """A constant array; Spark folds it before a pass."""
+    return F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast(f"array<{kind}>")
+
+
+def _chained_cells(d: DataFrame, names: list[str], todo: list[str], cells: np.ndarray, means: dict, whole: Column, sets: int, cycles: int, seed: int, traced: range) -> tuple[DataFrame, list[tuple]]:
+    """The incomplete cases of ``_chained`` by predictive means, and its trace, where variables have few distinct values.
+
+    Values are numbered, a variable's mean last. A step counts the cases of each combination of the
+    other variables' values, a cell; complete cases were counted at the start. Coefficients and the
+    donors of all cells follow on the driver, and cases find theirs by number in the next pass.
+    Incomplete cases are written once a cycle, the numbers of all sets in one column a variable.
+    """
+    values = {v: np.array([*np.unique(x[~np.isnan(x)]), means[v]]) for v, x in zip(names, cells.T, strict=False)}
+    d = d.withColumn("of", F.shiftright("id", 33))
+    edges = _edges(d, max(math.prod(len(values[o]) for o in names if o != v) for v in todo))
+    d = d.drop("of")
+    for v in names:
+        numbered = d.sparkSession.range(1).select(F.posexplode(F.lit(values[v][:-1].tolist())).alias(f"c{v}", v))
+        d = d.join(F.broadcast(numbered), v, "left").drop(v).withColumnRenamed(f"c{v}", v)
+    others = {v: [o for o in names if o != v] for v in todo}
+    grid = {v: np.stack([x.ravel() for x in np.meshgrid(*(values[o] for o in others[v]), indexing="ij")], axis=1) for v in todo}
+    bits = {v: (len(values[v]) - 1).bit_length() for v in todo}
+    place = lambda v, m: (f"{v}_{m // (62 // bits[v])}", bits[v] * (m % (62 // bits[v])))
+
+    def now(v: str, m: int) -> Column:
+        """A case's number of v in set m."""
+        if v not in todo:
+            return F.col(v)
+        name, shift = place(v, m)
+        return F.coalesce(F.col(v), F.shiftright(name, shift).bitwiseAND(F.lit((1 << bits[v]) - 1)).cast("int"))
+
+    def cell(v: str, m: int | None = None) -> Column:
+        """The row of ``grid[v]`` that a case has, in set m or as observed."""
+        return reduce(lambda x, o: x * len(values[o]) + (F.col(o) if m is None else now(o, m)), others[v], F.lit(0))
+
+    def kept(v: str, made: list[Column]) -> dict[str, Column]:
+        """Columns with the numbers ``made`` for each set."""
+        at: dict[str, Column] = {}
+        for m, x in enumerate(made):
+            name, shift = place(v, m)
+            at[name] = F.shiftleft(x.cast("bigint"), shift) + at.get(name, F.lit(0))
+        return {name: F.when(F.col(v).isNull(), x) for name, x in at.items()}
+
+    # number of complete cases, sum and squares of v about its mean, in each cell
+    own, known = {}, cells[~np.isnan(cells).any(axis=1)]
+    for v in todo:
+        at = np.ravel_multi_index([np.searchsorted(values[o][:-1], known[:, names.index(o)]) for o in others[v]], [len(values[o]) for o in others[v]])
+        away = known[:, names.index(v)] - means[v]
+        own[v] = np.stack([np.bincount(at, known[:, -1] * x, len(grid[v])) for x in (np.ones(len(away)), away, away * away)])
+    ends = dict(zip(todo, _outer(d.where(whole), [(v, cell(v)) for v in todo], [own[v][0] for v in todo], edges, "ends"), strict=True))
+    part = d.where(~whole)
+    for v in todo:
+        part = part.withColumns(kept(v, [F.lit(len(values[v]) - 1)] * sets))
+    part = cut(part, "mice")
+    rng, trace = np.random.default_rng(seed), []
+    for c in range(cycles):
+        for v in todo:
+            size, have = len(grid[v]), part.where(F.col(v).isNotNull())
+            each = have.select(F.get(_array(values[v] - means[v], "double"), F.col(v)).alias("x"), F.explode(F.array(*(cell(v, m) + m * size for m in range(sets)))).alias("at"))
+            sums = np.zeros((3, sets * size))
+            for r in each.groupBy("at").agg(F.count("*"), F.sum("x"), F.sum(F.col("x") * F.col("x"))).collect():
+                sums[:, r[0]] = r[1:]
+            sums = sums.reshape(3, sets, size)
+            five = _outer(have, [(v, cell(v, m)) for m in range(sets)], list(sums[0]), edges)
+            made = []
+            for m in range(sets):
+                n, x, xx = own[v] + sums[:, m]
+                b, _ = _drawn(_gram_cells([*others[v], v], grid[v], n, x, xx, means[v]), rng)
+                p = reduce(lambda y, bx: y + bx[0] * bx[1], zip(b[1:], grid[v].T, strict=True), np.full(size, b[0]))
+                donors = _nearest(p, n.astype(np.int64), np.concatenate([ends[v], five[m]]), means["n"] - means[f"k{v}"])
+                made.append(F.get(_array(donors.ravel(), "int"), cell(v, m) * 5 + F.floor(5 * _uniform(seed, c, m, names.index(v))).cast("int")))
+            part = part.withColumns(kept(v, made))
+        if c < cycles - 1 or "case" in part.columns:
+            part = cut(part, "mice")
+        if c in traced:
+            got = {(v, m): F.when(F.col(v).isNull(), F.get(_array(values[v], "double"), now(v, m))) for v in todo for m in range(sets)}
+            seen = part.agg(*(f(x).alias(f"{n}_{v}_{m}") for (v, m), x in got.items() for n, f in (("mean", F.avg), ("sd", F.stddev_samp)))).first()
+            trace += [(c, v, m, seen[f"mean_{v}_{m}"], seen[f"sd_{v}_{m}"]) for v, m in got]
+    return part.select(*(x for x in ["case"] if x in part.columns), *(F.get(_array(values[v], "double"), now(v, m)).alias(f"{v}_{m}") for v in names for m in range(sets))), trace
+
+
+def _edges(d: DataFrame, cells: int) -> list[tuple[int, int]]:
+    """For each of ``EDGES`` two row numbers: that of the row that is so many times ``cells`` from the first, and from the last.
+    ``of`` is the task that numbered a row; within one the numbers have no gap."""
+    tasks = sorted((r["of"], r["n"]) for r in d.groupBy("of").agg(F.count("*").alias("n")).collect())
+    ids, size = np.array([of << 33 for of, _ in tasks]), np.array([n for _, n in tasks])
+    upto = np.cumsum(size)
+
+    def row(at: int) -> int:
+        i = int(np.searchsorted(upto, at, side="right"))
+        return int(ids[i] + at - (upto[i] - size[i]))
+
+    most = [min(x * cells, int(upto[-1])) for x in EDGES]
+    return [(row(x - 1), row(int(upto[-1]) - x)) for x in most]
+
+
+def _outer(t: DataFrame, asks: list[tuple[str, Column]], totals: list[np.ndarray], edges: list[tuple[int, int]], name: str | None = None) -> list[np.ndarray]:
+    """For each (v, cell) of ``asks`` rows (cell, id, number) of v that hold the first two and last three cases
+    with a value of each cell; ``totals`` says how many cells have. They are looked for among the rows outside of
+    ``edges``; cells that have too few there are searched in the next, at last in all rows."""
+    start = np.cumsum([0, *(len(x) for x in totals)])
+    total = np.concatenate(totals)
+    each = F.explode(F.array(*(F.struct((cell + int(k)).alias("at"), F.col(v).alias("got")) for (v, cell), k in zip(asks, start[:-1], strict=True))))
+    rows = t.select("id", each.alias("x")).select("id", "x.at", "x.got").where("got is not null")
+    out, short = [], np.ones(len(total), bool)
+    for i, (low, high) in enumerate(edges):
+        below = F.col("id") <= low
+        near = (rows.where(F.get(_array(short.astype(np.int64), "int"), F.col("at")) == 1) if i else rows).where(below | (F.col("id") >= high))
+        near = near.groupBy("at", below.alias("low")).agg(F.count("*").alias("n"), _five(F.collect_list(F.struct("id", "got"))).alias("ds"))
+        near = (cut(near, name) if name and not i else near).collect()
+        found = np.zeros((2, len(total)), np.int64)
+        for r in near:
+            found[int(r["low"]), r["at"]] = r["n"]
+        short = ((found[1] < 2) | (found[0] < 3)) & (found.sum(axis=0) < total) & short
+        out += [(r["at"], *x) for r in near if not short[r["at"]] for x in r["ds"]]
+        if not short.any():
+            break
+    else:
+        wanted = rows.where(F.get(_array(short.astype(np.int64), "int"), F.col("at")) == 1)
+        out += [(r["at"], *x) for r in _ends(wanted.select("at", "id", F.col("got").cast("double").alias("value")), ["at"]).collect() for x in r["ds"]]
+    out = np.array(out, np.int64).reshape(-1, 3)
+    return [out[(out[:, 0] >= a) & (out[:, 0] < b)] - [a, 0, 0] for a, b in zip(start[:-1], start[1:], strict=True)]
+
+
+def _uniform(seed: int, c: int, m: int, i: int) -> Column:
+    """A number between 0 and 1 for each row number: cycle c, set m, variable i."""
+    return (F.xxhash64(F.col("id"), F.lit(seed * 1_000_003 + c * 1009 + m * 31 + i)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
+
+
+def _drawn(g: Gram, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Coefficients of the last column on the others, and residual deviation, drawn from their posterior."""
+    k = len(g.names)
+    fit = solve(g, g.names[:-1], g.names[-1])
+    s = math.sqrt(fit["sse"] / max(1, fit["n"] - k) * max(1, fit["n"] - k) / rng.chisquare(max(1, fit["n"] - k)))
+    return fit["b"] + s * np.linalg.cholesky(fit["inv"] + 1e-12 * np.eye(k)) @ rng.standard_normal(k), s
+
+
+def _gram_cells(names: list[str], x: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray, centre: float) -> Gram:
+    """Moments of the columns of ``x`` and of one more, of which each row of ``x`` has n cases with sums s and squares q about ``centre``."""
+    total = n.sum()
+    mean, rest = n @ x / total, s.sum() / total
+    away = x - mean
+    cov = np.empty((len(names), len(names)))
+    cov[:-1, :-1] = (n[:, None] * away).T @ away
+    cov[:-1, -1] = cov[-1, :-1] = away.T @ s
+    cov[-1, -1] = q.sum() - total * rest * rest
+    return Gram(names, int(total), np.append(mean, centre + rest), cov / (total - 1))
+
+
+def _nearest(p: np.ndarray, n: np.ndarray, five: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of the ``_donors`` of every cell: p its prediction, n its observed cases, of which ``five`` has (cell, id, number) of the first two and last three at least."""
+    levels, of = np.unique(p, return_inverse=True)
+    count = np.zeros(len(levels), np.int64)
+    np.add.at(count, of, n)
+    upto = np.cumsum(count)
+    level, code = of[five[:, 0]], five[:, 2]
+    order = np.lexsort((five[:, 1], level))
+    level, code = level[order], code[order]
+    size = np.bincount(level, minlength=len(levels))
+    rank = np.arange(len(level)) - (np.cumsum(size) - size)[level]
+    keep = (rank < 2) | (rank >= size[level] - 3)
+    # of those left the last three stand at the end of their level, the others at its start
+    back = (size[level] - rank)[keep]
+    level, code, rank = level[keep], code[keep], rank[keep]
+    place = np.where(rank < 2, upto[level] - count[level] + rank + 1, upto[level] - back + 1)
+    at = np.clip(upto[:, None] + np.arange(-2, 3), 1, most)
+    return code[np.searchsorted(place, at)][of]
 
 
 #: Rows that ``_ends`` gathers before it reduces them.
@@ -411,7 +635,12 @@ def pool(df: DataFrame, columns: list[str]) -> DataFrame:
     """(variable, sets, mean, within, between, se, fmi) of completed sets in column m, by Rubin's rules for means."""
     names = [f"v{i}" for i in range(len(columns))]
     d = df.select("m", *(number(df, c).alias(v) for c, v in zip(columns, names, strict=True)))
-    by = d.groupBy("m").agg(*(F.avg(v).alias(f"a_{v}") for v in names), *((F.var_samp(v) / F.count(v)).alias(f"u_{v}") for v in names))
+    return _rubin(d.groupBy("m").agg(*(F.avg(v).alias(f"a_{v}") for v in names), *((F.var_samp(v) / F.count(v)).alias(f"u_{v}") for v in names)), columns)
+
+
+def _rubin(by: DataFrame, columns: list[str]) -> DataFrame:
+    """``pool`` from a row a set: means a_v and their variances u_v."""
+    names = [f"v{i}" for i in range(len(columns))]
     s = by.agg(F.count("*").alias("sets"), *(F.avg(f"a_{v}").alias(f"m_{v}") for v in names), *(F.avg(f"u_{v}").alias(f"w_{v}") for v in names), *(F.coalesce(F.var_samp(f"a_{v}"), F.lit(0.0)).alias(f"b_{v}") for v in names))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"m_{v}").alias("mean"), F.col(f"w_{v}").alias("within"), F.col(f"b_{v}").alias("between")) for c, v in zip(columns, names, strict=True))))
     return s.select("sets", each.alias("x")).select("x.variable", "sets", "x.mean", "x.within", "x.between", F.sqrt(F.col("x.within") + (1 + 1 / F.col("sets")) * F.col("x.between")).alias("se"), div((1 + 1 / F.col("sets")) * F.col("x.between"), F.col("x.within") + (1 + 1 / F.col("sets")) * F.col("x.between")).alias("fmi"))

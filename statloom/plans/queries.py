@@ -557,7 +557,7 @@ query(
     )
 )
 query("mice_convergence")(lambda t: I.mice_convergence(_holes(t("lineitem")).withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber")), ["qty", "disc", "tax"], "id", sets=3, cycles=4))
-query("mice_pooled")(lambda t: I.pool(I.mice(_holes(t("lineitem")).withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber")), ["qty", "disc", "tax"], "id", sets=5, cycles=5), ["qty", "disc", "tax"]))
+query("mice_pooled")(lambda t: I.mice_pooled(_holes(t("lineitem")), ["qty", "disc", "tax"], sets=5, cycles=5))
 
 # ---- rows and columns ----------------------------------------------------------------------
 
