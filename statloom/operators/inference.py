@@ -400,16 +400,16 @@ def _chained_cells(d: DataFrame, names: list[str], todo: list[str], cells: np.nd
     bits = {v: (len(values[v]) - 1).bit_length() for v in todo}
     place = lambda v, m: (f"{v}_{m // (62 // bits[v])}", bits[v] * (m % (62 // bits[v])))
 
-    def now(v: str, m: int) -> Column:
-        """A case's number of v in set m."""
-        if v not in todo:
-            return F.col(v)
+    def now(v: str, m: int | None) -> str:
+        """A case's number of v in set m, or as observed."""
+        if v not in todo or m is None:
+            return v
         name, shift = place(v, m)
-        return F.coalesce(F.col(v), F.shiftright(name, shift).bitwiseAND(F.lit((1 << bits[v]) - 1)).cast("int"))
+        return f"coalesce({v}, cast(shiftright({name}, {shift}) & {(1 << bits[v]) - 1} as int))"
 
     def cell(v: str, m: int | None = None) -> Column:
         """The row of ``grid[v]`` that a case has, in set m or as observed."""
-        return reduce(lambda x, o: x * len(values[o]) + (F.col(o) if m is None else now(o, m)), others[v], F.lit(0))
+        return F.expr(reduce(lambda x, o: f"({x} * {len(values[o])} + {now(o, m)})" if x else now(o, m), others[v], ""))
 
     def kept(v: str, made: list[Column]) -> dict[str, Column]:
         """Columns with the numbers ``made`` for each set."""
@@ -433,28 +433,28 @@ def _chained_cells(d: DataFrame, names: list[str], todo: list[str], cells: np.nd
     rng, trace = np.random.default_rng(seed), []
     for c in range(cycles):
         for v in todo:
-            size, have = len(grid[v]), part.where(F.col(v).isNotNull())
-            each = have.select(F.get(_array(values[v] - means[v], "double"), F.col(v)).alias("x"), F.explode(F.array(*(cell(v, m) + m * size for m in range(sets)))).alias("at"))
+            size, have, at = len(grid[v]), part.where(F.col(v).isNotNull()), [cell(v, m) for m in range(sets)]
+            each = have.select(F.get(_array(values[v] - means[v], "double"), F.col(v)).alias("x"), F.explode(F.array(*(x + m * size for m, x in enumerate(at)))).alias("at"))
             sums = np.zeros((3, sets * size))
             for r in each.groupBy("at").agg(F.count("*"), F.sum("x"), F.sum(F.col("x") * F.col("x"))).collect():
                 sums[:, r[0]] = r[1:]
             sums = sums.reshape(3, sets, size)
-            five = _outer(have, [(v, cell(v, m)) for m in range(sets)], list(sums[0]), edges)
+            five = _outer(have, [(v, x) for x in at], list(sums[0]), edges)
             made = []
             for m in range(sets):
                 n, x, xx = own[v] + sums[:, m]
                 b, _ = _drawn(_gram_cells([*others[v], v], grid[v], n, x, xx, means[v]), rng)
                 p = reduce(lambda y, bx: y + bx[0] * bx[1], zip(b[1:], grid[v].T, strict=True), np.full(size, b[0]))
                 donors = _nearest(p, n.astype(np.int64), np.concatenate([ends[v], five[m]]), means["n"] - means[f"k{v}"])
-                made.append(F.get(_array(donors.ravel(), "int"), cell(v, m) * 5 + F.floor(5 * _uniform(seed, c, m, names.index(v))).cast("int")))
+                made.append(F.get(_array(donors.ravel(), "int"), at[m] * 5 + F.floor(5 * _uniform(seed, c, m, names.index(v))).cast("int")))
             part = part.withColumns(kept(v, made))
         if c < cycles - 1 or "case" in part.columns:
             part = cut(part, "mice")
         if c in traced:
-            got = {(v, m): F.when(F.col(v).isNull(), F.get(_array(values[v], "double"), now(v, m))) for v in todo for m in range(sets)}
+            got = {(v, m): F.when(F.col(v).isNull(), F.get(_array(values[v], "double"), F.expr(now(v, m)))) for v in todo for m in range(sets)}
             seen = part.agg(*(f(x).alias(f"{n}_{v}_{m}") for (v, m), x in got.items() for n, f in (("mean", F.avg), ("sd", F.stddev_samp)))).first()
             trace += [(c, v, m, seen[f"mean_{v}_{m}"], seen[f"sd_{v}_{m}"]) for v, m in got]
-    return part.select(*(x for x in ["case"] if x in part.columns), *(F.get(_array(values[v], "double"), now(v, m)).alias(f"{v}_{m}") for v in names for m in range(sets))), trace
+    return part.select(*(x for x in ["case"] if x in part.columns), *(F.get(_array(values[v], "double"), F.expr(now(v, m))).alias(f"{v}_{m}") for v in names for m in range(sets))), trace
 
 
 def _edges(d: DataFrame, cells: int) -> list[tuple[int, int]]:
@@ -502,7 +502,7 @@ def _outer(t: DataFrame, asks: list[tuple[str, Column]], totals: list[np.ndarray
 
 def _uniform(seed: int, c: int, m: int, i: int) -> Column:
     """A number between 0 and 1 for each row number: cycle c, set m, variable i."""
-    return (F.xxhash64(F.col("id"), F.lit(seed * 1_000_003 + c * 1009 + m * 31 + i)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
+    return F.expr(f"((xxhash64(id, {seed * 1_000_003 + c * 1009 + m * 31 + i}) & {(1 << 52) - 1}) + 0.5D) / {1 << 52}D")
 
 
 def _drawn(g: Gram, rng: np.random.Generator) -> tuple[np.ndarray, float]:
